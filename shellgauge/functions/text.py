@@ -6,8 +6,11 @@ higher-order functions alike and never leave the JVM.
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,20 +41,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def build_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the columns a function builds: a long expression is described once per context."""
+    kept: dict[tuple, Column] = {}
+
+    @functools.wraps(build)
+    def cached(*args: object) -> Column:
+        context = SparkContext._active_spark_context
+        key = (context.applicationId if context else None, repr(args))
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return cached
+
+
+def literal(value: object, schema: str) -> Column:
+    """A small fixed table as one constant column."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def any_of(text: Column, needles: list[str]) -> Column:
     """True when the text contains one of the literals."""
-    cond = F.lit(False)
-    for needle in needles:
-        cond = cond | text.contains(needle)
-    return cond
+    if len(needles) == 1:
+        return text.contains(needles[0])
+    return F.exists(literal(needles, "array<string>"), lambda n: text.contains(n))
 
 
 def starts_with_any(text: Column, prefixes: list[str]) -> Column:
     """True when the text starts with one of the literals."""
-    cond = F.lit(False)
-    for prefix in prefixes:
-        cond = cond | text.startswith(prefix)
-    return cond
+    return F.exists(literal(prefixes, "array<string>"), lambda p: text.startswith(p))
 
 
 def split_words(text: Column) -> Column:

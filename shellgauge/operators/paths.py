@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shellgauge.catalogs import paths as cat
 from shellgauge.functions.text import (
-    any_of, basename, let, split_words, starts_with_any, strip_quotes,
+    any_of, basename, let, literal, split_words, starts_with_any, strip_quotes,
 )
 
 # Scores per tier and access.
@@ -118,12 +118,10 @@ def access_context(text: Column) -> Column:
 
 
 def _catalog(entries: list[tuple[str, str | None]]) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(p).alias("prefix"), F.lit(p.lstrip("~")).alias("tail"),
-            F.lit(e).cast("string").alias("ext"),
-        ) for p, e in entries
-    ])
+    return literal(
+        [{"prefix": p, "tail": p.lstrip("~"), "ext": e} for p, e in entries],
+        "array<struct<prefix:string,tail:string,ext:string>>",
+    )
 
 
 def _hit(p: Column, tier: str, access: Column, secret: Column, ext: Column, score: Column,
@@ -147,11 +145,15 @@ def _hits_of_path(p: Column, ctx: Column, home: Column, scores: dict[str, float]
     root = F.array(_hit(p, "system_root", F.lit("write"), no, pick(root_ext),
                         F.lit(scores["system_root"]), F.lit("destructive_on_system_root"), True))
 
-    critical = none
-    for pattern, secret, ext in reversed(cat.CRITICAL):
-        found = F.array(_hit(p, "critical", access, F.lit(secret), pick(F.lit(ext).cast("string")),
-                             F.lit(scores["critical"]), F.lit("critical_path"), True)).cast(HIT_TYPE)
-        critical = F.when(full.rlike("(?U)" + pattern) | path.rlike("(?U)" + pattern), found).otherwise(critical)
+    which = F.lit(None).cast("int")
+    for i, (pattern, _, _) in reversed(list(enumerate(cat.CRITICAL))):
+        which = F.when(full.rlike("(?U)" + pattern) | path.rlike("(?U)" + pattern), F.lit(i)).otherwise(which)
+    entry = literal(
+        [{"secret": s, "ext": e} for _, s, e in cat.CRITICAL], "array<struct<secret:boolean,ext:string>>"
+    )
+    critical = let(which, lambda i: F.when(i.isNotNull(), F.array(_hit(
+        p, "critical", access, F.get(entry, i)["secret"], pick(F.get(entry, i)["ext"]),
+        F.lit(scores["critical"]), F.lit("critical_path"), True)).cast(HIT_TYPE)).otherwise(none))
 
     secret_hits = F.transform(
         F.filter(_catalog(cat.SECRET), lambda e: full.startswith(e["prefix"])

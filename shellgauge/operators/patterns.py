@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellgauge.catalogs.rules import RULES, TIER_WEIGHT
-from shellgauge.functions.text import let
+from shellgauge.functions.text import let, literal
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore", DeprecationWarning)
@@ -84,19 +84,16 @@ def fired_ords(text: Column, rules: list[Rule]) -> Column:
 def fired_rules(per_view: Column, rules: list[Rule], weights: dict[str, float] | None = None) -> Column:
     """Fired rules in bank order, each with the first view it matched."""
     w = weights or TIER_WEIGHT
-    table = F.array(*[
-        F.struct(
-            F.lit(r.ord).alias("ord"), F.lit(r.rule_id).alias("id"), F.lit(r.tier).alias("tier"),
-            F.lit(r.confidence).alias("conf"), F.lit(r.weight(w)).alias("pi"),
-            F.lit(r.family).alias("family"), F.lit(bool(r.techniques)).alias("has_techniques"),
-        ) for r in rules
-    ])
-    at = {r.ord: i + 1 for i, r in enumerate(rules)}
-    index = F.create_map(*[F.lit(x) for pair in at.items() for x in pair])
+    slots: list[dict | None] = [None] * len(RULES)
+    for r in rules:
+        slots[r.ord] = {"ord": r.ord, "id": r.rule_id, "tier": r.tier, "conf": r.confidence,
+                        "pi": r.weight(w), "family": r.family, "has_techniques": bool(r.techniques)}
+    table = literal(slots, "array<struct<ord:int,id:string,tier:string,conf:double,pi:double,"
+                           "family:string,has_techniques:boolean>>")
 
     def describe(o: Column) -> Column:
         first = F.array_position(F.transform(per_view, lambda v: F.array_contains(v, o)), True) - 1
-        return let(F.element_at(table, F.element_at(index, o)), lambda r: F.struct(
+        return let(F.get(table, o), lambda r: F.struct(
             r["ord"].alias("ord"), r["id"].alias("id"), r["tier"].alias("tier"), r["conf"].alias("conf"),
             r["pi"].alias("pi"), r["family"].alias("family"),
             F.bround(r["pi"] * r["conf"], 3).alias("effective"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellgauge.catalogs.lexicon import CLASS_BASE, HEADS_BY_CLASS
-from shellgauge.functions.text import any_of, basename, let, split_words, starts_with_any
+from shellgauge.functions.text import any_of, basename, let, literal, split_words, starts_with_any
 
 # Words and patterns of the special cases.
 GIT_READ_ONLY = """
@@ -30,8 +30,7 @@ REMOTE_HOST = r"\b[\w.-]+@[\w.-]+:"
 
 def lexicon_map() -> Column:
     """Head to class, as a literal map."""
-    pairs = [F.lit(x) for cls, heads in HEADS_BY_CLASS.items() for h in heads.split() for x in (h, cls)]
-    return F.create_map(*pairs)
+    return literal({h: cls for cls, hs in HEADS_BY_CLASS.items() for h in hs.split()}, "map<string,string>")
 
 
 def head_class(head: Column) -> Column:
@@ -56,8 +55,7 @@ def _case(cls: str, score: float | Column, reason: str | Column) -> Column:
 
 
 def _base(cls: Column, base: dict[str, float]) -> Column:
-    pairs = [x for k, v in base.items() for x in (F.lit(k), F.lit(v))]
-    return F.element_at(F.create_map(*pairs), cls)
+    return F.element_at(literal(base, "map<string,double>"), cls)
 
 
 def _git(words: Column, base: dict[str, float]) -> Column:

@@ -130,33 +130,35 @@ def atoms(text: Column) -> Column:
     return F.when(well_quoted(text), found).otherwise(F.array(text))
 
 
-def control_flow(text: Column) -> Column:
-    """A command sits inside an if/for/while/case body."""
-    return masked(text).rlike(r"(?:\A|[;\n&|]\s*)(?:if|for|while|until|case|select)\s[\s\S]*(?:fi|done|esac)\b")
-
-
 def flags(text: Column, atom_list: Column) -> Column:
     """Structure evidence of one view as a struct."""
-    parsed = well_quoted(text)
-    m = masked(text)
-    sub = m.rlike(r"\$\((?!\()|`|[<>]\(")
-    exec_plain = m.rlike(rf"{_PIPE}\s*(?:{_INTERP}){_PIPE_END}")
-    exec_any = m.rlike(rf"{_PIPE}\s*(?:[^\s|;&()]*/)?(?:{_INTERP}){_PIPE_END}")
-    eval_head = F.exists(atom_list, lambda a: a.rlike(r"\A(?:eval|source|\.)(?:\s|\z)"))
-    fb_exec = text.rlike(FALLBACK_PIPE_EXEC)
-    return F.struct(
-        parsed.alias("parsed"),
-        F.when(parsed, m.rlike(_PIPE)).otherwise(text.contains("|")).alias("has_pipe"),
-        F.when(parsed, m.rlike(r"[<>](?!\()")).otherwise(text.contains(">")).alias("has_redirect"),
-        F.when(parsed, sub).otherwise(any_of(text, ["$(", "`"])).alias("has_command_sub"),
-        F.when(parsed, eval_head).otherwise(text.rlike(FALLBACK_EVAL)).alias("has_eval"),
-        F.when(parsed, exec_any).otherwise(fb_exec | text.rlike(FALLBACK_PIPE_EXEC_PATH)).alias(
-            "has_pipe_to_exec"
-        ),
-        F.when(parsed, exec_any & ~exec_plain)
-        .otherwise(~fb_exec & text.rlike(FALLBACK_PIPE_EXEC_PATH)).alias("exec_by_path"),
-        substitution_depth(F.when(parsed, m).otherwise(text)).alias("nested_sub_depth"),
+    def lexical(m: Column) -> Column:
+        """Flags of well-quoted text, read off the masked text."""
+        piped = m.contains("|")
+        exec_plain = piped & m.rlike(rf"{_PIPE}\s*(?:{_INTERP}){_PIPE_END}")
+        exec_path = piped & m.rlike(rf"{_PIPE}\s*[^\s|;&()]*/(?:{_INTERP}){_PIPE_END}")
+        body = m.rlike(r"(?:\A|[;\n&|]\s*)(?:if|for|while|until|case|select)\s[\s\S]*(?:fi|done|esac)\b")
+        return let(F.struct(exec_plain.alias("plain"), exec_path.alias("path")), lambda e: F.struct(
+            F.lit(True).alias("parsed"), (piped & m.rlike(_PIPE)).alias("has_pipe"),
+            (any_of(m, ["<", ">"]) & m.rlike(r"[<>](?!\()")).alias("has_redirect"),
+            m.rlike(r"\$\((?!\()|`|[<>]\(").alias("has_command_sub"),
+            F.exists(atom_list, lambda a: a.rlike(r"\A(?:eval|source|\.)(?:\s|\z)")).alias("has_eval"),
+            (e["plain"] | e["path"]).alias("has_pipe_to_exec"),
+            (e["path"] & ~e["plain"]).alias("exec_by_path"),
+            substitution_depth(m).alias("nested_sub_depth"),
+            (any_of(m, ["fi", "done", "esac"]) & body).alias("control_flow"),
+        ))
+
+    plain = text.rlike(FALLBACK_PIPE_EXEC)
+    fallback = F.struct(
+        F.lit(False).alias("parsed"), text.contains("|").alias("has_pipe"),
+        text.contains(">").alias("has_redirect"), any_of(text, ["$(", "`"]).alias("has_command_sub"),
+        text.rlike(FALLBACK_EVAL).alias("has_eval"),
+        (plain | text.rlike(FALLBACK_PIPE_EXEC_PATH)).alias("has_pipe_to_exec"),
+        (~plain & text.rlike(FALLBACK_PIPE_EXEC_PATH)).alias("exec_by_path"),
+        substitution_depth(text).alias("nested_sub_depth"), F.lit(False).alias("control_flow"),
     )
+    return F.when(well_quoted(text), let(masked(text), lexical)).otherwise(fallback)
 
 
 def risk(s: Column, ladder: dict[str, float] | None = None) -> Column:
@@ -174,14 +176,13 @@ def risk(s: Column, ladder: dict[str, float] | None = None) -> Column:
 
 def structure(text: Column, ladder: dict[str, float] | None = None) -> Column:
     """Flags, atoms and risk of one view."""
+    names = [
+        "parsed", "has_pipe", "has_redirect", "has_command_sub", "has_eval", "has_pipe_to_exec",
+        "exec_by_path", "nested_sub_depth", "control_flow",
+    ]
+
     def full(atom_list: Column) -> Column:
         return let(flags(text, atom_list), lambda s: F.struct(
-            s["parsed"].alias("parsed"), atom_list.alias("atoms"), s["has_pipe"].alias("has_pipe"),
-            s["has_redirect"].alias("has_redirect"), s["has_command_sub"].alias("has_command_sub"),
-            s["has_eval"].alias("has_eval"), s["has_pipe_to_exec"].alias("has_pipe_to_exec"),
-            s["exec_by_path"].alias("exec_by_path"),
-            s["nested_sub_depth"].alias("nested_sub_depth"), risk(s, ladder).alias("risk"),
-            control_flow(text).alias("control_flow"),
-        ))
+            atom_list.alias("atoms"), *[s[n].alias(n) for n in names], risk(s, ladder).alias("risk")))
 
     return let(atoms(text), full)

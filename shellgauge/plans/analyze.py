@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellgauge.catalogs.profiles import DEFAULT, Profile
-from shellgauge.functions.text import let
+from shellgauge.functions.text import build_once, let
 from shellgauge.operators import canon, paths, patterns, policy, semantic, structure
 
 
@@ -23,23 +23,51 @@ def dedupe_atoms(l1: Column) -> Column:
         all_, lambda x, i: F.array_position(names, x["atom"]) == i + 1)))
 
 
+@build_once
+def _views(command: str) -> Column:
+    return canon.views(F.col(command))
+
+
+@build_once
+def _structure(ladder: dict) -> Column:
+    return F.transform("views", lambda v: structure.structure(v["text"], ladder))
+
+
+@build_once
+def _atoms(class_base: dict) -> Column:
+    return F.transform(dedupe_atoms(F.col("l1")), lambda a: let(
+        semantic.classify(a["atom"], class_base), lambda c: F.struct(
+            a["atom"].alias("atom"), a["view"].alias("view"), c["class"].alias("class"),
+            c["score"].alias("score"), c["reason"].alias("reason"))))
+
+
+@build_once
+def _paths(home: str, scores: dict) -> Column:
+    return F.transform("views", lambda v: paths.path_result(v["text"], F.lit(home), scores))
+
+
+@build_once
+def _ords(rules: list[patterns.Rule]) -> Column:
+    return F.transform("views", lambda v: patterns.fired_ords(v["text"], rules))
+
+
+@build_once
+def _fired(rules: list[patterns.Rule], weights: dict) -> Column:
+    return patterns.fired_rules(F.col("__ords"), rules, weights)
+
+
 def layer_evidence(commands: DataFrame, profile: Profile = DEFAULT, command: str = "command",
                    home: str = "/home/user") -> DataFrame:
     """Views and the evidence of all four layers."""
     s = profile.static
     rules = patterns.rule_bank(s.rules)
-    home_col = F.lit(home)
-    out = canon.with_views(commands, command)
-    out = out.withColumn("l1", F.transform("views", lambda v: structure.structure(v["text"], s.structure)))
-    out = out.withColumn("atoms", F.transform(dedupe_atoms(F.col("l1")), lambda a: let(
-        semantic.classify(a["atom"], s.class_base), lambda c: F.struct(
-            a["atom"].alias("atom"), a["view"].alias("view"), c["class"].alias("class"),
-            c["score"].alias("score"), c["reason"].alias("reason")))))
-    out = out.withColumn("l3", F.transform(
-        "views", lambda v: paths.path_result(v["text"], home_col, s.path)))
-    out = out.withColumn("__ords", F.transform(
-        "views", lambda v: patterns.fired_ords(v["text"], rules)))
-    return out.withColumn("fired", patterns.fired_rules(F.col("__ords"), rules, s.provenance)).drop("__ords")
+    views = commands.withColumn("views", _views(command))
+    per_view = views.withColumns({
+        "l1": _structure(s.structure), "l3": _paths(home, s.path), "__ords": _ords(rules),
+    })
+    return per_view.withColumns({
+        "atoms": _atoms(s.class_base), "fired": _fired(rules, s.provenance),
+    }).drop("__ords")
 
 
 def layer_scores(evidence: DataFrame) -> DataFrame:
