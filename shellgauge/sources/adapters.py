@@ -115,3 +115,159 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(tool == "Bash", shell).when(tool == "Read", read).when(tool == "WebFetch", fetch)
         .otherwise(write).alias("tool_input"),
     )
+
+
+# ---- answers -------------------------------------------------------------------------------
+
+SCORE_LEVELS = 5
+
+
+def answer_items(spark: SparkSession, sf_dir: str, axes: list) -> DataFrame:
+    """``item_id, level, model, answers``: one judged item per event.
+
+    Readings are residues of the event id; some are missing and some choice
+    vectors do not sum to one, so that every failure occurs.
+    """
+    from shellgauge.operators.answers import ANSWER_TYPE
+
+    n = F.col("event_id")
+    spec = literal(
+        [{"k": a.ord, "id": a.id, "primitive": a.primitive, "labels": [c[0] for c in a.criteria]} for a in axes],
+        "array<struct<k:int,id:string,primitive:string,labels:array<string>>>")
+
+    def answer(a: Column) -> Column:
+        k = a["k"]
+        p = ((n * (2 * k + 3) + 7 * k + 1) % 101).cast("double") / 100.0
+        weight = lambda i: ((n * (2 * k + 3) + 7 * k + 1 + 13 * i) % 101 + 1).cast("double")
+        weights = F.transform(a["labels"], lambda _, i: weight(i))
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+        scale = F.when(n % 89 == 0, F.lit(1.2)).otherwise(F.lit(1.0))
+        choice = a["primitive"] == "choice"
+        return F.struct(
+            a["id"].alias("axis"), a["primitive"].alias("type"),
+            F.when((a["primitive"] == "noul") & (n % 97 != k), p).alias("noul"),
+            F.when(a["primitive"] == "score", p * (F.size(a["labels"]) - 1)).alias("score"),
+            F.lit(None).cast("string").alias("choice"),
+            F.when(a["primitive"] == "score", a["labels"]).alias("legend"),
+            F.when(choice, a["labels"]).alias("labels"),
+            F.when(choice, F.transform(weights, lambda w: w / total * scale)).alias("probs"),
+        ).cast(ANSWER_TYPE)
+
+    return table(spark, sf_dir, "events").select(
+        n.alias("item_id"), F.concat(F.lit("L"), (n % 3).cast("string")).alias("level"),
+        F.when(n % 50 == 0, F.lit("judge-0")).otherwise(F.lit("judge-1")).alias("model"),
+        F.transform(spec, answer).alias("answers"))
+
+
+def target_answers(items: DataFrame) -> DataFrame:
+    """The same items answered by another model: readings shifted, every ninth answer left out."""
+    n = F.col("item_id")
+
+    def other(w: Column) -> Column:
+        shift = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p * 0.8 + 0.05))
+        tempered = F.transform(w["probs"], lambda p: p * p)
+        total = F.aggregate(tempered, F.lit(0.0), lambda acc, p: acc + p)
+        return F.struct(
+            w["axis"], w["type"], shift(w["noul"]).alias("noul"), w["score"], w["choice"], w["legend"], w["labels"],
+            F.transform(tempered, lambda p: p / total).alias("probs"))
+
+    return items.filter(n % 9 != 0).withColumns({
+        "answers": F.transform("answers", other), "target_model": F.lit("local-1")})
+
+
+def long_answers(items: DataFrame) -> DataFrame:
+    """``item_id, axis, type, noul, labels, probs``: one row per answer."""
+    return items.select("item_id", F.explode("answers").alias("w")).select(
+        "item_id", "w.axis", "w.type", "w.noul", "w.labels", "w.probs")
+
+
+# ---- transcripts ---------------------------------------------------------------------------
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``session, seq, value``: conversations as transcript records, some of them torn.
+
+    User turns are prompts, plain or as blocks, some flagged as not typed;
+    assistant turns carry one tool call; system turns are injected text.
+    """
+    c = table(spark, sf_dir, "conversations")
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    message = lambda content: F.struct(content.alias("content"))
+    plain = F.to_json(F.struct(
+        F.lit("user").alias("type"), ((conv + turn) % 7 == 0).alias("isMeta"), message(text).alias("message")))
+    blocks = F.to_json(F.struct(F.lit("user").alias("type"), message(F.array(F.struct(
+        F.lit("text").alias("type"), text.alias("text")))).alias("message")))
+    system = F.to_json(F.struct(F.lit("user").alias("type"), message(
+        F.concat(F.lit("<system-reminder>"), text)).alias("message")))
+    call_id = F.concat(F.lit("call_"), conv.cast("string"), F.lit("_"), turn.cast("string"))
+    use = lambda name, field: F.to_json(F.struct(F.lit("assistant").alias("type"), message(F.array(
+        F.struct(F.lit("tool_use").alias("type"), call_id.alias("id"), F.lit(name).alias("name"), field.alias("input")))
+    ).alias("message")))
+    shell = use("Bash", F.struct(text.alias("command")))
+    read = use("Read", F.struct(turn.alias("limit"), F.concat(F.lit("/c/"), conv.cast("string")).alias("file_path")))
+    whole = (
+        F.when(F.col("role") == "assistant", F.when(turn % 2 == 1, shell).otherwise(read))
+        .when(F.col("role") == "system", system)
+        .when(conv % 3 == 0, blocks).otherwise(plain)
+    )
+    torn = (conv * 10 + turn) % 23 == 0
+    value = F.when(torn, whole.substr(F.lit(1), F.length(whole) - 5)).otherwise(whole)
+    return c.select(conv.alias("session"), turn.alias("seq"), value.alias("value"))
+
+
+# ---- decision log --------------------------------------------------------------------------
+
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged decisions: one record per call, shapes of several versions."""
+    calls = tool_calls(spark, sf_dir).withColumnRenamed("cmd_id", "n")
+    extra = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), "value", F.col("event_type"))
+    n = F.col("n")
+    e = calls.join(extra, "n")
+    shell = F.col("tool_name") == "Bash"
+    command = F.when(shell, F.get_json_object("tool_input", "$.command"))
+    score = ((n * 37) % 1001).cast("double") / 1000.0
+    balanced = F.when(score < 0.15, F.lit("ALLOW")).when(score < 0.35, F.lit("WARN")).otherwise(F.lit("DENY"))
+    overridden = n % 4 == 0
+    judged = (shell & (balanced == "WARN")) | (~shell & (n % 5 != 0))
+    tier = F.concat(F.lit("T"), (n % 6 + 1).cast("string"))
+    verdict = F.when(n % 6 < 2, F.lit("deny")).when(n % 6 < 5, F.lit("ask")).otherwise(F.lit("allow"))
+    failed = n % 19 == 0
+    final = (
+        F.when(n % 29 == 0, F.lit(None).cast("string"))
+        .when(n % 31 == 0, F.lit("unadjudicated"))
+        .when(shell & (balanced == "ALLOW"), F.lit("allow")).when(shell & (balanced == "DENY"), F.lit("deny"))
+        .when(judged & failed, F.lit("ask")).when(judged, verdict)
+    )
+    rules = F.array_compact(F.array(
+        F.when(n % 2 == 0, F.lit("SE-P-003")), F.when(n % 3 == 0, F.lit("SE-P-031")), F.when(n % 5 == 0, F.lit("SE-P-103"))))
+    null = F.lit(None).cast("string")
+    out = e.select(
+        n.alias("tool_use_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
+        F.concat(F.lit("events-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".jsonl")).alias("file"),
+        (n + 1).alias("line"), "session_id", "tool_name", "tool_input", "value", command.alias("command"),
+        F.when(n % 10 == 0, F.lit("strict")).otherwise(F.lit("balanced")).alias("mode"),
+        F.when(overridden, F.lit("cfg-b")).otherwise(F.lit("cfg-a")).alias("config_fingerprint"),
+        F.when(overridden, F.when(n % 8 == 0, F.array(F.lit("judge.context.field_chars"), F.lit("static.weights.sem")))
+               .otherwise(F.array(F.lit("static.weights.sem")))).otherwise(F.array().cast("array<string>")).alias("overrides"),
+        F.when(shell, score).alias("aggregate"), F.when(shell, balanced).alias("balanced"),
+        F.when(shell & (n % 7 == 0), F.lit("p_spath")).alias("skip_predicate"),
+        F.when(shell, rules).otherwise(F.array().cast("array<string>")).alias("rule_ids"),
+        F.array_compact(F.array(F.when(n % 3 == 0, F.lit("FIX-005")), F.when(n % 6 == 0, F.lit("FIX-006")))).alias("fixes_applied"),
+        F.array_compact(F.array(F.when(n % 14 == 0, F.lit("EXT-003")))).alias("ext_applied"),
+        (shell & (balanced == "WARN")).alias("would_adjudicate"), final.alias("final"),
+        F.when(final == "unadjudicated", F.lit("ask")).otherwise(final).alias("would_emit"),
+        (~shell & (n % 5 != 0)).alias("unscored"), F.when(~shell, F.lit("non-shell tool")).alias("unscored_reason"),
+        F.when(judged, F.lit("rubric")).alias("judge_backend"),
+        F.when(judged & (n % 3 != 0), F.lit("judge.example:8443")).alias("backend_host"),
+        F.when(judged & (n % 4 != 0), F.lit("judge-1")).alias("expected_model"),
+        F.when(judged, F.when(n % 9 == 0, F.lit("00ff00ff00ff00ff")).otherwise(F.lit("0fd1f245ae1c7ef3"))).alias("judge_rubric_hash"),
+        F.lit("0fd1f245ae1c7ef3").alias("rubric_hash"),
+        F.when(judged & (n % 13 != 0), F.concat(F.lit("state "), (n % 500).cast("string"))).alias("state"),
+        F.when(judged & ~failed, F.lit("judge-1")).alias("model"), (judged & ~failed).alias("has_answers"),
+        F.when(judged & failed, F.lit("timeout")).alias("judge_error"),
+        F.when(judged & ~failed, tier).alias("tier"),
+        F.when(judged, F.when(failed, F.lit("ask")).otherwise(verdict)).alias("judge_verdict"),
+        F.when(judged, F.concat(F.lit("L"), (n % 3).cast("string"))).alias("level"),
+        F.when(judged, F.when(n % 3 == 0, F.lit("no transcript_path")).otherwise(F.lit("transcript"))).alias("level_reason"),
+        F.when(judged, F.lit(100) + (n * 7) % 900).alias("latency_ms"),
+    )
+    return out
