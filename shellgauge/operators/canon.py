@@ -297,7 +297,8 @@ def with_views(commands: DataFrame, command: str = "command") -> DataFrame:
 
 def explode_views(commands: DataFrame, key: str = "cmd_id") -> DataFrame:
     """Child table: one row per view."""
-    return commands.select(key, F.explode("views").alias("v")).select(
+    # Every command has a view; the outer form does not repeat the array in a filter.
+    return commands.select(key, F.explode_outer("views").alias("v")).select(
         key, F.col("v.idx").alias("view_idx"), "v.kind", "v.text", "v.depth", "v.parent"
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shellgauge.catalogs.rules import RULES, TIER_WEIGHT
 from shellgauge.functions.text import let, literal
+from shellgauge.session import keep
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore", DeprecationWarning)
@@ -111,9 +112,5 @@ def pattern_score(fired: Column) -> Column:
 
 def rule_match(texts: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """One row per text and matching rule."""
-    # The folded key is its own column so that it is computed once per row.
-    keyed = texts.withColumn("__key", folded(F.col(text)))
-    hits = F.array_compact(F.array(*[
-        F.when(fires(F.col(text), F.col("__key"), r), F.lit(r.ord)) for r in rules]))
-    matched = keyed.withColumn("__ords", hits).drop("__key")
-    return matched.filter(F.size("__ords") > 0).withColumn("ord", F.explode("__ords")).drop("__ords")
+    matched = texts.withColumn("__ords", fired_ords(F.col(text), rules))
+    return keep(matched, F.size("__ords") > 0).withColumn("ord", F.explode_outer("__ords")).drop("__ords")

@@ -12,6 +12,7 @@ from shellgauge.catalogs.axes import Axis
 from shellgauge.catalogs.profiles import JudgeProfile
 from shellgauge.operators import answers as ans
 from shellgauge.operators.policy import judge_text_decision, judge_text_denies_older, parse_judge_text
+from shellgauge.session import checkpoint
 
 # What a failing judge decides.
 FAILURE_DECISION = {"text": "deny", "rubric": "ask", "stub": "unadjudicated"}
@@ -65,9 +66,10 @@ BACKENDS: dict[str, Callable[..., DataFrame]] = {"stub": stub, "text": text_judg
 def adjudicate(analyzed: DataFrame, backend: str, **options: object) -> DataFrame:
     """Send only unresolved WARN rows to a judge and put their decisions back.
 
-    The judge runs on the filtered rows alone, so an expensive one never sees a
-    command the static layers resolved.
+    The analysis is written once, then split: the judge sees the filtered rows
+    alone, and neither side analyzes a command again.
     """
+    analyzed = checkpoint(analyzed)
     warn = analyzed.filter("would_adjudicate")
     rest = analyzed.filter("not would_adjudicate")
     judged = BACKENDS[backend](warn, **options)

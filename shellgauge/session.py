@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Dimensions broadcast here are catalogs; anything larger is joined by shuffle.
@@ -41,6 +41,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without recomputing them.
+
+    The optimizer would copy their expressions into a filter below; the row id,
+    which may not be copied, holds the filter where it is.
+    """
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.filter(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast a dimension after checking its size; larger ones join by shuffle."""
     rows = df.limit(limit + 1).count()

@@ -86,7 +86,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cmd_id, session_id, ts, tool_name, tool_input``: the calls as logged payloads.
+    """``cmd_id, session_id, ts, tool_name, tool_input, value``: the calls as logged payloads.
 
     Shell calls come with the odd shapes a log has: no command, a blank one, one
     that is not a string.
@@ -113,7 +113,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         n.alias("cmd_id"), F.concat(F.lit("s"), u).alias("session_id"), "ts", tool.alias("tool_name"),
         F.when(tool == "Bash", shell).when(tool == "Read", read).when(tool == "WebFetch", fetch)
-        .otherwise(write).alias("tool_input"),
+        .otherwise(write).alias("tool_input"), "value",
     )
 
 
@@ -218,10 +218,8 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged decisions: one record per call, shapes of several versions."""
-    calls = tool_calls(spark, sf_dir).withColumnRenamed("cmd_id", "n")
-    extra = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), "value", F.col("event_type"))
+    e = tool_calls(spark, sf_dir).withColumnRenamed("cmd_id", "n")
     n = F.col("n")
-    e = calls.join(extra, "n")
     shell = F.col("tool_name") == "Bash"
     command = F.when(shell, F.get_json_object("tool_input", "$.command"))
     score = ((n * 37) % 1001).cast("double") / 1000.0
