@@ -51,6 +51,11 @@ def _ords(rules: list[patterns.Rule]) -> Column:
     return F.transform("views", lambda v: patterns.fired_ords(v["text"], rules))
 
 
+@build_once
+def _ords_of_text(text: str) -> Column:
+    return patterns.fired_ords(F.col(text), patterns.rule_bank())
+
+
 @build_once
 def _fired(rules: list[patterns.Rule], weights: dict) -> Column:
     return patterns.fired_rules(F.col("__ords"), rules, weights)

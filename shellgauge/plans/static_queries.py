@@ -305,14 +305,13 @@ def rule_match(spark: SparkSession, sf: str) -> DataFrame:
 _DOC_RULES = [r for r in RULES if r[0] not in sql.NOT_RE2]
 
 
-@query("rule_match_documents", f"""SELECT rule_id, count(*) AS documents FROM (
-    SELECT doc_id, unnest(list_filter([{', '.join(f"CASE WHEN {sql.has('text', '(?i)' + r[6])} THEN {sql.q(r[0])} END" for r in _DOC_RULES)}], lambda x: x IS NOT NULL)) AS rule_id
-    FROM documents) GROUP BY rule_id""")
+@query("rule_match_documents", f"""SELECT lang, source, count(*) AS documents, CAST(sum(len(f)) AS BIGINT) AS fires FROM (
+    SELECT lang, source, list_filter([{', '.join(f"CASE WHEN {sql.has('text', '(?i)' + r[6])} THEN {sql.q(r[0])} END" for r in _DOC_RULES)}], lambda x: x IS NOT NULL) AS f
+    FROM documents) GROUP BY ALL""")
 def rule_match_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules on whole documents."""
-    hits = _rules_on(adapters.table(spark, sf, "documents").select("doc_id", "text"))
-    return hits.groupBy("ord").agg(F.count("*").alias("documents")).join(
-        F.broadcast(_rule_table(spark).select("ord", "rule_id")), "ord").select("rule_id", "documents")
+    """Rules on whole documents, counted by language and source."""
+    docs = adapters.table(spark, sf, "documents").select("lang", "source", F.size(plan._ords_of_text("text")).alias("n"))
+    return docs.groupBy("lang", "source").agg(F.count("*").alias("documents"), F.sum("n").alias("fires"))
 
 
 OVERRIDES = {"SE-P-003": {"confidence": 0.75}, "SE-P-031": {"enabled": False}, "SE-P-103": {"confidence": 0.5}}
