@@ -17,6 +17,8 @@ HOLDOUT = 0.25
 SEED = 42
 MIN_PAIRS = 10
 BETA_RANGE = (0.02, 50.0)
+# A Newton step this short no longer changes a reported parameter.
+SETTLED = 1e-9
 
 
 def align_pairs(reference: DataFrame, target: DataFrame) -> DataFrame:
@@ -87,83 +89,96 @@ def _at(values: dict, axis: Column, kind: str) -> Column:
 def fit_platt(pairs: DataFrame, rounds: int = 200) -> list[dict]:
     """Slope and intercept of every noul axis, by damped Newton on soft targets.
 
-    Each round is two grouped aggregates over all axes; the driver only sees one
-    row per axis of the rubric.
+    Each round is one grouped aggregate over all axes at their current points;
+    the driver only sees one row per axis of the rubric. A point that does not
+    lower the loss halves the step from the last good one.
     """
     w = _weighted(pairs.filter(F.col("type") == "noul")).select(
         "axis", logit(F.col("p")[0]).alias("x"), F.col("q")[0].alias("q"), "w")
-    state = {r.axis: {"a": 1.0, "b": 0.0, "n": int(r.n)} for r in w.groupBy("axis").agg(F.sum("w").alias("n")).collect()}
-    steps = [0.5**i for i in range(20)]
-    live = set(state)
-    best: dict[str, float] = {}
-
-    def loss(a: Column, b: Column) -> Column:
-        s = clamp(sigmoid(a * F.col("x") + b), 1e-15, 1 - 1e-15)
-        return F.sum(F.col("w") * -(F.col("q") * F.log(s) + (1 - F.col("q")) * F.log(1 - s)))
-
-    axis = F.col("axis")
+    axis, x, q, wt = F.col("axis"), F.col("x"), F.col("q"), F.col("w")
+    at = {r.axis: {"a": 1.0, "b": 0.0, "n": int(r.n)} for r in w.groupBy("axis").agg(F.sum("w").alias("n")).collect()}
+    good: dict[str, tuple[float, float, float]] = {}
+    move: dict[str, tuple[float, float]] = {}
+    step = dict.fromkeys(at, 1.0)
+    live = set(at)
     for _ in range(rounds):
         if not live:
             break
-        a = _at({k: state[k]["a"] for k in live}, axis, "double")
-        b = _at({k: state[k]["b"] for k in live}, axis, "double")
-        cur = w.filter(axis.isin(sorted(live)))
-        s = sigmoid(a * F.col("x") + b)
-        res, cv, x, wt = s - F.col("q"), s * (1 - s), F.col("x"), F.col("w")
-        grad = {r.axis: r for r in cur.groupBy("axis").agg(
-            F.sum(wt * res * x).alias("ga"), F.sum(wt * res).alias("gb"), F.sum(wt * cv * x * x).alias("haa"),
-            F.sum(wt * cv * x).alias("hab"), F.sum(wt * cv).alias("hbb"), loss(a, b).alias("now")).collect()}
-        move = {}
-        for k in live:
-            g = grad[k]
-            haa, hbb, hab = g.haa + 1e-9, g.hbb + 1e-9, g.hab
-            det = haa * hbb - hab * hab
-            move[k] = ((hbb * g.ga - hab * g.gb) / det, (haa * g.gb - hab * g.ga) / det) if abs(det) > 1e-18 else (
-                g.ga / haa, g.gb / hbb)
-            best.setdefault(k, g.now)
-        da, db = (_at({k: move[k][i] for k in live}, axis, "double") for i in (0, 1))
-        tried = cur.groupBy("axis").agg(*[loss(a - da * h, b - db * h).alias(f"l{i}") for i, h in enumerate(steps)])
-        for r in tried.collect():
-            k, (pa, pb) = r.axis, move[r.axis]
-            i = next((i for i in range(len(steps)) if math.isfinite(r[f"l{i}"]) and r[f"l{i}"] <= best[k]), None)
-            if i is None:
-                live.discard(k)
-                continue
-            state[k]["a"] -= steps[i] * pa
-            state[k]["b"] -= steps[i] * pb
-            best[k] = r[f"l{i}"]
-            if abs(steps[i] * pa) + abs(steps[i] * pb) < 1e-12:
-                live.discard(k)
-    return [{"axis": k, "type": "noul", "method": "platt", **v} for k, v in sorted(state.items())]
-
-
-def fit_temperature(pairs: DataFrame, grid: int = 17, width: float = 1e-9) -> list[dict]:
-    """Temperature of every choice or score axis, by shrinking a grid over 1/t.
-
-    The loss is convex in 1/t, so the neighbours of the best grid point bracket
-    the minimum; one grouped aggregate per round serves all axes.
+        a = _at({k: at[k]["a"] for k in at}, axis, "double")
+        b = _at({k: at[k]["b"] for k in at}, axis, "double")
+        s = sigmoid(a * x + b)
+        kept = clamp(s, 1e-15, 1 - 1e-15)
+        rows = w.filter(axis.isin(sorted(live))).groupBy("axis").agg(
+            F.sum(wt * -(q * F.log(kept) + (1 - q) * F.log(1 - kept))).alias("loss"),
+            F.sum(wt * (s - q) * x).alias("ga"), F.sum(wt * (s - q)).alias("gb"),
+            F.sum(wt * s * (1 - s) * x * x).alias("haa"), F.sum(wt * s * (1 - s) * x).alias("hab"),
+            F.sum(wt * s * (1 - s)).alias("hbb")).collect()
+        for r in rows:
+            k = r.axis
+            if k in good and not (math.isfinite(r.loss) and r.loss <= good[k][2]):
+                step[k] /= 2
+                if step[k] <= 1e-6:
+                    at[k]["a"], at[k]["b"] = good[k][:2]
+                    live.discard(k)
+                    continue
+            else:
+                good[k] = (at[k]["a"], at[k]["b"], r.loss)
+                haa, hbb = r.haa + 1e-9, r.hbb + 1e-9
+                det = haa * hbb - r.hab * r.hab
+                move[k] = (
+                    ((hbb * r.ga - r.hab * r.gb) / det, (haa * r.gb - r.hab * r.ga) / det)
+                    if abs(det) > 1e-18 else (r.ga / haa, r.gb / hbb))
+                step[k] = 1.0
+                if abs(move[k][0]) + abs(move[k][1]) < SETTLED:
+                    live.discard(k)
+                    continue
+            at[k]["a"] = good[k][0] - step[k] * move[k][0]
+            at[k]["b"] = good[k][1] - step[k] * move[k][1]
+    for k in live & set(good):
+        at[k]["a"], at[k]["b"] = good[k][:2]
+    return [{"axis": k, "type": "noul", "method": "platt", **v} for k, v in sorted(at.items())]
+
+
+def fit_temperature(pairs: DataFrame, rounds: int = 100) -> list[dict]:
+    """Temperature of every choice or score axis: where the slope of the loss in 1/t is zero.
+
+    One grouped aggregate per round gives slope and curvature of all axes; a
+    Newton step that leaves the bracket becomes a bisection.
     """
     vectors = pairs.filter(F.col("type") != "noul")
+    w = _weighted(vectors.select("axis", "p", "q"))
     kinds = {r.axis: (r.type, int(r.n)) for r in vectors.groupBy("axis").agg(
         F.first("type").alias("type"), F.count("*").alias("n")).collect()}
-    w = _weighted(vectors)
-    bracket = {k: BETA_RANGE for k in kinds}
-
-    def kl(q: Column, p: Column) -> Column:
-        return F.aggregate(F.arrays_zip(q.alias("q"), p.alias("p")), F.lit(0.0), lambda acc, z: acc + F.when(
-            z["q"] > 0, z["q"] * F.log(z["q"] / F.greatest(z["p"], F.lit(EPS)))).otherwise(F.lit(0.0)))
-
-    while any(hi - lo > width for lo, hi in bracket.values()):
-        points = {k: [lo + (hi - lo) * i / (grid - 1) for i in range(grid)] for k, (lo, hi) in bracket.items()}
-        betas = _at(points, F.col("axis"), "array<double>")
-        rows = w.groupBy("axis").agg(*[
-            F.sum(F.col("w") * kl(F.col("q"), temper(F.col("p"), 1.0 / betas[i]))).alias(f"l{i}")
-            for i in range(grid)]).collect()
+    bracket = dict.fromkeys(kinds, BETA_RANGE)
+    beta = dict.fromkeys(kinds, 1.0)
+    live = set(kinds)
+    logs = F.transform("p", lambda v: F.log(F.greatest(v, F.lit(EPS))))
+    dot = lambda xs, ys: F.aggregate(
+        F.arrays_zip(xs.alias("x"), ys.alias("y")), F.lit(0.0), lambda acc, z: acc + z["x"] * z["y"])
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + v)
+    logged = w.withColumn("l", logs).withColumn("l2", F.transform("l", lambda v: v * v))
+    for _ in range(rounds):
+        if not live:
+            break
+        now = logged.filter(F.col("axis").isin(sorted(live))).withColumn(
+            "s", temper(F.col("p"), 1.0 / _at(beta, F.col("axis"), "double")))
+        # Probabilities at the floor no longer move the loss.
+        seen = now.withColumn("m", F.zip_with("q", "s", lambda q, s: F.when(s >= EPS, q).otherwise(F.lit(0.0))))
+        mean, mass = dot(F.col("s"), F.col("l")), total(F.col("m"))
+        rows = seen.groupBy("axis").agg(
+            F.sum(F.col("w") * (mass * mean - dot(F.col("m"), F.col("l")))).alias("slope"),
+            F.sum(F.col("w") * mass * (dot(F.col("s"), F.col("l2")) - mean * mean)).alias("curve")).collect()
         for r in rows:
-            i = min(range(grid), key=lambda j: r[f"l{j}"])
-            bracket[r.axis] = (points[r.axis][max(i - 1, 0)], points[r.axis][min(i + 1, grid - 1)])
-    return [{"axis": k, "type": kinds[k][0], "method": "temperature", "t": 2.0 / (lo + hi), "n": kinds[k][1]}
-            for k, (lo, hi) in sorted(bracket.items())]
+            k, (lo, hi) = r.axis, bracket[r.axis]
+            lo, hi = (lo, beta[k]) if r.slope > 0 else (beta[k], hi)
+            bracket[k] = (lo, hi)
+            nxt = beta[k] - r.slope / r.curve if r.curve > 0 else lo - 1
+            nxt = nxt if lo < nxt < hi else (lo + hi) / 2
+            if abs(nxt - beta[k]) < SETTLED or hi - lo < SETTLED:
+                live.discard(k)
+            beta[k] = nxt
+    return [{"axis": k, "type": kinds[k][0], "method": "temperature", "t": 1.0 / beta[k], "n": kinds[k][1]}
+            for k in sorted(beta)]
 
 
 def calibrated(pairs: DataFrame, params: list[dict]) -> DataFrame:
