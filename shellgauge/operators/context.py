@@ -274,3 +274,18 @@ def dedupe_states(items: DataFrame, state_hash_col: str, order: str) -> DataFram
         "duplicate", F.col("__first").isNull()).drop("__first")
 
 
+
+
+def running_count(df: DataFrame, key: list[str], order: list[str], bucket: Column, counted: Column,
+                  name: str) -> DataFrame:
+    """How many counted rows of the group come up to each row; bucketed like ``positions``."""
+    keyed = df.withColumn("__bucket", bucket).withColumn("__c", counted.cast("bigint"))
+    sizes = keyed.groupBy(*key, "__bucket").agg(F.sum("__c").alias("__n"))
+    before = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        keyed.join(offsets, [*key, "__bucket"])
+        .withColumn(name, F.col("__before") + F.sum("__c").over(inside))
+        .drop("__bucket", "__before", "__c")
+    )

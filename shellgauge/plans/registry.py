@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shellgauge.plans import judge_queries, static_queries
+from shellgauge.plans import flow_queries, judge_queries, static_queries
 
-MODULES = [static_queries, judge_queries]
+MODULES = [static_queries, judge_queries, flow_queries]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
