@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellgauge.functions.numeric import any_true
-from shellgauge.functions.text import any_of, clip, literal, starts_with_any, strip
+from shellgauge.functions.text import any_of, clip, let, literal, starts_with_any, strip
 
 # Budgets and markers.
 FIELD_CHARS = 4000
@@ -63,19 +63,11 @@ def tool_uses(rec: Column) -> Column:
 
 def sorted_json(text: Column) -> Column:
     """A flat JSON object as text with sorted keys and spaced separators."""
-    entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
-    value = lambda k, v: F.when(
-        F.get_json_object(text, F.lit("$")).isNotNull() & is_json_string(text, k), F.to_json(F.array(v)).substr(
-            F.lit(2), F.length(F.to_json(F.array(v))) - 2)).otherwise(F.coalesce(v, F.lit("null")))
-    pairs = F.transform(entries, lambda e: F.concat(
-        F.lit('"'), e["key"], F.lit('": '), value(e["key"], e["value"])))
-    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
-
-
-def is_json_string(text: Column, key: Column) -> Column:
-    """Whether the value of a key is a JSON string."""
-    parsed = F.from_json(text, "map<string,variant>")
-    return F.schema_of_variant(F.element_at(parsed, key)) == "STRING"
+    fields = F.from_json(text, "map<string,variant>")
+
+    pairs = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(
+        F.lit('"'), k, F.lit('": '), F.to_json(F.element_at(m, k))))
+    return F.concat(F.lit("{"), let(fields, lambda m: F.array_join(pairs(m), ", ")), F.lit("}"))
 
 
 def call_text(name: Column, tool_input: Column, field_chars: int = FIELD_CHARS) -> Column:

@@ -743,20 +743,20 @@ _DEDUPED = f"""SELECT *, CASE WHEN reason IS NULL AND shape <> 'pair' AND row_nu
 def _deduped(spark: SparkSession, sf: str) -> DataFrame:
     items = _reference_items(spark, sf).select("n", "shape", "reason", F.sha2("state", 256).alias("state_hash"))
     alone = F.col("reason").isNull() & (F.col("shape") != "pair")
-    flagged = ctx.dedupe_states(items.filter(alone), "state_hash", "n")
-    rest = items.filter(~F.coalesce(alone, F.lit(False))).withColumn("duplicate", F.lit(False))
+    flagged = ctx.dedupe_states(keep(items, alone), "state_hash", "n")
+    rest = keep(items, ~F.coalesce(alone, F.lit(False))).withColumn("duplicate", F.lit(False))
     return rest.unionByName(flagged).withColumn("why", F.when(F.col("duplicate"), F.lit("duplicate state")).otherwise(F.col("reason")))
 
 
 @query("skip_reason_counts", f"SELECT why AS reason, count(*) AS n FROM ({_DEDUPED}) WHERE why IS NOT NULL GROUP BY why")
 def skip_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _deduped(spark, sf).filter("why is not null").groupBy(F.col("why").alias("reason")).agg(F.count("*").alias("n"))
+    return keep(_deduped(spark, sf), F.col("why").isNotNull()).groupBy(F.col("why").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("limit_items", f"SELECT n, shape FROM ({_DEDUPED}) WHERE why IS NULL ORDER BY n LIMIT 200")
 def limit_items(spark: SparkSession, sf: str) -> DataFrame:
     """The limit is the feature: the first items in input order, by a top-k."""
-    return _deduped(spark, sf).filter("why is null").select("n", "shape").orderBy("n").limit(200)
+    return keep(_deduped(spark, sf), F.col("why").isNull()).select("n", "shape").orderBy("n").limit(200)
 
 
 @query("scan_command_corpus", sql.query("SELECT command, count(*) AS n FROM commands WHERE cmd_id % 5 > 1 GROUP BY command", "commands"))
@@ -788,11 +788,11 @@ def sink_error_records(spark: SparkSession, sf: str) -> DataFrame:
 @query("sink_pairs", f"SELECT 'local-1' AS target_model, count(*) AS n FROM ({_ITEM}) WHERE shape = 'pair' AND reason IS NULL")
 def sink_pairs(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "pairs")
-    pairs = _reference_items(spark, sf).filter((F.col("shape") == "pair") & F.col("reason").isNull()).select(
+    pairs = keep(_reference_items(spark, sf), (F.col("shape") == "pair") & F.col("reason").isNull()).select(
         F.col("item_id").alias("id"), F.lit(RUBRIC).alias("rubric_hash"), "target_model", "reference", "target")
     sinks.pairs(pairs, path)
     lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    again = logs.scan_reference_items(lines, RUBRIC, "judge-1").filter(F.col("reason").isNull())
+    again = keep(logs.scan_reference_items(lines, RUBRIC, "judge-1"), F.col("reason").isNull())
     return again.groupBy("target_model").agg(F.count("*").alias("n"))
 
 

@@ -82,20 +82,22 @@ def stream_session_context(calls: DataFrame, budget: int = 12000, turn_cost: int
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (turns, total) = state.get if state.exists else ([], 0)
         turns = list(turns)
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["ts", "tool_use_id"]).itertuples():
-            used, kept = 0, []
-            for turn in reversed(turns):
-                if kept and used + len(turn) + turn_cost > budget:
-                    break
-                used += len(turn) + turn_cost
-                kept.append(turn)
-            turns = kept[::-1]
-            out.append((key[0], row.tool_use_id, list(turns), total))
-            turns.append(row.call_text)
-            total += 1
+        # One Arrow batch at a time: a busy session never sits in memory whole.
+        for batch in batches:
+            out = []
+            for row in batch.sort_values(["ts", "tool_use_id"]).itertuples():
+                used, kept = 0, []
+                for turn in reversed(turns):
+                    if kept and used + len(turn) + turn_cost > budget:
+                        break
+                    used += len(turn) + turn_cost
+                    kept.append(turn)
+                turns = kept[::-1]
+                out.append((key[0], row.tool_use_id, list(turns), total))
+                turns.append(row.call_text)
+                total += 1
+            yield pd.DataFrame(out, columns=["session_id", "tool_use_id", "prior_actions", "actions_total"])
         state.update((turns, total))
-        yield pd.DataFrame(out, columns=["session_id", "tool_use_id", "prior_actions", "actions_total"])
 
     return calls.groupBy("session_id").applyInPandasWithState(
         update, "session_id string, tool_use_id string, prior_actions array<string>, actions_total bigint",
