@@ -48,6 +48,9 @@ PRINTF_OCT = r"(?U)printf\s+['\"]((?:\\0[0-7]{2,3})+)['\"]"
 NOT_PRINTABLE = r"(?U)[\p{Cntrl}\s&&[^ ]]"
 NOT_PRINTABLE_TEXT = r"(?U)[\p{Cntrl}\s&&[^ \n\t]]"
 
+# Text without any of these has nothing to rewrite or decode.
+MAY_CHANGE = r"[$`]|\"\"|''|  |base64|b64decode|printf|(?:sh|busybox)['\"]?\s+['\"]?-\S*c"
+
 
 def expand_ifs(text: Column) -> Column:
     """Turn ``$IFS`` spellings into spaces and squeeze runs of spaces."""
@@ -287,7 +290,8 @@ def views(command: Column) -> Column:
         return F.when((F.size(acc["frontier"]) == 0) | (room <= 0), acc).otherwise(let(kids, add))
 
     rounds = F.sequence(F.lit(1), F.lit(2 * (MAX_DEPTH + 1)))
-    return F.aggregate(rounds, start, grow, lambda acc: acc["views"])
+    grown = F.aggregate(rounds, start, grow, lambda acc: acc["views"])
+    return F.when(command.rlike(MAY_CHANGE), grown).otherwise(F.array(raw))
 
 
 def with_views(commands: DataFrame, command: str = "command") -> DataFrame:

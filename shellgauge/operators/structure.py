@@ -174,8 +174,14 @@ def risk(s: Column, ladder: dict[str, float] | None = None) -> Column:
     )
 
 
+_PLAIN = r"[;|&\n'\"\\`$()<>{}!]|\A\s*(?:if|then|elif|else|while|until|do|time|for|select|case|function|fi|done|esac)\b"
+
+
 def structure(text: Column, ladder: dict[str, float] | None = None) -> Column:
-    """Flags, atoms and risk of one view."""
+    """Flags, atoms and risk of one view.
+
+    Text without any shell syntax is one command; it takes a short way.
+    """
     names = [
         "parsed", "has_pipe", "has_redirect", "has_command_sub", "has_eval", "has_pipe_to_exec",
         "exec_by_path", "nested_sub_depth", "control_flow",
@@ -185,4 +191,13 @@ def structure(text: Column, ladder: dict[str, float] | None = None) -> Column:
         return let(flags(text, atom_list), lambda s: F.struct(
             atom_list.alias("atoms"), *[s[n].alias(n) for n in names], risk(s, ladder).alias("risk")))
 
-    return let(atoms(text), full)
+    def plain(atom: Column) -> Column:
+        evaluates = atom.rlike(r"\A(?:eval|source|\.)(?:\s|\z)")
+        off = {n: F.lit(False) for n in names}
+        given = {**off, "parsed": F.lit(True), "has_eval": evaluates, "nested_sub_depth": F.lit(0)}
+        score = F.when(evaluates, F.lit({**LADDER, **(ladder or {})}["eval"])).otherwise(F.lit(0.0))
+        return F.struct(F.array(F.when(atom == "", text).otherwise(atom)).alias("atoms"),
+                        *[given[n].alias(n) for n in names], score.alias("risk"))
+
+    words = F.array_join(F.filter(F.split(text, r"[ \t\r]+"), lambda w: w != ""), " ")
+    return F.when(text.rlike(_PLAIN), let(atoms(text), full)).otherwise(let(words, plain))
