@@ -167,10 +167,10 @@ def tier(sig: Column, profile: JudgeProfile | None = None, unavailable: tuple[st
     """First tier that fires in the configured order; an absent signal reads 0."""
     p = profile or JudgeProfile()
     th = p.thresholds
-    by_name = F.map_from_entries(sig)
 
     def first_match(m: Column) -> Column:
-        g = lambda k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0.0))
+        named = lambda k: F.try_element_at(F.filter(m, lambda s: s["name"] == k), F.lit(1))
+        g = lambda k: F.coalesce(named(k)["value"], F.lit(0.0))
         f5 = g("f5_exceeds_approval")
         moved = (g("a5_outbound_data") > th["transport"]) & (
             F.greatest(g("a1_reads_credentials"), g("a7_personal_data")) > th["sensitive"])
@@ -186,7 +186,7 @@ def tier(sig: Column, profile: JudgeProfile | None = None, unavailable: tuple[st
             out = F.when(fires[t], F.lit(t)).otherwise(out)
         return out
 
-    return let(by_name, first_match)
+    return let(sig, first_match)
 
 
 def verdict_of(tier_col: Column, profile: JudgeProfile | None = None) -> Column:

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellgauge.functions.numeric import EPS, clamp, logit, platt, sigmoid, temper
-from shellgauge.functions.text import literal
+from shellgauge.functions.numeric import EPS, clamp, is_finite, logit, platt, sigmoid, temper
+from shellgauge.functions.text import let, literal
 from shellgauge.operators.context import positions
 from shellgauge.session import checkpoint, small
 
@@ -24,30 +24,38 @@ SETTLED = 1e-9
 def align_pairs(reference: DataFrame, target: DataFrame) -> DataFrame:
     """One row per (item, axis) answered on both sides with the same kind.
 
-    Inputs: ``item_id, axis, type, noul, labels, probs``. Vectors follow the
-    reference's label order; a label the target lacks counts 0. A noul pair is
-    a vector of one.
+    Inputs: ``item_id, answers``. Items are joined once, whole, and answers are
+    matched on the row, so the shuffle carries items instead of answers.
+    Vectors follow the reference's label order; a label the target lacks
+    counts 0. A noul pair is a vector of one.
     """
-    r = reference.select("item_id", "axis", "type", F.col("noul").alias("q1"), F.col("labels").alias("ql"),
-                         F.col("probs").alias("qp"))
-    t = target.select("item_id", "axis", "type", F.col("noul").alias("p1"), F.col("labels").alias("pl"),
-                      F.col("probs").alias("pp"))
-
-    def aligned(label: Column) -> Column:
-        at = F.array_position(F.col("pl"), label)
-        return F.when(at > 0, F.try_element_at("pp", at.cast("int"))).otherwise(F.lit(0.0))
-
-    def finite(c: str) -> Column:
-        return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-
-    scalar = F.col("type") == "noul"
-    both = r.join(t, ["item_id", "axis", "type"])
-    usable = F.when(scalar, finite("p1") & finite("q1")).otherwise(
-        (F.coalesce(F.size("ql"), F.lit(0)) > 0) & (F.coalesce(F.size("pl"), F.lit(0)) > 0))
-    return both.filter(usable).select(
-        "item_id", "axis", "type",
-        F.when(scalar, F.array("p1")).otherwise(F.transform("ql", aligned)).alias("p"),
-        F.when(scalar, F.array("q1")).otherwise(F.col("qp")).alias("q"))
+    both = reference.select("item_id", F.col("answers").alias("__r")).join(
+        target.select("item_id", F.col("answers").alias("__t")), "item_id")
+
+    def pair(r: Column, t: Column) -> Column:
+        def aligned(label: Column) -> Column:
+            at = F.array_position(t["labels"], label)
+            return F.when(at > 0, F.try_element_at(t["probs"], at.cast("int"))).otherwise(F.lit(0.0))
+
+        scalar = r["type"] == "noul"
+        filled = lambda xs: F.coalesce(F.size(xs), F.lit(0)) > 0
+        usable = F.when(scalar, is_finite(t["noul"]) & is_finite(r["noul"])).otherwise(
+            filled(r["labels"]) & filled(t["labels"]))
+        return F.when((r["type"] == t["type"]) & usable, F.struct(
+            r["axis"].alias("axis"), r["type"].alias("type"),
+            F.when(scalar, F.array(t["noul"])).otherwise(F.transform(r["labels"], aligned)).alias("p"),
+            F.when(scalar, F.array(r["noul"])).otherwise(r["probs"]).alias("q")))
+
+    def match(sides: Column) -> Column:
+        return F.transform(sides["r"], lambda r: pair(r, F.try_element_at(sides["t"], r["axis"])))
+
+    # A repeated axis counts once, the first time.
+    names = F.transform("__t", lambda w: w["axis"])
+    once = let(names, lambda ns: F.filter("__t", lambda w, i: F.array_position(ns, w["axis"]) == i + 1))
+    sides = F.struct(F.col("__r").alias("r"), F.map_from_entries(F.transform(
+        once, lambda w: F.struct(w["axis"], w))).alias("t"))
+    pairs = both.select("item_id", F.explode_outer(let(sides, match)).alias("z"))
+    return pairs.filter("z is not null").select("item_id", "z.axis", "z.type", "z.p", "z.q")
 
 
 def target_models(items: DataFrame) -> DataFrame:
@@ -71,15 +79,15 @@ def holdout_split(items: DataFrame, item_id: str = "item_id", holdout: float = H
     ranked = positions(hashed, [], ["__key", item_id], F.substring("__key", 1, 3), "__rank")
     total = items.agg(F.count("*").alias("__total"))
     n_test = F.floor(F.col("__total") * holdout + 0.5)
-    # One row with the total, attached by broadcast.
-    sized = ranked.join(F.broadcast(total), F.lit(True))
+    # One row with the total, attached by an equi-join on a constant.
+    sized = ranked.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
     return sized.withColumn("split", F.when(F.col("__rank") <= n_test, F.lit("test")).otherwise(
-        F.lit("train"))).drop("__key", "__rank", "__total")
+        F.lit("train"))).drop("__key", "__rank", "__total", "__one")
 
 
 def _weighted(pairs: DataFrame) -> DataFrame:
     """Equal pairs counted once: the fits read this table once per round."""
-    return checkpoint(pairs.groupBy("axis", "p", "q").agg(F.count("*").cast("double").alias("w")))
+    return checkpoint(pairs.groupBy("axis", "type", "p", "q").agg(F.count("*").cast("double").alias("w")))
 
 
 def _at(values: dict, axis: Column, kind: str) -> Column:
@@ -145,10 +153,9 @@ def fit_temperature(pairs: DataFrame, rounds: int = 100) -> list[dict]:
     One grouped aggregate per round gives slope and curvature of all axes; a
     Newton step that leaves the bracket becomes a bisection.
     """
-    vectors = pairs.filter(F.col("type") != "noul")
-    w = _weighted(vectors.select("axis", "p", "q"))
-    kinds = {r.axis: (r.type, int(r.n)) for r in vectors.groupBy("axis").agg(
-        F.first("type").alias("type"), F.count("*").alias("n")).collect()}
+    w = _weighted(pairs.filter(F.col("type") != "noul"))
+    kinds = {r.axis: (r.type, int(r.n)) for r in w.groupBy("axis").agg(
+        F.first("type").alias("type"), F.sum("w").alias("n")).collect()}
     bracket = dict.fromkeys(kinds, BETA_RANGE)
     beta = dict.fromkeys(kinds, 1.0)
     live = set(kinds)

@@ -228,18 +228,14 @@ def calibration_pin_check(spark: SparkSession, sf: str) -> DataFrame:
     return checked.groupBy("pin_error").agg(F.count("*").alias("n"))
 
 
-def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    ref = _items(spark, sf)
-    return adapters.long_answers(ref), adapters.long_answers(adapters.target_answers(ref))
-
-
 _PAIRS = """SELECT item_id, axis, type, 0 AS pos, noul AS q, least(1.0, greatest(0.0, noul * CAST(0.8 AS DOUBLE) + CAST(0.05 AS DOUBLE))) AS p
       FROM answers WHERE type = 'noul' AND noul IS NOT NULL AND item_id % 9 <> 0
     UNION ALL SELECT item_id, axis, 'choice', pos, p, p * p / sum(p * p) OVER (PARTITION BY item_id, axis) FROM probs WHERE item_id % 9 <> 0"""
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.align_pairs(*_sides(spark, sf)).filter(F.col("type") != "score")
+    ref = _items(spark, sf)
+    return cal.align_pairs(ref, adapters.target_answers(ref)).filter(F.col("type") != "score")
 
 
 @query("pair_align", judged("SELECT axis, count(DISTINCT item_id) AS pairs, round(sum(p), 4) AS sum_p, round(sum(q), 4) AS sum_q FROM pairs GROUP BY axis", "probs", None, {"pairs": _PAIRS}))

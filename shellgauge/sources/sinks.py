@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def decision_log(df: DataFrame, path: str, fmt: str = "parquet", ts: str = "ts") -> None:
+def decision_log(df: DataFrame, path: str, fmt: str = "parquet", ts: str = "ts", files_per_date: int = 0) -> None:
     """Append records under one folder per date.
 
-    Rows of a date are spread over a few files by a hash of the record, so one
-    busy day is not written by a single task.
+    By default every task writes the dates it holds, without a shuffle. With
+    ``files_per_date`` rows are first spread by date and a hash of the record,
+    which bounds the number of files and splits a busy day over several tasks.
     """
     dated = df.withColumn("event_date", F.to_date(ts))
+    if files_per_date:
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != ts][:1]), F.lit(files_per_date))
+        dated = dated.withColumn("__salt", salt).repartition("event_date", "__salt").drop("__salt")
     dated.write.mode("append").partitionBy("event_date").format(fmt).save(path)
 
 
