@@ -9,11 +9,14 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # Unicode whitespace plus the four ASCII separators U+001C..U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
@@ -41,12 +44,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def build_once(build: Callable[..., Column]) -> Callable[..., Column]:
+def build_once(build: Callable[..., T]) -> Callable[..., T]:
     """Keep the columns a function builds: a long expression is described once per context."""
-    kept: dict[tuple, Column] = {}
+    kept: dict[tuple, T] = {}
 
     @functools.wraps(build)
-    def cached(*args: object) -> Column:
+    def cached(*args: object) -> T:
         context = SparkContext._active_spark_context
         key = (context.applicationId if context else None, repr(args))
         if key not in kept:

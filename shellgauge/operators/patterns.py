@@ -102,7 +102,10 @@ def fired_rules(per_view: Column, rules: list[Rule], weights: dict[str, float] |
             first.cast("int").alias("view"),
         ))
 
-    return F.transform(F.array_sort(F.array_distinct(F.flatten(per_view))), describe)
+    ords = F.array_sort(F.array_distinct(F.flatten(per_view)))
+    if len(rules) < len(RULES):
+        ords = F.filter(ords, lambda o: F.get(table, o).isNotNull())
+    return F.transform(ords, describe)
 
 
 def pattern_score(fired: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shellgauge.catalogs.profiles import DEFAULT, Profile
+from shellgauge.catalogs.profiles import DEFAULT, Profile, StaticProfile
 from shellgauge.functions.text import build_once, let
 from shellgauge.operators import canon, paths, patterns, policy, semantic, structure
 
@@ -75,12 +75,12 @@ def layer_evidence(commands: DataFrame, profile: Profile = DEFAULT, command: str
     }).drop("__ords")
 
 
-def layer_scores(evidence: DataFrame) -> DataFrame:
-    """Scores per layer from the evidence columns."""
+@build_once
+def _score_columns() -> dict[str, Column]:
     l3 = F.col("l3")
     top = F.array_max(F.transform(l3, lambda r: r["score"]))
     first = F.try_element_at(F.filter(l3, lambda r: r["score"] == top), F.lit(1))
-    return evidence.withColumn("__sem", semantic.semantic_score(F.col("atoms"))).withColumns({
+    return {
         "scores": F.struct(
             F.col("__sem.score").alias("sem"), F.coalesce(top, F.lit(0.0)).alias("path"),
             patterns.pattern_score(F.col("fired")).alias("pat"),
@@ -88,41 +88,57 @@ def layer_scores(evidence: DataFrame) -> DataFrame:
         ),
         "max_class": F.col("__sem.max_class"),
         "path_reason": F.when(top > 0, first["reason"]).otherwise(F.lit("paths_ok")),
-    }).drop("__sem")
+    }
 
 
-def decide(scored: DataFrame, profile: Profile = DEFAULT, mode: str = "balanced",
-           command: str = "command", judged: Column | None = None) -> DataFrame:
-    """Score, verdicts, skip predicate and decision from evidence and layer scores."""
-    s = profile.static
+@build_once
+def _semantic() -> Column:
+    return semantic.semantic_score(F.col("atoms"))
+
+
+def layer_scores(evidence: DataFrame) -> DataFrame:
+    """Scores per layer from the evidence columns."""
+    return evidence.withColumn("__sem", _semantic()).withColumns(_score_columns()).drop("__sem")
+
+
+@build_once
+def _decision_columns(s: StaticProfile, mode: str, command: str) -> list[dict[str, Column]]:
+    """Columns of a decision in three steps, each reading the one before."""
     sc = F.col("scores")
     hits = F.flatten(F.transform("l3", lambda r: r["hits"]))
-    out = scored.withColumns({
-        "raw_score": policy.aggregate_score(s.weights, sc["sem"], sc["path"], sc["pat"], sc["struct"]),
-        "triggered_layers": policy.triggered_layers(sc),
-        "rule_ids": F.transform("fired", lambda f: f["id"]),
-        "spath": paths.p_spath(hits),
-    })
-    out = out.withColumns({
-        "aggregate": F.bround("raw_score", 4),
-        "provisional": policy.provisional(F.col("raw_score"), s.modes),
-        "skip": policy.skip(F.col("fired"), F.col("spath"), F.col("atoms"), sc["path"], s),
-    })
     warn = (F.col("provisional")[mode] == "WARN") & F.col("skip.predicate").isNull()
+    return [
+        {
+            "raw_score": policy.aggregate_score(s.weights, sc["sem"], sc["path"], sc["pat"], sc["struct"]),
+            "triggered_layers": policy.triggered_layers(sc),
+            "rule_ids": F.transform("fired", lambda f: f["id"]), "spath": paths.p_spath(hits),
+        },
+        {
+            "aggregate": F.bround("raw_score", 4), "provisional": policy.provisional(F.col("raw_score"), s.modes),
+            "skip": policy.skip(F.col("fired"), F.col("spath"), F.col("atoms"), sc["path"], s),
+        },
+        {
+            "mode": F.lit(mode), "skip_predicate": F.col("skip.predicate"),
+            "skip_predicate_older": F.col("skip.older"), "would_adjudicate": warn,
+            "judge_prompt": F.when(warn, policy.judge_prompt(
+                F.col(command), F.col("raw_score"), F.col("triggered_layers"), F.col("rule_ids"))),
+        },
+    ]
+
+
+def decide(scored: DataFrame, profile: Profile = DEFAULT, mode: str = "balanced",
+           command: str = "command", judged: Column | None = None) -> DataFrame:
+    """Score, verdicts, skip predicate and decision from evidence and layer scores."""
+    out = scored
+    for step in _decision_columns(profile.static, mode, command):
+        out = out.withColumns(step)
     verdict = judged if judged is not None else F.lit("unadjudicated")
-    return out.withColumns({
-        "mode": F.lit(mode),
-        "skip_predicate": F.col("skip.predicate"),
-        "skip_predicate_older": F.col("skip.older"),
-        "would_adjudicate": warn,
-        "final": policy.final_decision(F.col("provisional")[mode], F.col("skip.predicate"), verdict),
-        "judge_prompt": F.when(warn, policy.judge_prompt(
-            F.col(command), F.col("raw_score"), F.col("triggered_layers"), F.col("rule_ids"))),
-    })
+    return out.withColumn("final", policy.final_decision(
+        F.col("provisional")[mode], F.col("skip_predicate"), verdict))
 
 
-def tags(decided: DataFrame, command: str = "command") -> DataFrame:
-    """Sorted FIX and EXT tags each row activated."""
+@build_once
+def _tags(command: str) -> Column:
     l1, atoms, l3 = F.col("l1"), F.col("atoms"), F.col("l3")
     ext = F.flatten(F.transform(l3, lambda r: F.transform(r["hits"], lambda h: h["ext"])))
     mkfs = F.exists("views", lambda v: v["text"].contains("mkfs.")
@@ -130,15 +146,19 @@ def tags(decided: DataFrame, command: str = "command") -> DataFrame:
                     & paths.access_context(v["text"])["mkfs_fs"])
     runtime = F.array_compact(F.array(
         F.when(F.exists(l1, lambda x: x["has_command_sub"]), F.lit("FIX-005")),
-        F.when(F.exists(atoms, lambda a: semantic.is_git_tag_listing(a["atom"])), F.lit("FIX-009")),
+        F.when(F.exists(atoms, lambda a: a["atom"].contains("git") & semantic.is_git_tag_listing(a["atom"])),
+               F.lit("FIX-009")),
         F.when(mkfs, F.lit("FIX-010")),
         F.when(F.exists(l1, lambda x: x["control_flow"]), F.lit("FIX-011")),
         F.when(F.exists(l1, lambda x: x["exec_by_path"]), F.lit("FIX-013")),
     ))
-    every = F.array_sort(F.array_distinct(F.concat(
-        F.array_compact(ext), runtime, F.col("skip.tags"),
-        canon.canon_tags(F.col(command), F.col("views")))))
-    return decided.withColumn("__tags", every).withColumns({
+    return F.array_sort(F.array_distinct(F.concat(
+        F.array_compact(ext), runtime, F.col("skip.tags"), canon.canon_tags(F.col(command), F.col("views")))))
+
+
+def tags(decided: DataFrame, command: str = "command") -> DataFrame:
+    """Sorted FIX and EXT tags each row activated."""
+    return decided.withColumn("__tags", _tags(command)).withColumns({
         "fixes_applied": F.filter("__tags", lambda t: t.startswith("FIX")),
         "ext_applied": F.filter("__tags", lambda t: t.startswith("EXT")),
     }).drop("__tags")
@@ -149,3 +169,30 @@ def analyze(commands: DataFrame, profile: Profile = DEFAULT, mode: str = "balanc
     """Everything the static pipeline says about each command."""
     evidence = layer_scores(layer_evidence(commands, profile, command, home))
     return tags(decide(evidence, profile, mode, command, judged), command)
+
+
+def under_profiles(commands: DataFrame, profiles: list[Profile], mode: str = "balanced",
+                   command: str = "command", home: str = "/home/user") -> DataFrame:
+    """Decisions under several profiles in one pass: one struct column per profile name.
+
+    Views, atoms, paths and rule matches are found once. The profiles may differ
+    in weights, bands, thresholds and rules, not in class, structure or path scores.
+    """
+    first = profiles[0].static
+    for p in profiles:
+        if (p.static.class_base, p.static.structure, p.static.path) != (first.class_base, first.structure, first.path):
+            raise ValueError(f"profile {p.name} scores classes, structure or paths differently: analyze it apart")
+    views = commands.withColumn("views", _views(command))
+    per_view = views.withColumns({
+        "l1": _structure(first.structure), "l3": _paths(home, first.path), "__ords": _ords(patterns.rule_bank()),
+    })
+    out = per_view.withColumn("atoms", _atoms(first.class_base))
+    for p in profiles:
+        rules = patterns.rule_bank(p.static.rules)
+        fired = out.withColumn("fired", _fired(rules, p.static.provenance))
+        decided = tags(decide(layer_scores(fired), p, mode, command), command)
+        packed = F.struct(
+            "provisional.strict", "provisional.balanced", "provisional.auto", "aggregate", "skip_predicate", "final",
+            "rule_ids", F.concat("fixes_applied", "ext_applied").alias("tags"))
+        out = decided.select(*out.columns, packed.alias(p.name))
+    return out.select(*commands.columns, *[p.name for p in profiles])

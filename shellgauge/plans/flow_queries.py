@@ -632,11 +632,10 @@ _FIELDS = ["strict", "balanced", "auto", "aggregate", "skip_predicate", "final"]
 
 
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Default against published decisions of the same commands."""
-    cols = ["cmd_id", "provisional.strict", "provisional.balanced", "provisional.auto", "aggregate", "skip_predicate", "final"]
-    ours = plan.tags(plan.decide(plan.layer_scores(plan.layer_evidence(adapters.commands(spark, sf), DEFAULT, "command", HOME)), DEFAULT))
-    mine = ours.select(*cols, F.concat("fixes_applied", "ext_applied").alias("tags"))
-    return parity.parity_diff(mine, _decided(spark, sf).select(*cols), "cmd_id", _FIELDS)
+    """Default against published decisions, both stored from one pass over the commands."""
+    both = checkpoint(plan.under_profiles(adapters.commands(spark, sf), [DEFAULT, PAPER], "balanced", "command", HOME).select("cmd_id", "default", "paper"))
+    ours = both.select("cmd_id", "default.*").drop("rule_ids")
+    return parity.parity_diff(ours, both.select("cmd_id", "paper.*").drop("rule_ids", "tags"), "cmd_id", _FIELDS)
 
 
 def _audit_sql(select: str) -> str:
@@ -661,7 +660,9 @@ def parity_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _audit(spark, sf).select("cmd_id", F.array_join("diff", ",").alias("diff"), "identical")
 
 
-@query("parity_allowlist")
+@query("parity_allowlist", _audit_sql("""SELECT cmd_id, problem FROM (SELECT d.cmd_id, CASE WHEN diff <> '' AND NOT listed THEN 'unexplained difference' WHEN diff = '' AND listed THEN 'stale entry'
+    WHEN diff <> '' AND NOT coalesce(sub, FALSE) THEN 'did not fire: FIX-005' END AS problem FROM (SELECT diffs.*, contains(command, '$(') AS listed FROM diffs JOIN commands USING (cmd_id)) d
+    LEFT JOIN (SELECT cmd_id, bool_or(has_command_sub) AS sub FROM structure GROUP BY cmd_id) USING (cmd_id)) WHERE problem IS NOT NULL"""))
 def parity_allowlist(spark: SparkSession, sf: str) -> DataFrame:
     """Every command that reads a substitution is listed as explained; the rest must be identical."""
     audit = checkpoint(_audit(spark, sf))
