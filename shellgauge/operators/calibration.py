@@ -76,13 +76,10 @@ def holdout_split(items: DataFrame, item_id: str = "item_id", holdout: float = H
     """
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(item_id).cast("string")), 256)
     hashed = items.withColumn("__key", key)
-    ranked = positions(hashed, [], ["__key", item_id], F.substring("__key", 1, 3), "__rank")
-    total = items.agg(F.count("*").alias("__total"))
+    ranked = positions(hashed, [], ["__key", item_id], F.substring("__key", 1, 3), "__rank", "__total")
     n_test = F.floor(F.col("__total") * holdout + 0.5)
-    # One row with the total, attached by an equi-join on a constant.
-    sized = ranked.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-    return sized.withColumn("split", F.when(F.col("__rank") <= n_test, F.lit("test")).otherwise(
-        F.lit("train"))).drop("__key", "__rank", "__total", "__one")
+    return ranked.withColumn("split", F.when(F.col("__rank") <= n_test, F.lit("test")).otherwise(
+        F.lit("train"))).drop("__key", "__rank", "__total")
 
 
 def _weighted(pairs: DataFrame) -> DataFrame:

@@ -78,25 +78,41 @@ def call_text(name: Column, tool_input: Column, field_chars: int = FIELD_CHARS)
         F.concat(name, F.lit("("), clip(sorted_json(tool_input), field_chars), F.lit(")")))
 
 
-def positions(df: DataFrame, key: list[str], order: list[str], bucket: Column, name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, key: list[str], order: list[str], bucket: Column, name: str = "pos",
+              total: str | None = None) -> DataFrame:
     """1-based rank of each row in its group, without putting a group into one task.
 
     ``bucket`` must grow with ``order``. Rows are ranked inside (group, bucket);
-    bucket sizes, already aggregated, give each bucket its offset.
+    bucket sizes, already aggregated, give each bucket its offset, and the group
+    its size when ``total`` names a column for it.
     """
-    keyed = df.withColumn("__bucket", bucket)
-    sizes = keyed.groupBy(*key, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(*key, "__bucket").orderBy(*order)
-    # Buckets are never null: a null order value sorts into the empty bucket.
+    keyed = _bucketed(df, key, bucket)
+    sizes = keyed.groupBy("__k").agg(F.count("*").alias("__n"))
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(_buckets_before(key)), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("__n").over(Window.partitionBy(*_group(key))))
+    inside = Window.partitionBy("__k").orderBy(*order)
     return (
-        keyed.join(offsets, [*key, "__bucket"])
+        keyed.join(offsets.drop("__n"), "__k")
         .withColumn(name, (F.col("__before") + F.row_number().over(inside)).cast("bigint"))
-        .drop("__bucket", "__before")
+        .drop("__k", "__before")
     )
 
 
+def _bucketed(df: DataFrame, key: list[str], bucket: Column) -> DataFrame:
+    """Group and bucket as one struct: equal also where a part is null, so no row is lost in a join."""
+    return df.withColumn("__k", F.struct(*key, bucket.alias("bucket")))
+
+
+def _group(key: list[str]) -> list[Column]:
+    return [F.col("__k")[c] for c in key]
+
+
+def _buckets_before(key: list[str]):  # noqa: ANN202
+    return Window.partitionBy(*_group(key)).orderBy(F.col("__k")["bucket"]).rowsBetween(
+        Window.unboundedPreceding, -1)
+
+
 def with_halo(ranked: DataFrame, key: list[str], pos: str, chunk: int, reach: int) -> DataFrame:
     """Split groups into chunks of consecutive rows, each preceded by the rows it looks back to.
 
@@ -271,13 +287,13 @@ def dedupe_states(items: DataFrame, state_hash_col: str, order: str) -> DataFram
 def running_count(df: DataFrame, key: list[str], order: list[str], bucket: Column, counted: Column,
                   name: str) -> DataFrame:
     """How many counted rows of the group come up to each row; bucketed like ``positions``."""
-    keyed = df.withColumn("__bucket", bucket).withColumn("__c", counted.cast("bigint"))
-    sizes = keyed.groupBy(*key, "__bucket").agg(F.sum("__c").alias("__n"))
-    before = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(*key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    keyed = _bucketed(df, key, bucket).withColumn("__c", counted.cast("bigint"))
+    sizes = keyed.groupBy("__k").agg(F.sum("__c").alias("__n"))
+    offsets = sizes.withColumn(
+        "__before", F.coalesce(F.sum("__n").over(_buckets_before(key)), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.join(offsets, [*key, "__bucket"])
+        keyed.join(offsets, "__k")
         .withColumn(name, F.col("__before") + F.sum("__c").over(inside))
-        .drop("__bucket", "__before", "__c")
+        .drop("__k", "__before", "__c")
     )

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from shellgauge.catalogs.profiles import DEFAULT, PAPER, WEIGHTS
 from shellgauge.catalogs.tags import REGISTRY
-from shellgauge.functions.text import clip, literal
+from shellgauge.functions.text import literal
 from shellgauge.operators import context as ctx
 from shellgauge.operators import parity, policy, replay, reports
 from shellgauge.operators import projections as pj
 from shellgauge.plans import analyze as plan
 from shellgauge.plans import judge_sql as js
+from shellgauge.plans import session_context as sc
 from shellgauge.plans import static_sql as sql
 from shellgauge.plans.static_queries import _decided, big, r6
 from shellgauge.session import checkpoint, keep, scratch
@@ -191,36 +192,14 @@ def tool_uses(spark: SparkSession, sf: str) -> DataFrame:
     return logs.transcript_calls(_records(spark, sf)).select("session", "seq", "tool_use_id", "name")
 
 
-def _ranked_calls(spark: SparkSession, sf: str) -> DataFrame:
-    calls = logs.transcript_calls(_records(spark, sf)).withColumn("call_text", ctx.call_text(F.col("name"), F.col("input")))
-    return ctx.positions(calls, ["session"], ["seq", "part"], F.floor(F.col("seq") / 1000))
-
-
 @query("prior_calls", _context_sql("""SELECT t.session, t.seq, t.tool_use_id, pos - 1 AS prior_calls, (SELECT count(*) FROM prompts p WHERE p.session = t.session AND p.seq < t.seq) AS prior_prompts FROM texts t"""))
 def prior_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Per call, the calls and prompts before it; prompts are counted by their running number."""
-    calls = _ranked_calls(spark, sf)
-    stamped = _with_request(spark, sf, calls)
+    records = _records(spark, sf)
+    stamped = sc.with_prompt_count(checkpoint(sc.ranked_calls(records)), checkpoint(sc.ranked_prompts(records)))
     return stamped.select("session", "seq", "tool_use_id", (F.col("pos") - 1).alias("prior_calls"), "prior_prompts")
 
 
-def _with_request(spark: SparkSession, sf: str, calls: DataFrame) -> DataFrame:
-    """Attach to each call the user request as of the last prompt before it.
-
-    Prompts and calls of a session are ranked on one time line; the running
-    number of prompts is the key of an equi-join, so no call meets all prompts.
-    """
-    prompts = logs.transcript_prompts(_records(spark, sf))
-    ranked = ctx.positions(prompts, ["session"], ["seq", "part"], F.floor(F.col("seq") / 1000), "prior_prompts")
-    requests = ctx.join_user_request(ranked, "session", "prior_prompts", "prompt").select(
-        "session", "prior_prompts", "user_request", "prompts_kept")
-    line = calls.select("session", "seq", F.lit(1).alias("kind"), "tool_use_id").unionByName(
-        prompts.select("session", "seq", F.lit(0).alias("kind")), allowMissingColumns=True)
-    numbered = ctx.running_count(line, ["session"], ["seq", "kind"], F.floor(F.col("seq") / 1000), F.col("kind") == 0, "prior_prompts")
-    counts = numbered.filter(F.col("kind") == 1).select("session", "tool_use_id", "prior_prompts")
-    return calls.join(counts, ["session", "tool_use_id"]).join(requests, ["session", "prior_prompts"], "left")
-
-
 @query("call_text", _context_sql("SELECT session, seq, call_text FROM texts"))
 def call_text(spark: SparkSession, sf: str) -> DataFrame:
     calls = logs.transcript_calls(_records(spark, sf))
@@ -237,15 +216,14 @@ _KEPT_TURNS = """SELECT a.session, a.seq, a.tool_use_id, b.pos AS bpos, b.call_t
 @query("join_user_request", _context_sql(f"""SELECT session, seq, string_agg(prompt, chr(10) || chr(10) ORDER BY bseq) AS user_request, count(*) AS prompts_kept
     FROM ({_KEPT_PROMPTS}) WHERE rn = 1 OR used <= {_REQUEST_BUDGET} GROUP BY ALL"""))
 def join_user_request(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = logs.transcript_prompts(_records(spark, sf))
-    ranked = ctx.positions(prompts, ["session"], ["seq", "part"], F.floor(F.col("seq") / 1000))
+    ranked = sc.ranked_prompts(_records(spark, sf))
     return ctx.join_user_request(ranked, "session", "pos", "prompt", _REQUEST_BUDGET).select("session", "seq", "user_request", "prompts_kept")
 
 
 @query("fitted_turns", _context_sql(f"""SELECT session, seq, string_agg(call_text, chr(10) ORDER BY bpos) AS history, count(*) AS kept
     FROM ({_KEPT_TURNS}) WHERE rn = 1 OR used <= {_HISTORY_BUDGET} GROUP BY ALL"""))
 def fitted_turns(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = ctx.fitted_history(_ranked_calls(spark, sf), "session", "pos", "call_text", _HISTORY_BUDGET)
+    fitted = ctx.fitted_history(sc.ranked_calls(_records(spark, sf)), "session", "pos", "call_text", _HISTORY_BUDGET)
     return keep(fitted, F.size("prior_actions") > 0).select(
         "session", "seq", F.array_join("prior_actions", "\n").alias("history"), big(F.size("prior_actions")).alias("kept"))
 
@@ -260,17 +238,7 @@ _LEVELED = f"""SELECT t.*, coalesce(h.history, '') AS history, coalesce(r.reques
 
 
 def _states(spark: SparkSession, sf: str) -> DataFrame:
-    """Every call with its level and the text a judge would see."""
-    calls = ctx.fitted_history(_ranked_calls(spark, sf), "session", "pos", "call_text")
-    c = _with_request(spark, sf, calls).withColumn("user_request", F.coalesce("user_request", F.lit("")))
-    level = ctx.context_level(F.lit(True), F.col("actions_total"), F.col("user_request"))
-    args = F.when(F.col("name") == "Bash", F.get_json_object("input", "$.command")).otherwise(ctx.sorted_json(F.col("input")))
-    tool = F.when(F.col("name") == "Bash", F.lit("bash")).otherwise(F.col("name"))
-    with_level = c.withColumns({"level": level, "args": args, "tool": tool})
-    decoded = with_level.withColumn("decoded", ctx.decode_payloads(F.col("args")))
-    state = ctx.render_state(F.col("level"), F.col("tool"), clip(F.col("args"), ctx.FIELD_CHARS),
-                             clip(F.col("user_request"), ctx.FIELD_CHARS), F.col("prior_actions"), F.col("decoded"))
-    return decoded.withColumn("state", state)
+    return sc.call_states(_records(spark, sf))
 
 
 @query("context_level", _context_sql(f"SELECT session, seq, level FROM ({_LEVELED})"))
@@ -292,7 +260,7 @@ def render_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("state_hash", _context_sql(f"SELECT session, seq, sha256(CASE level WHEN 'L0' THEN 'l0_action' WHEN 'L1' THEN 'l1_request' ELSE 'l2_actions' END || chr(10) || state) AS state_hash FROM (SELECT *, {_STATE} AS state FROM ({_LEVELED}))"))
 def state_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return _states(spark, sf).select("session", "seq", ctx.state_hash(F.col("level"), F.col("state")).alias("state_hash"))
+    return _states(spark, sf).select("session", "seq", "state_hash")
 
 
 @query("state_dedupe", js.log("SELECT tool_use_id, row_number() OVER (PARTITION BY state ORDER BY tool_use_id) > 1 AS duplicate FROM log WHERE state IS NOT NULL"))

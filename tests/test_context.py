@@ -100,6 +100,24 @@ def test_positions_are_global_ranks(spark):
     assert running[-1].evens == sum(o % 2 == 0 for o in range(1000) if o % 3 == running[-1].k)
 
 
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", None), ("a", 5)], "k string, o int")
+    got = ctx.positions(df, ["k"], ["o"], F.floor(F.col("o") / 2)).orderBy("k", "o").collect()
+    assert [r.pos for r in got] == [1, 2, 1, 2]
+
+
+def test_call_states(spark):
+    from shellgauge.plans.session_context import call_states
+
+    got = {r.tool_use_id: r for r in call_states(records(spark)).collect()}
+    assert len(got) == 3 and [got[c].level for c in ("c1", "c2", "c3")] == ["L1", "L2", "L2"]
+    assert got["c3"].state == (
+        "### PROPOSED ACTION\ntool: bash\nargs: rm -rf build\n\n### USER REQUEST\n"
+        "Run the tests\n\nnow clean the build dir\n\nlook\n\n### PRIOR AGENT ACTIONS (most recent last)\n"
+        '[1] bash(pytest -q)\n[2] Read({"file_path": "/w/a.py", "limit": 5})')
+    assert got["c1"].user_request == "Run the tests" and not got["c1"].prior_actions
+
+
 def test_decoders(spark):
     texts = ["echo 'aGVsbG8gd29ybGQK' | sh", r"printf '\x72\x6d\x20\x2d\x72\x66'",
              "x 0x726d202d7266202f746d702f7a7a7a7a7a z", "cat${IFS}/etc/passwd", "git commit -m refactoringStuff"]
