@@ -43,8 +43,8 @@ B64_FLAG_BSD = r"(?U)\bbase64\s+-D\b"
 B64_RUN = r"[A-Za-z0-9+/]{10,}={0,2}"
 B64_RUN_UNPADDED = r"(?U)\b[A-Za-z0-9+/]{12,}={0,2}\b"
 B64_STRICT = r"\A(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
-PRINTF_HEX = r"(?U)printf\s+['\"]((?:\\x[0-9a-fA-F]{2})+)['\"]"
-PRINTF_OCT = r"(?U)printf\s+['\"]((?:\\0[0-7]{2,3})+)['\"]"
+PRINTF_HEX = r"(?U)printf\s+['\"]((?:\\x[0-9a-fA-F]{2})++)['\"]"
+PRINTF_OCT = r"(?U)printf\s+['\"]((?:\\0[0-7]{2,3}+)++)['\"]"
 NOT_PRINTABLE = r"(?U)[\p{Cntrl}\s&&[^ ]]"
 NOT_PRINTABLE_TEXT = r"(?U)[\p{Cntrl}\s&&[^ \n\t]]"
 

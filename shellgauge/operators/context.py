@@ -22,7 +22,7 @@ SYSTEM_PREFIXES = [
 SYSTEM_MARKER = "<system-reminder>"
 LEVEL_NAME = {"L0": "l0_action", "L1": "l1_request", "L2": "l2_actions", "L3": "l3_results"}
 B64_RUN = r"[A-Za-z0-9+/]{12,}={0,2}"
-HEX_ESCAPES = r"(?:\\x[0-9a-fA-F]{2}){4,}"
+HEX_ESCAPES = r"(?:\\x[0-9a-fA-F]{2}){4,}+"
 HEX_BLOB = r"(?U)\b(?:0x)?[0-9a-fA-F]{32,}\b"
 
 
@@ -279,7 +279,7 @@ def dedupe_states(items: DataFrame, state_hash_col: str, order: str) -> DataFram
     """Flag all but the first item of each state; counts are combined before the shuffle."""
     first = items.groupBy(state_hash_col).agg(F.min(order).alias(order)).withColumn("__first", F.lit(True))
     return items.join(first, [state_hash_col, order], "left").withColumn(
-        "duplicate", F.col("__first").isNull()).drop("__first")
+        "duplicate", F.col("__first").isNull() & F.col(state_hash_col).isNotNull()).drop("__first")
 
 
 

@@ -32,7 +32,7 @@ _WORD_UNIT = rf"[^ \t\r\n'\"\\$`<>|&;()]++|{_UNIT}|\$"
 _WITHOUT_REDIRECTS = rf"(?s){_REDIRECT}\s*+(?:{_WORD_UNIT})*+|({_UNIT}|[^\\'\"$`<>&\d\s]++|.)"
 _ATOM_PIECE = rf"(?s)[^ \t\r\n'\"\\$`<>]++|{_UNIT}|[$<>]"
 _ATOM_WORD = rf"(?s)(?:[^ \t\r\n'\"\\$`<>]++|{_UNIT}|[$<>])++"
-_CONTROL = r"\A\s*(?:(?:if|then|elif|else|while|until|do|time|!|\{)(?:\s+|\z))+"
+_CONTROL = r"\A\s*(?:(?:if|then|elif|else|while|until|do|time|!|\{)(?:\s+|\z))++"
 _CONTROL_ONLY = r"\A\s*(?:(?:fi|done|esac|\}|else|then|do|;)|(?:for|select|case)\s.*|function\s+\w+\s*\{?)?\s*\z"
 _INTERP = "|".join(INTERPRETERS)
 _PIPE = r"(?<!\|)\|&?(?!\|)"

@@ -76,7 +76,7 @@ def payload_rebuild(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("field_truncate", """SELECT doc_id, CASE WHEN strlen(text) > 4096 THEN CAST(strlen(text) AS BIGINT) END AS len, CASE WHEN strlen(text) > 4096 THEN sha256(text) END AS sha256,
-    CASE WHEN strlen(text) > 4096 THEN CAST(list_max(list_filter(range(4000, 4097), lambda n: n <= 4096)) AS BIGINT) END AS limit_bytes FROM documents""")
+    CASE WHEN strlen(text) > 4096 THEN CAST(4096 AS BIGINT) END AS limit_bytes FROM documents""")
 def field_truncate(spark: SparkSession, sf: str) -> DataFrame:
     """Length and digest of long texts; the kept prefix always fits the limit and is a prefix."""
     cut = pj.field_truncate(F.col("text"))

@@ -184,3 +184,23 @@ def test_tags(spark):
     }
     got = outcome(spark, PAPER, list(want))
     assert {c: t in (got[c].fixes_applied + got[c].ext_applied) for c, t in want.items()} == dict.fromkeys(want, True)
+
+
+def test_long_commands(spark):
+    """Whole texts are read, however long, and no pattern runs out of stack."""
+    import base64
+
+    n = 30_000
+    payload = base64.b64encode(b"echo a; " * n + b"rm -rf /").decode()
+    long = {
+        "hex": "printf '" + r"\x61" * n + "' | sh", "oct": "printf '" + r"\0141" * n + "' | sh",
+        "b64": f"echo {payload} | base64 -d | sh", "list": "echo a; " * n + "rm -rf /",
+        "quotes": "echo " + "'a b' \"c d\" " * n + "; rm -rf /", "nest": "echo " + "$(a " * 2000 + ")" * 2000,
+        "ifs": "rm" + "${IFS}" * n + "-rf /", "open": "echo '" + "a" * n, "vars": "a=rm; " + "$a " * n,
+        "paths": "cat " + "/etc/passwd " * n, "prose": "lorem ipsum dolor " * n, "backticks": "`echo a` " * n,
+    }
+    got = outcome(spark, PAPER, list(long.values()))
+    by = {k: got[v] for k, v in long.items()}
+    assert [by[k].final for k in ("b64", "list", "quotes", "ifs")] == ["deny"] * 4
+    assert by["hex"].views[1].text == "a" * n and by["oct"].views[1].text == "a" * n
+    assert len(by["list"].atoms) == 2 and by["nest"].l1[0].nested_sub_depth == 2000
