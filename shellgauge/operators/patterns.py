@@ -69,9 +69,14 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(F.upper(text)), "\u0307", "")
 
 
+def engine_pattern(pattern: str) -> str:
+    """The pattern as run: a closing repeat never gives back, so long texts cannot exhaust the stack."""
+    return FLAGS + re.sub(r"(\)\{\d+,\})$", r"\1+", pattern)
+
+
 def fires(text: Column, key: Column, rule: Rule) -> Column:
     """Whether one rule matches; ``key`` is the folded text."""
-    matched = text.rlike(FLAGS + rule.pattern)
+    matched = text.rlike(engine_pattern(rule.pattern))
     literal = required_literal(rule.pattern)
     return (key.contains(literal) & matched) if literal else matched
 
