@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellgauge.llm import bpe, sharding
+from shellgauge.llm import bpe, quality_rules, secrets, sharding, urls, warc
 from shellgauge.llm.common import table
+from shellgauge.session import scratch
 
 #: The vocabulary of the encoding query.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,8 +27,43 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to an archive and read back."""
+    at = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), at)
+    back = warc.read_headers(spark, at)
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document by the learned list."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
 Q = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op3_urls": op3_urls,
+    "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
+    "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
