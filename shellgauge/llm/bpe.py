@@ -37,7 +37,7 @@ from shellgauge.llm.common import sha256_hex, text_or_empty
 #: A vocabulary file larger than this is refused, since every worker holds it.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Chunks a worker remembers, in each of two generations.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 #: Words of more characters than this take their merges from a heap.
 SCAN_CHARS = 64
 #: Chunks of more characters than this are not remembered.
