@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellgauge.llm import bpe, quality_rules, secrets, sharding, urls, warc
+from shellgauge.llm import bpe, quality_model, quality_rules, secrets, sharding, urls, warc
 from shellgauge.llm.common import table
 from shellgauge.session import scratch
 
@@ -39,6 +39,12 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated quality score of every document."""
+    scored = quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_model.ACCEPT).cast("int"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
@@ -62,6 +68,7 @@ Q = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op3_urls": op3_urls,
+    "op4_quality_model": op4_quality_model,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
