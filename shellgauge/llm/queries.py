@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellgauge.llm import bpe, quality_model, quality_rules, secrets, sharding, urls, warc
+from shellgauge.llm import bpe, near_dup, quality_model, quality_rules, secrets, sharding, urls, warc
 from shellgauge.llm.common import table
 from shellgauge.session import scratch
 
@@ -45,6 +45,11 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality_model.ACCEPT).cast("int"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
@@ -69,6 +74,7 @@ Q = {
     "op2_sharding": op2_sharding,
     "op3_urls": op3_urls,
     "op4_quality_model": op4_quality_model,
+    "op6_near_dup": op6_near_dup,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
