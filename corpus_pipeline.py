@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shellgauge.llm import bpe
+from shellgauge.llm import bpe, decontamination, near_dup, quality_rules, secrets
 from shellgauge.llm.common import table
 from shellgauge.llm.queries import TOKENIZER
 from shellgauge.session import scratch
@@ -14,13 +14,37 @@ from shellgauge.session import scratch
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the learned decision list keep."""
+    return quality_rules.keep_good(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the least doc_id."""
+    return near_dup.keep_one(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts."""
+    return secrets.redact(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document that is left."""
     return bpe.encode(docs, TOKENIZER)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("bpe", encode_bpe),
+    ("quality rules", good_quality),
+    ("near duplicates", one_of_each_class),
+    ("benchmark decontamination", no_benchmark),
+    ("secret scan", no_secrets),
+    ("bpe", encoded),
 ]
 
 
@@ -28,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each result is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        at = scratch(spark, f"pipeline-{name}")
+        at = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellgauge.llm import bpe, near_dup, quality_model, quality_rules, secrets, sharding, urls, warc
+from shellgauge.llm import bpe, decontamination, near_dup, quality_model, quality_rules, secrets, sharding, urls, warc
 from shellgauge.llm.common import table
 from shellgauge.session import scratch
 
@@ -45,6 +45,12 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality_model.ACCEPT).cast("int"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, and the item."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "windows")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ Q = {
     "op2_sharding": op2_sharding,
     "op3_urls": op3_urls,
     "op4_quality_model": op4_quality_model,
+    "op5_decontamination": op5_decontamination,
     "op6_near_dup": op6_near_dup,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
