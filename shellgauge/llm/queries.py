@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellgauge.llm import bpe, decontamination, near_dup, quality_model, quality_rules, secrets, sharding, urls, warc
+from shellgauge.llm import bpe, class_lm, decontamination, near_dup, quality_model, quality_rules, secrets, sharding, urls, warc
 from shellgauge.llm.common import table
 from shellgauge.session import scratch
 
@@ -56,6 +56,11 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class model's score of every document, beside the plain one."""
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
@@ -82,8 +87,33 @@ Q = {
     "op4_quality_model": op4_quality_model,
     "op5_decontamination": op5_decontamination,
     "op6_near_dup": op6_near_dup,
+    "op7_class_lm": op7_class_lm,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_urls": """
+        WITH parsed AS (
+            SELECT page_id,
+                   CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END AS raw,
+                   CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        parts AS (
+            SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+            FROM parsed),
+        fitting AS (
+            SELECT *, '.' || host AS dotted FROM parts),
+        ruled AS (
+            SELECT page_id, host, path,
+                   CASE WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                        WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                        WHEN ends_with(dotted, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                        WHEN ends_with(dotted, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                        WHEN ends_with(dotted, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+            FROM fitting)
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+               CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled""",
+}
