@@ -116,4 +116,16 @@ SQL: dict[str, str] = {
         SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
                CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op9_warc": """
+        WITH hashed AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex
+            FROM pages),
+        largest AS (
+            SELECT body, max(page_id) AS top FROM hashed GROUP BY body)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::BIGINT) >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+               CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+        FROM hashed JOIN largest USING (body)""",
 }
