@@ -42,6 +42,8 @@ LEAST_CANDIDATE = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST_CANDIDATE},}}={{0,2}}"
 #: Share of false discoveries that is accepted.
 RATE = 0.01
+#: Least -10 log10 p of any accepted candidate: a corpus of few candidates must not accept identifiers.
+WEAKEST = 40
 #: Ordinary text, against which a candidate must stand out: chance that two letters agree, and that the class changes.
 AGREE, CHANGE = 0.065, 0.2
 #: Serial correlation beyond this many standard errors is regular, not random.
@@ -167,7 +169,7 @@ def p_steps(s: Column) -> Column:
         combined = (chi_squared_z(body, n, k) + runs_z(body, n)) / sqrt(2)
         p = F.greatest(upper_tail(combined), F.lit(1e-300))
         steps = F.least(F.floor(-10 * F.log10(p)), F.lit(STEPS))
-        return F.when(k.isNull() | (F.abs(serial_z(body, n)) > REGULAR), 0).otherwise(F.greatest(steps, F.lit(0))).cast("int")
+        return F.when(n < LEAST_CANDIDATE, 0).when(k.isNull() | (F.abs(serial_z(body, n)) > REGULAR), 0).otherwise(F.greatest(steps, F.lit(0))).cast("int")
 
     return let(F.rtrim(s, F.lit("=")), battery)
 
@@ -200,7 +202,7 @@ def thresholds(texts: DataFrame) -> list[int]:
     """Least steps of p accepted in each length class, from a column ``t`` of whole texts.
 
     Benjamini and Hochberg: the largest p such that p times the candidates is at
-    most the rate times the candidates accepted.
+    most the rate times the candidates accepted; never weaker than ``WEAKEST``.
     """
     found = texts.select(F.explode(scan(F.col("t"))["found"]).alias("c"))
     counts = found.groupBy(F.col("c.size").alias("size"), F.col("c.steps").alias("steps")).count().collect()
@@ -210,7 +212,7 @@ def thresholds(texts: DataFrame) -> list[int]:
         total, taken, least = sum(n for _, n in own), 0, STEPS + 1
         for steps, n in own:
             taken += n
-            if steps and 10 ** (-steps / 10) * total <= RATE * taken:
+            if steps >= WEAKEST and 10 ** (-steps / 10) * total <= RATE * taken:
                 least = steps
         out.append(least)
     return out
