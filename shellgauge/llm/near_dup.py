@@ -11,10 +11,12 @@ nothing.
 
 Copies (texts of equal words) are one node. In every bucket of equal sketches
 the members are first compared with one leader; connected components then tell
-which members are still apart, and only pairs from different components of a
-bucket are compared further. A group of near copies costs its size, not its
-square, and no link that could join two classes is left out. Buckets meet by
-counts combined before they move, and joins on them are ordinary shuffles.
+which members are still apart. Small buckets compare those pairs directly; the
+members of crowded buckets meet through their rarest windows, which is exact and
+keeps apart texts that have too many windows of their own. A group of near
+copies costs its size, not its square, and no link that could join two classes
+is left out. Buckets meet by counts combined before they move, and joins on them
+are ordinary shuffles.
 
 Defaults miss a pair of similarity 0.8 with a chance of about one in ten
 million. Texts of few windows have sketches of fewer minima, and texts of less
@@ -48,13 +50,15 @@ WINDOW, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 40, 5
 SHORT, SHORT_SKETCHES, SHORT_MINIMA = 40, 20, 2
 LONG = 20
-#: Sketches that a pair must share to be compared beyond its bucket's leader.
-LEAST_SHARED = 2
+#: Members of a bucket that are compared with each other directly; beyond, pairs are found by prefixes.
+DIRECT = 12
 SEED = 77
 #: Hashes of a text's windows under several seeds at once take at most this many cells.
 CELLS = 1 << 20
 #: Rows of the largest set of dropped documents that is broadcast.
 MAX_DROPPED = 200_000
+#: Edges a task of the components takes, about.
+TASK_EDGES = 500_000
 #: Words whose hash a worker remembers.
 CACHE_WORDS = 300_000
 WORD = re.compile(rf"[^{BLANKS}]+")
@@ -192,14 +196,53 @@ def verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def prefix_pairs(open_nodes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of different roots that may be similar, for nodes of crowded buckets.
+
+    Windows are ordered from rare to common. If two texts are similar, the first
+    window they share leaves each of them enough windows for the chain, so it
+    stands in a short prefix. A text with many edits of its own has only windows
+    of its own there and meets nobody; what is left of a crowd mostly has one
+    root, and only members of other roots are joined with the rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [windows(np.frombuffer(raw, dtype=np.uint32)).view(np.int64) for raw in batch.column(2).to_pylist()]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+            flat = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], ["node", "root", "w"])
+
+    source = open_nodes.join(sequences, "node").select("node", "root", "sequence")
+    windowed = source.mapInArrow(run, "node long, root long, w array<long>")
+    each = windowed.select("node", "root", F.size("w").alias("n"), F.explode("w").alias("w"))
+    common = each.groupBy("w").agg(F.count("*").alias("texts"))
+    ordered = each.join(common, "w").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "w"))).alias("l"))
+    short = F.slice("l", 1, (F.col("n") - F.ceil(F.col("n") * SIMILARITY) + 1).cast("int"))
+    prefix = ordered.select("node", "root", "n", F.posexplode(short).alias("pos", "x")).filter("x.texts > 1")
+    prefix = _written(prefix.select("node", "root", "n", "pos", F.col("x.w").alias("w")), "near-prefixes")
+    of_root = prefix.groupBy("w", "root").count().groupBy("w").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("roots"))
+    crowd = prefix.join(of_root.filter("roots > 1").drop("roots"), "w")
+    one = crowd.filter(F.col("root") != F.col("main")).select("w", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "n", "pos")])
+    other = crowd.select("w", "main", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "pos")])
+    chain = (F.col("n_1") + F.col("n_2")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    return (
+        one.join(other, "w")
+        .filter((F.col("root_1") != F.col("root_2")) & ((F.col("root_2") == F.col("main")) | (F.col("node_1") < F.col("node_2"))))
+        .filter((F.col("n_1") - F.col("pos_1") >= chain) & (F.col("n_2") - F.col("pos_2") >= chain))
+        .select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) of every node with an edge.
 
     Nodes take the least root among their neighbours, then the root of their
     root, until nothing changes; each round is checkpointed.
     """
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    roots = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    tasks = 1 + 2 * edges.count() // TASK_EDGES
+    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().coalesce(tasks))
+    roots = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")).coalesce(tasks))
     while True:
         offered = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("offer"))
         nearer = roots.join(offered, F.col("node") == F.col("a"), "left").select(
@@ -208,6 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
         of_root = nearer.select(F.col("node").alias("root"), F.col("root").alias("far"))
         moved = checkpoint(
             nearer.join(of_root, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
+            .coalesce(tasks)
         )
         changed = moved.filter(F.col("old") != F.col("root")).limit(1).count()
         roots = moved.select("node", "root")
@@ -241,15 +285,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     roots = components(edges)
     # members of a bucket that are still in different components
     placed = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    still = _written(placed.join(apart, "bucket"), "near-open")
-    left, right = (still.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "ab")
-    close = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-    rest = (
-        left.join(right, "bucket").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close)
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("times"))
-        .filter(F.col("times") >= LEAST_SHARED).join(stars, ["a", "b"], "left_anti")
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+    still = _written(placed.join(apart.filter("low <> high").select("bucket", "members"), "bucket"), "near-open")
+    few, many = still.filter(F.col("members") <= DIRECT), still.filter(F.col("members") > DIRECT)
+    direct = few.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "n", "root"))).alias("m"))
+    direct = direct.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter(
+        (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+        & (F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n"))
     )
+    rest = direct.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).union(
+        prefix_pairs(many.select("node", "root").distinct(), sequences)
+    ).distinct().join(stars, ["a", "b"], "left_anti")
     more = _written(verified(rest, sequences), "near-edges")
     joined = components(edges.unionByName(more))
     of_node = nodes.select("node", "tid", "least_key").join(joined, "node", "left").withColumn("class", F.coalesce("root", "node"))

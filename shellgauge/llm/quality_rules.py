@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from shellgauge.functions.text import let
 from shellgauge.llm.common import BLANKS, text_or_empty, whole_row, words
-from shellgauge.session import keep, scratch
+from shellgauge.session import keep
 
 #: Labelled documents that a list is learned from, at most.
 MAX_LABELLED = 20_000
 #: Thresholds tried for a statistic, at most.
 THRESHOLDS = 32
+#: Tasks over the sample.
+LEARNING_TASKS = 8
 MAX_RULES, MAX_CONDITIONS = 8, 3
 #: A rule must be this precise on the pruning third, and cover so many bad documents over all.
 LEAST_PRECISION, LEAST_COVER = 0.9, 5
@@ -173,17 +175,14 @@ def labelled_sample(labels: DataFrame, key: str = "doc_id", label: str = "qualit
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
     """The decision list that labelled documents teach."""
-    spark = docs.sparkSession
     wanted = labelled_sample(labels, key, label)
     known = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("t")).join(F.broadcast(wanted), "key")
     measured = known.select("key", "bad", statistics(F.col("t")).alias("s"))
-    at = scratch(spark, "rules")
-    # documents the base rule rejects teach nothing that the list must know
-    keep(measured, ~base_failed(F.col("s"))).select(
+    # documents the base rule rejects teach nothing that the list must know; the sample is bounded, so it is cached
+    rows = keep(measured, ~base_failed(F.col("s"))).select(
         "bad", (F.pmod(F.xxhash64("key"), F.lit(3)) != 0).alias("grow"),
         F.array(*[F.col("s")[f].cast("double") for f in FEATURES]).alias("x"),
-    ).write.parquet(at)
-    rows = spark.read.parquet(at)
+    ).persist()
     steps = [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)]
     bad_only = F.col("bad")
     cuts = rows.agg(*[
@@ -195,9 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ]).first()
     grid = [list(cuts[f]) for f in FEATURES]
     below = [below_value(g, F.col("x")[i]) for i, g in enumerate(grid)]
-    binned_at = scratch(spark, "rules")
-    rows.select("bad", "grow", "x", F.array(*below).alias("bins")).write.parquet(binned_at)
-    left = spark.read.parquet(binned_at)
+    binned = rows.select("bad", "grow", "x", F.array(*below).alias("bins")).coalesce(LEARNING_TASKS).persist()
+    left = binned
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
         rule = prune(left, grow(left, grid))
@@ -205,7 +203,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             break
         rules.append(rule)
         left = left.filter(~all_hold([c.holds_binned() for c in rule]))
-    return between_values(spark.read.parquet(binned_at), rules)
+    rules = between_values(binned, rules)
+    binned.unpersist()
+    rows.unpersist()
+    return rules
 
 
 def between_values(rows: DataFrame, rules: list[Rule]) -> list[Rule]:
