@@ -66,17 +66,39 @@ def axes_at(axes: list[Axis], level: str) -> list[Axis]:
 def asked(axes: list[Axis], level: Column) -> Column:
     """The same as a column: ``array<struct<id, primitive>>`` by level."""
     table = {lv: [{"id": a.id, "primitive": a.primitive} for a in axes_at(axes, lv)] for lv in LEVELS}
-    return F.element_at(literal(table, "map<string,array<struct<id:string,primitive:string>>>"), level)
+    return F.try_element_at(literal(table, "map<string,array<struct<id:string,primitive:string>>>"), level)
+
+
+def present(answers: Column) -> Column:
+    """The answers of a record; a record without any has an empty list."""
+    return F.coalesce(answers, F.array().cast(f"array<{ANSWER_TYPE}>"))
+
+
+def level_error(level: Column) -> Column:
+    """Why a level says nothing about what was asked; null for the known levels."""
+    return F.when(~F.coalesce(level.isin(*LEVELS), F.lit(False)), F.concat(
+        F.lit("unknown level "), F.coalesce(level, F.lit("(none)"))))
 
 
 def missing_axes(axes: list[Axis], answers: Column, level: Column) -> Column:
-    """Asked axes without a usable answer, in rubric order."""
+    """Asked axes without a usable answer, in rubric order; null at an unknown level."""
     return F.transform(
         F.filter(asked(axes, level), lambda q: ~F.exists(
-            answers, lambda w: (w["axis"] == q["id"]) & well_formed(w, q["primitive"]))),
+            present(answers), lambda w: F.coalesce((w["axis"] == q["id"]) & well_formed(w, q["primitive"]), F.lit(False)))),
         lambda q: q["id"])
 
 
+def complete(axes: list[Axis], answers: Column, level: Column) -> Column:
+    """True only when the level is known and every question asked at it has a usable answer."""
+    return F.coalesce(F.size(missing_axes(axes, answers, level)) == 0, F.lit(False))
+
+
+def model_error(model: Column, expected: str) -> Column:
+    """Null only for the expected model; an unnamed one is unexpected."""
+    return F.when(~model.eqNullSafe(F.lit(expected)), F.concat(
+        F.lit("unexpected model "), F.coalesce(model, F.lit("(none)"))))
+
+
 def _spec(axes: list[Axis]) -> Column:
     table = {a.id: {
         "graded": a.use == "graded", "cut": a.cut, "gate": a.gate_axis, "over": a.gate_over,
@@ -261,23 +283,34 @@ def apply_calibration(items: DataFrame, params: list[dict]) -> DataFrame:
 
 
 def evaluate(items: DataFrame, axes: list[Axis], profile: JudgeProfile | None = None,
-             params: list[dict] | None = None, pinned_model: str | None = None) -> DataFrame:
-    """Model check, completeness, calibration, signals, tier, verdict; failures ask."""
+             params: list[dict] | None = None, pinned_model: str | None = None,
+             pinned_rubric: str | None = None) -> DataFrame:
+    """Model check, completeness, calibration, signals, tier, verdict; failures ask.
+
+    A record is judged only when all of it is there: an unnamed model, an
+    unknown or absent level and absent answers are errors, and errors ask. With
+    ``params``, records of another or no rubric fail when they carry a
+    ``rubric_hash`` and ``pinned_rubric`` names the one fitted.
+    """
     p = profile or JudgeProfile()
-    out = items.withColumn("__missing", missing_axes(axes, F.col("answers"), F.col("level")))
+    out = items.withColumn("answers", present(F.col("answers")))
+    out = out.withColumn("__missing", missing_axes(axes, F.col("answers"), F.col("level")))
     n = F.size("__missing")
-    model_bad = F.when(F.col("model") != p.expected_model, F.concat(
-        F.lit("unexpected model "), F.col("model")))
+    model_bad = model_error(F.col("model"), p.expected_model)
     incomplete = F.when(n > 0, F.concat(
         F.lit("missing or malformed answers for "), n.cast("string"), F.lit(" question(s): "),
         F.array_join("__missing", ", ")))
-    pin = F.when(F.col("model") != pinned_model, F.lit("calibration is pinned to another model")) \
-        if pinned_model else F.lit(None).cast("string")
+    pin = F.lit(None).cast("string")
+    if pinned_rubric and params:
+        pin = F.when(~F.col("rubric_hash").eqNullSafe(F.lit(pinned_rubric)), F.lit("calibration is pinned to another rubric"))
+    if pinned_model:
+        pin = F.coalesce(pin, F.when(~F.col("model").eqNullSafe(F.lit(pinned_model)), F.lit("calibration is pinned to another model")))
     if params:
         out = apply_calibration(out, params)
     else:
         out = out.withColumn("calibration_error", F.lit(None).cast("string"))
-    out = out.withColumn("error", F.coalesce(model_bad, incomplete, pin, F.col("calibration_error")))
+    out = out.withColumn("error", F.coalesce(
+        model_bad, level_error(F.col("level")), incomplete, pin, F.col("calibration_error"), F.when(n.isNull(), F.lit("nothing was asked"))))
     out = out.withColumn("signals", F.when(
         F.col("error").isNull(), signals(axes, F.col("answers"), F.col("level"))))
     gone = tuple(unavailable_tiers(axes))

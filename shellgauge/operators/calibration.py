@@ -254,10 +254,10 @@ def validate_params(params: DataFrame, axes: DataFrame) -> DataFrame:
 
 
 def pin_check(answers: DataFrame, rubric_hash: str, model: str) -> DataFrame:
-    """Error per item whose rubric or model is not the pinned one; null when it may be calibrated."""
+    """Error per item whose rubric or model is not the pinned one, or not named; null when it may be calibrated."""
     return answers.withColumn("pin_error", F.when(
-        F.col("rubric_hash") != rubric_hash, F.lit("pinned to another rubric")).when(
-        F.col("model") != model, F.lit("pinned to another model")))
+        ~F.col("rubric_hash").eqNullSafe(F.lit(rubric_hash)), F.lit("pinned to another rubric")).when(
+        ~F.col("model").eqNullSafe(F.lit(model)), F.lit("pinned to another model")))
 
 
 def temper_rows(rows: DataFrame, t: Column) -> DataFrame:

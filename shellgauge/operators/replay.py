@@ -19,19 +19,24 @@ NEW = ["allow", "ask", "deny", "none", "needs_judge"]
 
 def reuse_eligibility(log: DataFrame, rubric_hash: str, host: str, model: str,
                       new_context_overridden: bool = False) -> DataFrame:
-    """``reuse_error``: first reason the logged answers cannot be reused; null when they can."""
+    """``reuse_error``: first reason the logged answers cannot be reused; null when they can.
+
+    What a record does not say counts against it: absent answers failed, and an
+    absent rubric or backend differs.
+    """
+    unsaid = lambda c: F.coalesce(c, F.lit("(none)"))
     old_ctx = F.exists(F.coalesce("overrides", F.array().cast("array<string>")), lambda k: k.startswith("judge.context."))
     differs = old_ctx | F.lit(new_context_overridden)
     arrow = lambda a, b: F.concat(a, F.lit("→"), b)
     backend = lambda h, m: F.concat(h, F.lit("/"), m)
     return log.withColumn("context_same", ~differs).withColumn("reuse_error", (
         F.when(F.col("state").isNull(), F.lit("no logged state"))
-        .when(~F.col("has_answers") | F.col("model").isNull(), F.concat(
+        .when(~F.coalesce("has_answers", F.lit(False)) | F.col("model").isNull(), F.concat(
             F.lit("the logged judge call failed ("), F.coalesce("judge_error", F.lit("no answers")), F.lit(")")))
-        .when(F.col("judge_rubric_hash") != rubric_hash, F.concat(
-            F.lit("rubric "), arrow(F.col("judge_rubric_hash"), F.lit(rubric_hash))))
-        .when((F.col("backend_host") != host) | (F.col("expected_model") != model), F.concat(
-            F.lit("backend "), arrow(backend(F.col("backend_host"), F.col("expected_model")), F.lit(f"{host}/{model}"))))
+        .when(~F.col("judge_rubric_hash").eqNullSafe(F.lit(rubric_hash)), F.concat(
+            F.lit("rubric "), arrow(unsaid(F.col("judge_rubric_hash")), F.lit(rubric_hash))))
+        .when(~F.col("backend_host").eqNullSafe(F.lit(host)) | ~F.col("expected_model").eqNullSafe(F.lit(model)), F.concat(
+            F.lit("backend "), arrow(backend(unsaid(F.col("backend_host")), unsaid(F.col("expected_model"))), F.lit(f"{host}/{model}"))))
         .when(differs, F.lit("context limits may differ"))
     ))
 

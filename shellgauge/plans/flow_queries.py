@@ -114,12 +114,12 @@ def legacy_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return pj.legacy_defaults(judged).groupBy("backend_host", "expected_model").agg(F.count("*").alias("n"))
 
 
-@query("model_check", "SELECT event_id AS item_id, 'judge-0' AS model FROM events WHERE event_id % 50 = 0")
+@query("model_check", "SELECT event_id AS item_id, CASE WHEN event_id % 229 <> 8 THEN 'judge-0' END AS model FROM events WHERE event_id % 50 = 0 OR event_id % 229 = 8")
 def model_check(spark: SparkSession, sf: str) -> DataFrame:
     from shellgauge.plans.judge_sql import AXES
     from shellgauge.operators.answers import evaluate
 
-    failed = evaluate(adapters.answer_items(spark, sf, AXES), AXES)
+    failed = evaluate(adapters.broken_records(adapters.answer_items(spark, sf, AXES)), AXES)
     return keep(failed, F.col("error").startswith("unexpected model")).select("item_id", "model")
 
 
@@ -378,7 +378,8 @@ def auc_tar(spark: SparkSession, sf: str) -> DataFrame:
 
 _HOST, _MODEL = "judge.example:8443", "judge-1"
 _REUSE = f"""CASE WHEN state IS NULL THEN 'no logged state'
-    WHEN NOT has_answers OR model IS NULL THEN 'the logged judge call failed (' || coalesce(judge_error, 'no answers') || ')'
+    WHEN NOT has_answers OR model IS NULL OR tool_use_id % 37 = 4 THEN 'the logged judge call failed (' || coalesce(judge_error, 'no answers') || ')'
+    WHEN tool_use_id % 41 = 6 THEN 'rubric (none)→{RUBRIC}'
     WHEN judge_rubric_hash <> '{RUBRIC}' THEN 'rubric ' || judge_rubric_hash || '→{RUBRIC}'
     WHEN coalesce(backend_host, 'judge.invalid') <> '{_HOST}' OR coalesce(expected_model, 'judge-1') <> '{_MODEL}'
       THEN 'backend ' || coalesce(backend_host, 'judge.invalid') || '/' || coalesce(expected_model, 'judge-1') || '→{_HOST}/{_MODEL}'
@@ -388,6 +389,11 @@ _SOURCE = "CASE WHEN state IS NOT NULL AND reuse_error IS NULL THEN 'answers reu
 
 def _replayable(spark: SparkSession, sf: str) -> DataFrame:
     judged = pj.legacy_defaults(_log(spark, sf))
+    n = F.col("tool_use_id")
+    # some records hold neither answers nor a word about them, or no rubric
+    judged = judged.withColumns({
+        "has_answers": F.when(n % 37 != 4, F.col("has_answers")), "judge_rubric_hash": F.when(n % 41 != 6, F.col("judge_rubric_hash")),
+    })
     ready = replay.reuse_eligibility(judged, RUBRIC, _HOST, _MODEL)
     return ready.withColumns({"input_truncated": F.lit(False), "transcript_exists": F.lit(False)})
 

@@ -11,7 +11,7 @@ from shellgauge.functions.text import build_once, literal
 from shellgauge.operators import answers as ans
 from shellgauge.operators import calibration as cal
 from shellgauge.plans import static_sql
-from shellgauge.plans.judge_sql import AXES, ctes, judged
+from shellgauge.plans.judge_sql import AXES, BROKEN, ctes, judged
 from shellgauge.plans.static_queries import _decided, big, r6
 from shellgauge.session import keep
 from shellgauge.sources import adapters
@@ -34,6 +34,11 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.answer_items(spark, sf, AXES)
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """The items with the shapes that a broken log holds."""
+    return adapters.broken_records(_items(spark, sf))
+
+
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """One row per answer with its axis."""
     primitive = literal({a.id: a.primitive for a in AXES}, "map<string,string>")
@@ -75,10 +80,12 @@ def axis_available(spark: SparkSession, sf: str) -> DataFrame:
     return _items(spark, sf).groupBy("level").agg(F.count("*").alias("items"), F.sum(n).alias("questions"))
 
 
-@query("completeness", judged("SELECT item_id, n, axes FROM missing", "missing"))
+@query("completeness", judged("SELECT item_id, n, axes FROM gaps WHERE n IS NULL OR n > 0", "missing", None, {k: BROKEN[k] for k in ("broken", "all_missing", "gaps")}))
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
-    m = _items(spark, sf).select("item_id", ans.missing_axes(AXES, F.col("answers"), F.col("level")).alias("m"))
-    return keep(m, F.size("m") > 0).select("item_id", big(F.size("m")).alias("n"), F.array_join("m", ", ").alias("axes"))
+    """Every record that is not complete; at an unknown level nothing is known to be missing, and it is not complete."""
+    m = _records(spark, sf).select("item_id", ans.missing_axes(AXES, F.col("answers"), F.col("level")).alias("m"))
+    return keep(m, F.coalesce(F.size("m") > 0, F.lit(True))).select(
+        "item_id", big(F.size("m")).alias("n"), F.array_join("m", ", ").alias("axes"))
 
 
 @query("axis_gate", judged("SELECT axis, open, count(*) AS n FROM gated WHERE gate IS NOT NULL GROUP BY ALL", "gated"))
@@ -137,9 +144,9 @@ def rule_text(spark: SparkSession, sf: str) -> DataFrame:
     return _tiers(spark, sf).groupBy("tier", ans.rule_text_of(F.col("tier")).alias("rule")).agg(F.count("*").alias("n"))
 
 
-@query("answers_evaluate", judged("SELECT item_id, error, tier, verdict FROM evaluated", "evaluated"))
+@query("answers_evaluate", judged("SELECT item_id, error, tier, verdict FROM closed", "missing", None, BROKEN))
 def answers_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    return ans.evaluate(_items(spark, sf), AXES).select("item_id", "error", "tier", "verdict")
+    return ans.evaluate(_records(spark, sf), AXES).select("item_id", "error", "tier", "verdict")
 
 
 @query("adjudicate", static_sql.query("SELECT d.cmd_id, CASE WHEN d.final = 'unadjudicated' THEN coalesce(e.verdict, 'ask') ELSE d.final END AS final, CASE WHEN d.final = 'unadjudicated' THEN e.tier END AS tier FROM decided d LEFT JOIN evaluated e ON e.item_id = d.cmd_id", "decided")
@@ -221,10 +228,11 @@ def apply_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("w.axis").agg(F.count("*").alias("n"), r6(F.avg(F.coalesce("w.noul", F.array_max("w.probs")))).alias("mean"))
 
 
-@query("calibration_pin_check", "SELECT CASE WHEN event_id % 9 = 0 THEN 'pinned to another rubric' WHEN event_id % 50 = 0 THEN 'pinned to another model' END AS pin_error, count(*) AS n FROM events GROUP BY 1")
+@query("calibration_pin_check", "SELECT CASE WHEN event_id % 9 = 0 OR event_id % 31 = 2 THEN 'pinned to another rubric' WHEN event_id % 50 = 0 OR event_id % 229 = 8 THEN 'pinned to another model' END AS pin_error, count(*) AS n FROM events GROUP BY 1")
 def calibration_pin_check(spark: SparkSession, sf: str) -> DataFrame:
-    rubric = F.when(F.col("item_id") % 9 == 0, F.lit("00ff00ff00ff00ff")).otherwise(F.lit("0fd1f245ae1c7ef3"))
-    checked = cal.pin_check(_items(spark, sf).withColumn("rubric_hash", rubric), "0fd1f245ae1c7ef3", "judge-1")
+    n = F.col("item_id")
+    rubric = F.when(n % 9 == 0, F.lit("00ff00ff00ff00ff")).when(n % 31 != 2, F.lit("0fd1f245ae1c7ef3"))
+    checked = cal.pin_check(_records(spark, sf).withColumn("rubric_hash", rubric), "0fd1f245ae1c7ef3", "judge-1")
     return checked.groupBy("pin_error").agg(F.count("*").alias("n"))
 
 

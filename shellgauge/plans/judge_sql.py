@@ -71,6 +71,22 @@ def ctes(axes: list[Axis] | None = None, expected: str = "judge-1") -> dict[str,
     }
 
 
+# The same items with the broken shapes of the adapter, and what becomes of them.
+BROKEN = {
+    "broken": """SELECT event_id AS item_id, CASE WHEN event_id % 223 = 6 THEN 'L9' WHEN event_id % 227 <> 7 THEN 'L' || (event_id % 3) END AS level,
+            CASE WHEN event_id % 229 <> 8 THEN CASE WHEN event_id % 50 = 0 THEN 'judge-0' ELSE 'judge-1' END END AS model, event_id % 211 = 5 AS unanswered FROM events""",
+    "all_missing": "SELECT item_id, count(*) AS n, string_agg(axis, ', ' ORDER BY k) AS axes FROM asked GROUP BY item_id",
+    "gaps": """SELECT b.item_id, b.level, b.model, CASE WHEN b.level IN ('L0', 'L1', 'L2') THEN CASE WHEN unanswered THEN a.n ELSE coalesce(m.n, 0) END END AS n,
+            CASE WHEN b.level IN ('L0', 'L1', 'L2') THEN CASE WHEN unanswered THEN a.axes ELSE m.axes END END AS axes
+          FROM broken b LEFT JOIN missing m USING (item_id) LEFT JOIN all_missing a USING (item_id)""",
+    "closed": """SELECT item_id, error, CASE WHEN error IS NULL THEN tier END AS tier,
+            CASE WHEN error IS NOT NULL THEN 'ask' WHEN tier IN ('T1', 'T2') THEN 'deny' WHEN tier = 'T6' THEN 'allow' ELSE 'ask' END AS verdict
+          FROM (SELECT g.item_id, t.tier, CASE WHEN g.model IS DISTINCT FROM 'judge-1' THEN 'unexpected model ' || coalesce(g.model, '(none)')
+                  WHEN g.n IS NULL THEN 'unknown level ' || coalesce(g.level, '(none)')
+                  WHEN g.n > 0 THEN 'missing or malformed answers for ' || g.n || ' question(s): ' || g.axes END AS error
+                FROM gaps g JOIN tiers t USING (item_id))""",
+}
+
 CHAIN = ["axes", "labels", "items", "answers", "probs", "readings", "choices", "asked", "gated", "signals", "wide", "tiers", "missing", "evaluated"]
 
 

@@ -159,6 +159,16 @@ def answer_items(spark: SparkSession, sf_dir: str, axes: list) -> DataFrame:
         F.transform(spec, answer).alias("answers"))
 
 
+def broken_records(items: DataFrame) -> DataFrame:
+    """The same items, some of them as a broken log holds them: no answers, no or an unknown level, no model."""
+    n = F.col("item_id")
+    return items.withColumns({
+        "answers": F.when(n % 211 != 5, F.col("answers")),
+        "level": F.when(n % 223 == 6, F.lit("L9")).when(n % 227 != 7, F.col("level")),
+        "model": F.when(n % 229 != 8, F.col("model")),
+    })
+
+
 def target_answers(items: DataFrame) -> DataFrame:
     """The same items answered by another model: readings shifted, every ninth answer left out."""
     n = F.col("item_id")
