@@ -20,11 +20,19 @@ T = TypeVar("T")
 # Unicode whitespace plus the four ASCII separators U+001C..U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
-# Balanced parentheses, three levels deep, without backtracking.
-_P0 = r"[^()]*+"
-_P1 = rf"(?:[^()]++|\({_P0}\))*+"
-_P2 = rf"(?:[^()]++|\({_P1}\))*+"
-PARENS = rf"(?:[^()]++|\({_P2}\))*+"
+# Nested substitutions are read this deep.
+MAX_NESTING = 8
+
+
+def balanced(levels: int) -> str:
+    """Text with balanced parentheses, this many levels of them, without backtracking."""
+    inside = r"[^()]*+"
+    for _ in range(levels):
+        inside = rf"(?:[^()]++|\({inside}\))*+"
+    return inside
+
+
+PARENS = balanced(MAX_NESTING + 1)
 
 SINGLE_QUOTED = r"'[^']*+'"
 DOUBLE_QUOTED = r'"(?:[^"\\]++|\\.)*+"'

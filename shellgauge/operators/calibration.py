@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from shellgauge.functions.numeric import EPS, clamp, is_finite, logit, platt, sigmoid, temper
@@ -17,8 +18,12 @@ HOLDOUT = 0.25
 SEED = 42
 MIN_PAIRS = 10
 BETA_RANGE = (0.02, 50.0)
-# A Newton step this short no longer changes a reported parameter.
+# A step this short no longer changes a reported parameter.
 SETTLED = 1e-9
+# Shares of the curvature that the trial points of a round add to it.
+DAMPING = (0.0, 1e-2, 1.0)
+# A relative fall of the loss below this is rounding.
+GAIN = 1e-13
 
 
 def align_pairs(reference: DataFrame, target: DataFrame) -> DataFrame:
@@ -91,57 +96,53 @@ def _at(values: dict, axis: Column, kind: str) -> Column:
     return F.element_at(literal(values, f"map<string,{kind}>"), axis)
 
 
-def fit_platt(pairs: DataFrame, rounds: int = 200) -> list[dict]:
-    """Slope and intercept of every noul axis, by damped Newton on soft targets.
+def fit_platt(pairs: DataFrame, rounds: int = 60) -> list[dict]:
+    """Slope and intercept of every noul axis on soft targets.
 
-    Each round is one grouped aggregate over all axes at their current points;
-    the driver only sees one row per axis of the rubric. A point that does not
-    lower the loss halves the step from the last good one.
+    Each round is one grouped aggregate that tries several points for every axis
+    at once: the same second-order model, damped from not at all to strongly.
+    The best point becomes the next centre; an axis is settled when no damping
+    lowers its loss any more. ``converged`` is false for axes still moving after
+    the last round. The driver only sees one row per axis of the rubric.
     """
     w = _weighted(pairs.filter(F.col("type") == "noul")).select(
         "axis", logit(F.col("p")[0]).alias("x"), F.col("q")[0].alias("q"), "w")
     axis, x, q, wt = F.col("axis"), F.col("x"), F.col("q"), F.col("w")
-    at = {r.axis: {"a": 1.0, "b": 0.0, "n": int(r.n)} for r in w.groupBy("axis").agg(F.sum("w").alias("n")).collect()}
-    good: dict[str, tuple[float, float, float]] = {}
-    move: dict[str, tuple[float, float]] = {}
-    step = dict.fromkeys(at, 1.0)
-    live = set(at)
+    sizes = {r.axis: int(r.n) for r in w.groupBy("axis").agg(F.sum("w").alias("n")).collect()}
+    trial = {k: [(1.0, 0.0)] * len(DAMPING) for k in sizes}
+    best: dict[str, tuple[float, float, float]] = {}
+    live = set(sizes)
     for _ in range(rounds):
         if not live:
             break
-        a = _at({k: at[k]["a"] for k in at}, axis, "double")
-        b = _at({k: at[k]["b"] for k in at}, axis, "double")
-        s = sigmoid(a * x + b)
-        kept = clamp(s, 1e-15, 1 - 1e-15)
-        rows = w.filter(axis.isin(sorted(live))).groupBy("axis").agg(
-            F.sum(wt * -(q * F.log(kept) + (1 - q) * F.log(1 - kept))).alias("loss"),
-            F.sum(wt * (s - q) * x).alias("ga"), F.sum(wt * (s - q)).alias("gb"),
-            F.sum(wt * s * (1 - s) * x * x).alias("haa"), F.sum(wt * s * (1 - s) * x).alias("hab"),
-            F.sum(wt * s * (1 - s)).alias("hbb")).collect()
-        for r in rows:
+        at = _at({k: [{"a": a, "b": b} for a, b in trial[k]] for k in live}, axis, "array<struct<a:double,b:double>>")
+        sums = []
+        for j in range(len(DAMPING)):
+            s = sigmoid(at[j]["a"] * x + at[j]["b"])
+            kept, curve = clamp(s, 1e-15, 1 - 1e-15), s * (1 - s)
+            terms = {"loss": -(q * F.log(kept) + (1 - q) * F.log(1 - kept)), "ga": (s - q) * x, "gb": s - q,
+                     "haa": curve * x * x, "hab": curve * x, "hbb": curve}
+            sums.append(F.struct(*[F.sum(wt * t).alias(n) for n, t in terms.items()]).alias(f"t{j}"))
+        for r in w.filter(axis.isin(sorted(live))).groupBy("axis").agg(*sums).collect():
             k = r.axis
-            if k in good and not (math.isfinite(r.loss) and r.loss <= good[k][2]):
-                step[k] /= 2
-                if step[k] <= 1e-6:
-                    at[k]["a"], at[k]["b"] = good[k][:2]
-                    live.discard(k)
-                    continue
-            else:
-                good[k] = (at[k]["a"], at[k]["b"], r.loss)
-                haa, hbb = r.haa + 1e-9, r.hbb + 1e-9
-                det = haa * hbb - r.hab * r.hab
-                move[k] = (
-                    ((hbb * r.ga - r.hab * r.gb) / det, (haa * r.gb - r.hab * r.ga) / det)
-                    if abs(det) > 1e-18 else (r.ga / haa, r.gb / hbb))
-                step[k] = 1.0
-                if abs(move[k][0]) + abs(move[k][1]) < SETTLED:
-                    live.discard(k)
-                    continue
-            at[k]["a"] = good[k][0] - step[k] * move[k][0]
-            at[k]["b"] = good[k][1] - step[k] * move[k][1]
-    for k in live & set(good):
-        at[k]["a"], at[k]["b"] = good[k][:2]
-    return [{"axis": k, "type": "noul", "method": "platt", **v} for k, v in sorted(at.items())]
+            tried = [(t.loss, j, t) for j in range(len(DAMPING)) if math.isfinite((t := r[f"t{j}"]).loss)]
+            loss, j, t = min(tried, key=lambda o: o[:2]) if tried else (math.inf, 0, None)
+            if t is None or (k in best and loss > best[k][0] - GAIN * (1 + abs(loss))):
+                live.discard(k)
+                continue
+            best[k] = (loss, *trial[k][j])
+            trial[k] = [_damped(best[k][1:], t, d) for d in DAMPING]
+    return [{"axis": k, "type": "noul", "method": "platt", "a": best[k][1], "b": best[k][2], "n": sizes[k], "converged": k not in live}
+            if k in best else {"axis": k, "type": "noul", "method": "platt", "a": 1.0, "b": 0.0, "n": sizes[k], "converged": False}
+            for k in sorted(sizes)]
+
+
+def _damped(centre: tuple[float, float], sums: Row, damping: float) -> tuple[float, float]:
+    """Where the quadratic model has its least value when the curvature is raised by a share of its trace."""
+    ridge = damping * (sums.haa + sums.hbb) + 1e-12
+    curvature = np.array([[sums.haa + ridge, sums.hab], [sums.hab, sums.hbb + ridge]])
+    step = np.linalg.lstsq(curvature, np.array([sums.ga, sums.gb]), rcond=None)[0]
+    return float(centre[0] - step[0]), float(centre[1] - step[1])
 
 
 def fit_temperature(pairs: DataFrame, rounds: int = 100) -> list[dict]:

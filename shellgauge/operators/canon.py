@@ -48,8 +48,17 @@ PRINTF_OCT = r"(?U)printf\s+['\"]((?:\\0[0-7]{2,3}+)++)['\"]"
 NOT_PRINTABLE = r"(?U)[\p{Cntrl}\s&&[^ ]]"
 NOT_PRINTABLE_TEXT = r"(?U)[\p{Cntrl}\s&&[^ \n\t]]"
 
-# Text without any of these has nothing to rewrite or decode.
-MAY_CHANGE = r"[$`]|\"\"|''|  |base64|b64decode|printf|(?:sh|busybox)['\"]?\s+['\"]?-\S*c"
+# Text without any of these, and without a hidden shell, has nothing to rewrite or decode.
+MAY_CHANGE = r"[$`]|\"\"|''|  |base64|b64decode|printf"
+
+
+def may_run_shell(text: Column) -> Column:
+    """Holds for every text that unwraps: the words stand there as they are, or quoting may hide them."""
+    return text.contains("-") & text.rlike(r"(?:sh|busybox)\s+-\S*c|['\"\\]")
+
+
+def may_change(text: Column) -> Column:
+    return text.rlike(MAY_CHANGE) | may_run_shell(text)
 
 
 def expand_ifs(text: Column) -> Column:
@@ -209,11 +218,9 @@ def unwrap_shell_c(text: Column) -> Column:
         positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(positions, start, step, lambda acc: acc["out"])
 
-    candidate = text.contains("-") & (text.contains("sh") | text.contains("busybox"))
-    likely = candidate & text.rlike(r"(?:sh|busybox)['\"]?\s+['\"]?-\S*c")
     return _typed(
         "shell_c",
-        F.when(likely, let(shell_words(text), bodies)).otherwise(F.array().cast(_NO_TEXTS)),
+        F.when(may_run_shell(text), let(shell_words(text), bodies)).otherwise(F.array().cast(_NO_TEXTS)),
     )
 
 
@@ -291,7 +298,7 @@ def views(command: Column) -> Column:
 
     rounds = F.sequence(F.lit(1), F.lit(2 * (MAX_DEPTH + 1)))
     grown = F.aggregate(rounds, start, grow, lambda acc: acc["views"])
-    return F.when(command.rlike(MAY_CHANGE), grown).otherwise(F.array(raw))
+    return F.when(may_change(command), grown).otherwise(F.array(raw))
 
 
 def with_views(commands: DataFrame, command: str = "command") -> DataFrame:

@@ -35,7 +35,6 @@ class Rule:
     confidence: float
     tier: str
     techniques: tuple[str, ...]
-    description: str
     pattern: str
 
     def weight(self, weights: dict[str, float]) -> float:
@@ -45,10 +44,10 @@ class Rule:
 def rule_bank(overrides: dict[str, dict] | None = None) -> list[Rule]:
     """Rules in bank order, disabled ones left out and confidences replaced."""
     out = []
-    for i, (rid, fam, conf, tier, mitre, desc, pattern) in enumerate(RULES):
+    for i, (rid, fam, conf, tier, mitre, pattern) in enumerate(RULES):
         change = (overrides or {}).get(rid, {})
         if change.get("enabled", True):
-            out.append(Rule(i, rid, fam, change.get("confidence", conf), tier, tuple(mitre), desc, pattern))
+            out.append(Rule(i, rid, fam, change.get("confidence", conf), tier, tuple(mitre), pattern))
     return out
 
 

@@ -55,19 +55,22 @@ def field_truncate(text: Column, limit: int = MAX_FIELD_BYTES) -> Column:
 
 
 def truncate_object(tool_input: Column, limit: int = MAX_FIELD_BYTES) -> Column:
-    """Every long string of a flat JSON object replaced by a truncation marker, as JSON."""
-    fields = F.from_json(tool_input, "map<string,variant>")
+    """Every long string of a JSON value, at any depth, replaced by a truncation marker, as JSON.
 
-    def short(value: Column) -> Column:
-        text = F.try_variant_get(value, "$", "string")
-        cut = field_truncate(text, limit)
+    The canonical text is cut into strings, keys with their colon, and the rest,
+    so nesting needs no recursion. Keys stay whole.
+    """
+    text = F.to_json(F.try_parse_json(tool_input))
+    parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*:)?|[^"]++'), F.lit(0))
+
+    def short(part: Column) -> Column:
+        cut = field_truncate(F.try_variant_get(F.parse_json(part), "$", "string"), limit)
         marker = F.to_json(F.struct(
             cut["truncated"].alias("truncated"), cut["len"].alias("len"), cut["sha256"].alias("sha256")))
-        is_long = (F.schema_of_variant(value) == "STRING") & (F.octet_length(text) > limit)
-        return F.when(is_long, F.parse_json(marker)).otherwise(value)
+        is_string = part.startswith('"') & part.endswith('"') & (F.octet_length(part) > limit + 2)
+        return F.when(is_string & cut["len"].isNotNull(), marker).otherwise(part)
 
-    return F.to_json(F.map_from_entries(F.transform(
-        F.array_sort(F.map_keys(fields)), lambda k: F.struct(k, short(F.element_at(fields, k))))))
+    return F.array_join(F.transform(parts, short), "")
 
 
 def is_truncated(value: Column) -> Column:

@@ -110,17 +110,21 @@ def wilson_mcnemar(items: DataFrame) -> DataFrame:
 def auc_tar(items: DataFrame, score: str = "score", max_fpr: float = 0.01, digits: int = 4) -> DataFrame:
     """Area under the ROC curve and best recall at a false positive rate (``label, score``).
 
-    Scores are grouped at the precision they are logged with, which bounds the
-    cumulative window by ``10**digits + 1`` rows.
+    Every distinct score is a step of its own. Scores are summed once by their
+    first digits, which gives what lies above each of these cells; inside a cell
+    a window ranks its scores, so no window holds them all.
     """
-    per = items.groupBy(F.round(score, digits).alias("s")).agg(
+    per = items.groupBy(F.col(score).cast("double").alias("s"), F.round(score, digits).alias("cell")).agg(
         F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    desc = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cum = per.select(
-        "pos", "neg", F.sum("pos").over(desc).alias("cp"), F.sum("neg").over(desc).alias("cn"),
-        F.sum("pos").over(whole).alias("tp"), F.sum("neg").over(whole).alias("tn"))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = per.groupBy("cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
+        "cell", F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0.0)).alias("n0"),
+        F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"))
+    inside = Window.partitionBy("cell").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    cum = per.join(cells, "cell").select(
+        "pos", "neg", "tp", "tn", (F.col("p0") + F.sum("pos").over(inside)).alias("cp"), (F.col("n0") + F.sum("neg").over(inside)).alias("cn"))
     # Each group beats the negatives below it and ties with its own.
     area = F.sum(F.col("pos") * (F.col("tn") - F.col("cn") + F.col("neg") / 2)) / (F.max("tp") * F.max("tn"))
     ok = F.col("cn") <= max_fpr * F.col("tn")
-    return cum.agg(area.alias("auc"), F.coalesce(F.max(F.when(ok, F.col("cp") / F.col("tp"))), F.lit(0.0)).alias("tar"))
+    return cum.agg(area.alias("auc"), F.coalesce(F.max(F.when(ok, F.col("cp") / F.col("tp"))), F.lit(0.0)).alias("tar"))
\ No newline at end of file

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shellgauge.functions.text import (
-    BACKTICKED, DOUBLE_QUOTED, SINGLE_QUOTED, SUBSTITUTION, WELL_QUOTED, any_of, let, unquote,
+    BACKTICKED, DOUBLE_QUOTED, MAX_NESTING, SINGLE_QUOTED, SUBSTITUTION, WELL_QUOTED, any_of, let, unquote,
 )
 
 # Interpreters a pipeline may end in, and the risk ladder.
@@ -22,8 +22,6 @@ FALLBACK_EVAL = r"(?U)\b(eval|source)\b"
 FALLBACK_PIPE_EXEC = r"(?U)\|\s*(bash|sh|zsh|dash|eval|python[23]?|perl|ruby|node)\b"
 FALLBACK_PIPE_EXEC_PATH = r"(?U)\|\s*[^\s|;&]*/(bash|sh|zsh|dash|eval|python[23]?|perl|ruby|node)\b"
 
-MAX_NESTED_ATOMS = 3
-
 _QUOTED = rf"\\.|{SINGLE_QUOTED}|{DOUBLE_QUOTED}"
 _UNIT = rf"{_QUOTED}|{SUBSTITUTION}|{BACKTICKED}"
 _SEGMENT = rf"(?s)(?:[^;|&\n'\"\\`$()<>]++|{_UNIT}|\d*[<>]&[-\d]*|&>>?|[$<>]|>\|)++"
@@ -126,7 +124,7 @@ def atoms(text: Column) -> Column:
 
     Text with an open quote, or without any command, is one atom.
     """
-    found = let(_atoms(text, MAX_NESTED_ATOMS), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(text)))
+    found = let(_atoms(text, MAX_NESTING), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(text)))
     return F.when(well_quoted(text), found).otherwise(F.array(text))
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from shellgauge.catalogs.profiles import DEFAULT, PAPER, WEIGHTS
 from shellgauge.catalogs.tags import REGISTRY
+from shellgauge.functions.numeric import platt
 from shellgauge.functions.text import literal
 from shellgauge.operators import context as ctx
 from shellgauge.operators import parity, policy, replay, reports
 from shellgauge.operators import projections as pj
+from shellgauge.operators.calibration import fit_platt
 from shellgauge.plans import analyze as plan
 from shellgauge.plans import judge_sql as js
 from shellgauge.plans import session_context as sc
@@ -771,13 +773,17 @@ def sink_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return again.groupBy("target_model").agg(F.count("*").alias("n"))
 
 
-@query("sink_calibration", js.judged("SELECT axis, 'platt' AS method, count(noul) AS n FROM answers WHERE type = 'noul' GROUP BY axis", "answers"))
+@query("sink_calibration", js.judged("SELECT axis, 'platt' AS method, CAST(1.7 AS DOUBLE) AS a, CAST(-0.4 AS DOUBLE) AS b, count(noul) AS n FROM answers WHERE type = 'noul' GROUP BY axis", "answers"))
 def sink_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """A fit of references that are an exact transform of the answers, written and read back."""
     path = scratch(spark, "calibration")
     noul = adapters.long_answers(adapters.answer_items(spark, sf, js.AXES)).filter(F.col("noul").isNotNull())
-    params = noul.groupBy("axis").agg(F.count("*").alias("n")).withColumns({"method": F.lit("platt"), "a": F.lit(1.0), "b": F.lit(0.0)})
+    pairs = noul.select("item_id", "axis", "type", F.array("noul").alias("p"), F.array(platt(F.col("noul"), F.lit(1.7), F.lit(-0.4))).alias("q"))
+    fitted = fit_platt(pairs)
+    params = spark.createDataFrame([(p["axis"], p["method"], p["a"], p["b"], p["n"]) for p in fitted], "axis string, method string, a double, b double, n bigint")
     sinks.calibration(params, path, RUBRIC, "local-1", "answers")
-    return spark.read.schema("axis string, method string, n bigint, format string").json(path).filter("format = 'calibration/1'").select("axis", "method", "n")
+    back = spark.read.schema("axis string, method string, a double, b double, n bigint, format string").json(path)
+    return back.filter("format = 'calibration/1'").select("axis", "method", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "n")
 
 
 @query("sink_replay_report", _replay_sql("SELECT old, new, count(*) AS n FROM results GROUP BY ALL"))

@@ -160,6 +160,23 @@ def adjudicate(spark: SparkSession, sf: str) -> DataFrame:
     return run(decided, "rubric", logged=logged, axes=AXES).select("cmd_id", "final", "tier")
 
 
+@query("judge_by_text", static_sql.query("""SELECT cmd_id, CASE WHEN contains(command, 'git ') THEN 'deny' WHEN length(command) % 3 = 0 THEN 'allow' ELSE 'deny' END AS final,
+    CASE WHEN contains(command, 'git ') THEN 'judge failed: timeout' END AS judge_error FROM decided WHERE final = 'unadjudicated'""", "decided"))
+def judge_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A text judge that fails on some rows: those rows alone are denied for it."""
+    import pandas as pd
+
+    from shellgauge.plans.judging import text_judge
+
+    def judge(commands: pd.Series) -> pd.Series:
+        if commands.str.contains("git ", regex=False).any():
+            raise TimeoutError("timeout")
+        return commands.map(lambda c: "SAFE" if len(c) % 3 == 0 else "DANGEROUS: it may harm" if len(c) % 3 == 1 else "cannot say")
+
+    warn = keep(_decided(spark, sf), F.col("would_adjudicate")).select("cmd_id", "command")
+    return text_judge(warn, judge, prompt="command").select("cmd_id", F.col("judge_decision").alias("final"), "judge_error")
+
+
 _SIDES = "SELECT item_id // 2 AS pair, CASE WHEN item_id % 2 = 0 THEN 'approve' ELSE 'deny' END AS side, axis, reading FROM readings WHERE reading IS NOT NULL"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,22 +25,28 @@ def stub(warn: DataFrame) -> DataFrame:
 
 
 def text_judge(warn: DataFrame, judge: Judge, prompt: str = "judge_prompt", key: str = "cmd_id") -> DataFrame:
-    """Ask a text judge about every row; a batch that fails is denied, not retried.
+    """Ask a text judge about every row; a call that fails is denied, not the others of its batch.
 
-    Only the key and the prompt travel to Python.
+    A batch is asked at once; when that fails, its rows are asked one by one, so
+    the error stays with the row that causes it. Only the prompt travels to
+    Python, and replies come back on their rows: repeated keys stay apart.
     """
-    key_type = warn.schema[key].dataType.simpleString()
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                reply, error = judge(batch[prompt]), None
-            except Exception as e:  # noqa: BLE001
-                reply, error = None, f"judge failed: {e}"
-            yield pd.DataFrame({key: batch[key], "reply": reply, "judge_error": error})
-
-    replies = warn.select(key, prompt).mapInPandas(ask, f"{key} {key_type}, reply string, judge_error string")
-    decided = replies.withColumns({
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return judge(pd.Series([text])).iloc[0], None
+        except Exception as e:  # noqa: BLE001
+            return None, f"judge failed: {e}"
+
+    @F.pandas_udf("struct<reply:string,judge_error:string>")
+    def ask(prompts: pd.Series) -> pd.DataFrame:
+        try:
+            return pd.DataFrame({"reply": judge(prompts), "judge_error": None})
+        except Exception:  # noqa: BLE001
+            return pd.DataFrame([one(p) for p in prompts], columns=["reply", "judge_error"])
+
+    asked = warn.withColumn("__asked", ask.asNondeterministic()(F.col(prompt)))
+    replies = asked.withColumns({"reply": F.col("__asked.reply"), "judge_error": F.col("__asked.judge_error")}).drop("__asked")
+    return replies.withColumns({
         "judge_decision": F.when(F.col("judge_error").isNotNull(), F.lit(FAILURE_DECISION["text"])).otherwise(
             judge_text_decision(F.coalesce("reply", F.lit("")))),
         "judge_tags": F.array_compact(F.array(F.when(
@@ -48,13 +54,13 @@ def text_judge(warn: DataFrame, judge: Judge, prompt: str = "judge_prompt", key:
             & ~judge_text_denies_older(F.col("reply")), F.lit("FIX-004")),
             F.when(F.col("judge_error").contains("timeout"), F.lit("FIX-008")))),
     })
-    return warn.join(decided, key)
 
 
 def rubric_judge(warn: DataFrame, logged: DataFrame, axes: list[Axis], key: str = "cmd_id",
                  profile: JudgeProfile | None = None, params: list[dict] | None = None) -> DataFrame:
     """Judge WARN rows from a table of answers ``key, level, model, answers``; no answer asks."""
-    judged = ans.evaluate(logged, axes, profile, params).select(
+    asked = logged.join(warn.select(key), key, "left_semi")
+    judged = ans.evaluate(asked, axes, profile, params).select(
         key, "tier", "tier_rule", "verdict", F.col("error").alias("judge_error"))
     out = warn.join(judged, key, "left")
     return out.withColumn("judge_decision", F.coalesce("verdict", F.lit(FAILURE_DECISION["rubric"]))).drop("verdict")

@@ -306,7 +306,7 @@ _DOC_RULES = [r for r in RULES if r[0] not in sql.NOT_RE2]
 
 
 @query("rule_match_documents", f"""SELECT lang, source, count(*) AS documents, CAST(sum(len(f)) AS BIGINT) AS fires FROM (
-    SELECT lang, source, list_filter([{', '.join(f"CASE WHEN {sql.has('text', '(?i)' + r[6])} THEN {sql.q(r[0])} END" for r in _DOC_RULES)}], lambda x: x IS NOT NULL) AS f
+    SELECT lang, source, list_filter([{', '.join(f"CASE WHEN {sql.has('text', '(?i)' + r[5])} THEN {sql.q(r[0])} END" for r in _DOC_RULES)}], lambda x: x IS NOT NULL) AS f
     FROM documents) GROUP BY ALL""")
 def rule_match_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Rules on whole documents, counted by language and source."""
@@ -424,6 +424,9 @@ def parse_judge_text(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT cmd_id, 'FIX-003' FROM decided WHERE p_sem IS DISTINCT FROM p_sem_older
     UNION ALL SELECT DISTINCT cmd_id, 'FIX-005' FROM structure WHERE has_command_sub
     UNION ALL SELECT DISTINCT cmd_id, 'FIX-006' FROM views WHERE view_idx > 0
+    UNION ALL SELECT DISTINCT cmd_id, 'FIX-007' FROM views WHERE cmd_id IN (SELECT cmd_id FROM views WHERE kind = 'b64_dec')
+      AND regexp_matches(text, '\\bbase64\\s+(-d|--decode)\\b') AND len(list_filter(regexp_extract_all(text, '[A-Za-z0-9+/]{10,}={0,2}'), lambda t: length(t) >= 12
+        AND """ + sql.has("t", sql.STRICT) + """ AND NOT list_contains(list_filter(regexp_extract_all(text, '\\b[A-Za-z0-9+/]{12,}={0,2}\\b'), lambda k: """ + sql.has("k", sql.STRICT) + """), t))) > 0
     UNION ALL SELECT DISTINCT cmd_id, 'FIX-009' FROM atoms WHERE atom = 'git tag' OR atom LIKE 'git tag -l %'
     UNION ALL SELECT DISTINCT cmd_id, ext FROM hits WHERE ext IS NOT NULL
     UNION ALL SELECT DISTINCT cmd_id, 'EXT-006' FROM views WHERE kind = 'b64_dec' AND cmd_id IN (SELECT cmd_id FROM views WHERE text LIKE '%base64 -D%')
@@ -432,8 +435,8 @@ def parse_judge_text(spark: SparkSession, sf: str) -> DataFrame:
     ) GROUP BY tag""", "decided", "structure", "views", "atoms", "hits", "commands"))
 def divergence_tags(spark: SparkSession, sf: str) -> DataFrame:
     tagged = plan.tags(_decided(spark, sf)).select(F.explode_outer(F.concat("fixes_applied", "ext_applied")).alias("tag"))
-    # Padding decides FIX-007 by word boundaries; it is checked in the tests.
-    return tagged.filter(F.col("tag") != "FIX-007").groupBy("tag").agg(F.count("*").alias("n"))
+    # rows without any tag explode to one null
+    return tagged.filter(F.col("tag").isNotNull()).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("analyze_commands", sql.query("""SELECT cmd_id, command, round(raw, 4) AS aggregate, strict, balanced, auto, skip AS skip_predicate, rule_ids, final FROM decided""", "decided"))

@@ -105,7 +105,7 @@ def hex_dec(x: str) -> str:
     return f"list_transform({runs}, lambda t: decode(unhex(replace(t, '\\x', ''))))"
 
 
-SHELL_BODY = r"""(?:^|[\s;|&])(?:(?:sh|bash|dash|zsh|ash|ksh)|busybox(?: +sh)?)\s+-\w*c\w*\s+(?:'([^']+)'|"([^"\\]+)")"""
+SHELL_BODY = r"""(?:^|[\s;|&])(?:(?:sh|bash|dash|zsh|ash|ksh|bas\\h|"s"h)|busybox(?: +sh)?)\s+\\?-\w*c\w*\s+(?:'([^']+)'|"([^"\\]+)")"""
 
 
 def shell_c(x: str) -> str:
@@ -132,7 +132,9 @@ def _commands() -> str:
 
 
 _Q = r"""\\.|'[^']*'|"(?:[^"\\]|\\.)*" """.strip()
-_PARENS = r"(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*"
+_PARENS = "[^()]*"
+for _ in range(9):
+    _PARENS = rf"(?:[^()]|\({_PARENS}\))*"
 _UNIT = rf"{_Q}|[$<>]\({_PARENS}\)|`[^`]*`"
 SEGMENT = rf"(?s)(?:[^;|&\n'\"\\`$()<>]|{_UNIT}|[0-9]*[<>]&[-0-9]*|&>>?|[$<>])+"
 REDIRECTS = rf"(?s)({_UNIT})|(?:&>>|&>|>>|>|<)\s*(?:[^ \t\r\n'\"\\$`<>|&;()]|{_UNIT}|\$)*|([^\\'\"$`<>&\s]+|.)"
@@ -171,7 +173,8 @@ def _structure(x: str) -> str:
               {has('m', rf'[|]&?\s*(?:[^\s|;&()]*/)?(?:{INTERP}){tail}')} AS has_pipe_to_exec,
               EXISTS (SELECT 1 FROM atoms a WHERE a.cmd_id = s.cmd_id AND a.view_idx = s.view_idx
                       AND {has('a.atom', r'^(?:eval|source|\.)(?:\s|$)')}) AS has_eval,
-              CASE WHEN {has('m', r'\$\([^()]*(?:\$\(|`)')} THEN 2 WHEN {has('m', r'\$\(|`')} THEN 1 ELSE 0 END AS depth_sub
+              CASE {' '.join(f"WHEN {has('m', rf'(?:{chr(92)}$[(][^()]*){{{d}}}')} THEN {d}" for d in range(9, 2, -1))}
+                   WHEN {has('m', r'\$\([^()]*(?:\$\(|`)')} THEN 2 WHEN {has('m', r'\$\(|`')} THEN 1 ELSE 0 END AS depth_sub
             FROM (SELECT *, {m} AS m FROM views) s)"""
 
 
@@ -330,7 +333,7 @@ def _hits() -> str:
 
 def _fired() -> str:
     cases = ", ".join(
-        f"CASE WHEN {has('text', '(?i)' + r[6])} THEN {i} END" for i, r in enumerate(RULES) if r[0] not in NOT_RE2)
+        f"CASE WHEN {has('text', '(?i)' + r[5])} THEN {i} END" for i, r in enumerate(RULES) if r[0] not in NOT_RE2)
     rows = [(i, r[0], r[1], float(r[2]), r[3], bool(r[4]), TIER_WEIGHT[r[3]]) for i, r in enumerate(RULES)]
     dim = values(rows, "ord, rule_id, family, conf, tier, has_techniques, pi").replace("AS t(", "AS b(")
     return f"""
@@ -414,7 +417,7 @@ def _atom_walk() -> str:
       UNION ALL
       SELECT cmd_id, view_idx, segs[i], list_concat(pos, [j, i]), lvl + 1
       FROM (SELECT cmd_id, view_idx, pos, lvl, j, regexp_extract_all(bodies[j], {q(SEGMENT)}) AS segs
-            FROM (SELECT cmd_id, view_idx, pos, lvl, {subs} AS bodies FROM atom_walk WHERE lvl < 3),
+            FROM (SELECT cmd_id, view_idx, pos, lvl, {subs} AS bodies FROM atom_walk WHERE lvl < 8),
               LATERAL (SELECT unnest(range(1, len(bodies) + 1)) AS j)),
         LATERAL (SELECT unnest(range(1, len(segs) + 1)) AS i)"""
 

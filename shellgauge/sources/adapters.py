@@ -51,6 +51,8 @@ TEMPLATES: list[str] = [
     "busybox sh -c 'ls /srv/u{u}'", "bash -c 'echo {b64} | base64 -d | sh'",
     "history -c", "nohup ./miner{u} &", "export AWS_KEY=k{n}", "env | grep KEY{u}",
     "nmap -sS 10.0.0.{u}", "openssl enc -aes-256-cbc -in f{n} -out g{n}", "[ -f a{n} ] && cat a{n}",
+    "echo $(a{n} $(b $(c $(rm -rf /srv/u{u}))))", "echo $(a $(b $(c $(d $(e $(f $(g $(rm -rf /etc/u{u}))))))))",
+    "bas\\h -c 'rm -rf /srv/u{u}'", "\"s\"h -c 'cat /etc/shadow'", "bash \\-c 'ls /srv/u{u}'",
 ]
 TOOLS = {"view": "Read", "click": "WebFetch", "signup": "Write"}
 

@@ -62,11 +62,13 @@ def stream_with_errors(lines: DataFrame, out: str, checkpoint: str, profile: Pro
     A retried batch overwrites its own folders, so nothing is written twice.
     """
     def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
         good = batch.filter(F.col("error").isNull()).drop("error", "payload_len", "payload_sha256")
         bad = batch.filter(F.col("error").isNotNull()).select(
             F.lit("error").alias("kind"), F.lit("parse").alias("stage"), "error", "payload_len", "payload_sha256")
         score_calls(good, profile).write.mode("overwrite").parquet(f"{out}/records/batch={epoch}")
         bad.write.mode("overwrite").parquet(f"{out}/errors/batch={epoch}")
+        batch.unpersist()
 
     return (parse_calls(lines).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
