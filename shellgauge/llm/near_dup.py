@@ -57,6 +57,8 @@ SEED = 77
 CELLS = 1 << 20
 #: Rows of the largest set of dropped documents that is broadcast.
 MAX_DROPPED = 200_000
+#: Parts of the hash by which windows are counted, a power of two.
+COUNTED = 128
 #: Edges a task of the components takes, about.
 TASK_EDGES = 500_000
 #: Words whose hash a worker remembers.
@@ -211,25 +213,33 @@ def prefix_pairs(open_nodes: DataFrame, sequences: DataFrame) -> DataFrame:
             found = [windows(np.frombuffer(raw, dtype=np.uint32)).view(np.int64) for raw in batch.column(2).to_pylist()]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
             flat = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], ["node", "root", "w"])
+            parts = [np.bincount(f & (COUNTED - 1), minlength=COUNTED).astype(np.int32) for f in found]
+            counts = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *parts])), COUNTED)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat), counts.cast(pa.list_(pa.int32()))],
+                ["node", "root", "w", "counts"],
+            )
 
     source = open_nodes.join(sequences, "node").select("node", "root", "sequence")
-    windowed = source.mapInArrow(run, "node long, root long, w array<long>")
+    windowed = _written(source.mapInArrow(run, "node long, root long, w array<long>, counts array<int>"), "near-windows")
     each = windowed.select("node", "root", F.size("w").alias("n"), F.explode("w").alias("w"))
     common = each.groupBy("w").agg(F.count("*").alias("texts"))
     ordered = each.join(common, "w").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "w"))).alias("l"))
     short = F.slice("l", 1, (F.col("n") - F.ceil(F.col("n") * SIMILARITY) + 1).cast("int"))
     prefix = ordered.select("node", "root", "n", F.posexplode(short).alias("pos", "x")).filter("x.texts > 1")
-    prefix = _written(prefix.select("node", "root", "n", "pos", F.col("x.w").alias("w")), "near-prefixes")
+    prefix = prefix.select("node", "root", "n", "pos", F.col("x.w").alias("w")).join(windowed.select("node", "counts"), "node")
+    prefix = _written(prefix, "near-prefixes")
     of_root = prefix.groupBy("w", "root").count().groupBy("w").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("roots"))
     crowd = prefix.join(of_root.filter("roots > 1").drop("roots"), "w")
-    one = crowd.filter(F.col("root") != F.col("main")).select("w", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "n", "pos")])
-    other = crowd.select("w", "main", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "pos")])
+    one = crowd.filter(F.col("root") != F.col("main")).select("w", *[F.col(c).alias(f"{c}_1") for c in ("node", "root", "n", "pos", "counts")])
+    other = crowd.select("w", "main", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "pos", "counts")])
     chain = (F.col("n_1") + F.col("n_2")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    apart = F.aggregate(F.zip_with("counts_1", "counts_2", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
     return (
         one.join(other, "w")
         .filter((F.col("root_1") != F.col("root_2")) & ((F.col("root_2") == F.col("main")) | (F.col("node_1") < F.col("node_2"))))
         .filter((F.col("n_1") - F.col("pos_1") >= chain) & (F.col("n_2") - F.col("pos_2") >= chain))
+        .filter(F.col("n_1") + F.col("n_2") - apart >= 2 * chain)
         .select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
     )
 

@@ -263,9 +263,9 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
         ))
         return let(done, lambda d: F.concat(d["out"], F.substring(t, d["at"] + 1, F.length(t))))
 
-    cleaned = let(F.coalesce(F.col(text), F.lit("")), lambda t: let(
-        all_spans(scan(t), least), lambda spans: F.when(F.size(spans) == 0, t).otherwise(replaced(t, spans))
-    ))
+    cleaned = let(F.coalesce(F.col(text), F.lit("")), lambda t: let(scan(t), lambda found: let(
+        all_spans(found, least), lambda spans: F.when(F.size(spans) == 0, t).otherwise(replaced(t, spans))
+    )))
     out = docs.withColumn(text, F.when(F.col(text).isNotNull(), cleaned))
     return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length in docs.columns else out
 
