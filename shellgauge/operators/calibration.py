@@ -52,7 +52,8 @@ def align_pairs(reference: DataFrame, target: DataFrame) -> DataFrame:
             F.when(scalar, F.array(r["noul"])).otherwise(r["probs"]).alias("q")))
 
     def match(sides: Column) -> Column:
-        return F.transform(sides["r"], lambda r: pair(r, F.try_element_at(sides["t"], r["axis"])))
+        # bound once per answer: every label of it reads the target again
+        return F.transform(sides["r"], lambda r: let(F.try_element_at(sides["t"], r["axis"]), lambda t: pair(r, t)))
 
     # A repeated axis counts once, the first time.
     names = F.transform("__t", lambda w: w["axis"])
