@@ -11,7 +11,7 @@ from shellgauge.functions.text import build_once, literal
 from shellgauge.operators import answers as ans
 from shellgauge.operators import calibration as cal
 from shellgauge.plans import static_sql
-from shellgauge.plans.judge_sql import AXES, BROKEN, ctes, judged
+from shellgauge.plans.judge_sql import AXES, BROKEN, SPREAD, ctes, judged
 from shellgauge.plans.static_queries import _decided, big, r6
 from shellgauge.session import keep
 from shellgauge.sources import adapters
@@ -34,6 +34,11 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.answer_items(spark, sf, AXES)
 
 
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    """The items with distributions for choices and scores: all kinds that are calibrated."""
+    return adapters.score_distributions(_items(spark, sf), AXES)
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     """The items with the shapes that a broken log holds."""
     return adapters.broken_records(_items(spark, sf))
@@ -227,7 +232,7 @@ def dim_axes(spark: SparkSession, sf: str) -> DataFrame:
 # ---- calibration ----------------------------------------------------------------------------
 
 PARAMS = [{"axis": a.id, "type": a.primitive, **({"method": "platt", "a": 1.5, "b": -0.7} if a.primitive == "noul" else {"method": "temperature", "t": 0.6})}
-          for a in AXES if a.primitive in ("noul", "choice")]
+          for a in AXES]
 _LOGIT = "ln(greatest(1e-6, least(1 - 1e-6, {0})) / (1 - greatest(1e-6, least(1 - 1e-6, {0}))))"
 _SIGMOID = "1 / (1 + exp(-({0})))"
 _PLATT = _SIGMOID.format("1.5 * " + _LOGIT.format("{0}") + " - 0.7")
@@ -237,11 +242,11 @@ _TEMPER = "SELECT *, pow(greatest(p, 1e-6), CAST(1.0 AS DOUBLE) / 0.6) / sum(pow
 @query("apply_calibration", judged(f"""SELECT axis, count(*) AS n, round(avg(v), 6) AS mean FROM (
     SELECT axis, {_PLATT.format('noul')} AS v FROM answers a WHERE type = 'noul' AND item_id NOT IN (SELECT item_id FROM answers WHERE type = 'noul' AND noul IS NULL)
     UNION ALL SELECT axis, max(pt) AS v FROM tempered WHERE item_id NOT IN (SELECT item_id FROM answers WHERE type = 'noul' AND noul IS NULL) GROUP BY item_id, axis) GROUP BY axis""",
-    "probs", None, {"tempered": _TEMPER.format("probs")}))
+    "probs", None, {**SPREAD, "tempered": _TEMPER.format("probs")}))
 def apply_calibration(spark: SparkSession, sf: str) -> DataFrame:
     """Mean calibrated reading per axis; items whose answers do not fit are left out."""
-    done = keep(ans.apply_calibration(_items(spark, sf), PARAMS), F.col("calibration_error").isNull())
-    rows = done.select(F.explode_outer("answers").alias("w")).filter(F.col("w.type").isin("noul", "choice"))
+    done = keep(ans.apply_calibration(_spread(spark, sf), PARAMS), F.col("calibration_error").isNull())
+    rows = done.select(F.explode_outer("answers").alias("w"))
     return rows.groupBy("w.axis").agg(F.count("*").alias("n"), r6(F.avg(F.coalesce("w.noul", F.array_max("w.probs")))).alias("mean"))
 
 
@@ -255,15 +260,15 @@ def calibration_pin_check(spark: SparkSession, sf: str) -> DataFrame:
 
 _PAIRS = """SELECT item_id, axis, type, 0 AS pos, noul AS q, least(1.0, greatest(0.0, noul * CAST(0.8 AS DOUBLE) + CAST(0.05 AS DOUBLE))) AS p
       FROM answers WHERE type = 'noul' AND noul IS NOT NULL AND item_id % 9 <> 0
-    UNION ALL SELECT item_id, axis, 'choice', pos, p, p * p / sum(p * p) OVER (PARTITION BY item_id, axis) FROM probs WHERE item_id % 9 <> 0"""
+    UNION ALL SELECT item_id, axis, 'vector', pos, p, p * p / sum(p * p) OVER (PARTITION BY item_id, axis) FROM probs WHERE item_id % 9 <> 0"""
 
 
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
-    ref = _items(spark, sf)
-    return cal.align_pairs(ref, adapters.target_answers(ref)).filter(F.col("type") != "score")
+    ref = _spread(spark, sf)
+    return cal.align_pairs(ref, adapters.target_answers(ref))
 
 
-@query("pair_align", judged("SELECT axis, count(DISTINCT item_id) AS pairs, round(sum(p), 4) AS sum_p, round(sum(q), 4) AS sum_q FROM pairs GROUP BY axis", "probs", None, {"pairs": _PAIRS}))
+@query("pair_align", judged("SELECT axis, count(DISTINCT item_id) AS pairs, round(sum(p), 4) AS sum_p, round(sum(q), 4) AS sum_q FROM pairs GROUP BY axis", "probs", None, {**SPREAD, "pairs": _PAIRS}))
 def pair_align(spark: SparkSession, sf: str) -> DataFrame:
     total = lambda c: F.round(F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x)), 4)
     return _aligned(spark, sf).groupBy("axis").agg(F.count("*").alias("pairs"), total(F.col("p")).alias("sum_p"), total(F.col("q")).alias("sum_q"))
@@ -298,29 +303,29 @@ def fit_platt(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(p["axis"], round(p["a"], 4), round(p["b"], 4) + 0.0, p["n"]) for p in params], "axis string, a double, b double, n bigint")
 
 
-@query("fit_temperature", judged("SELECT axis, CAST(0.6 AS DOUBLE) AS t, count(DISTINCT item_id) AS n FROM probs GROUP BY axis", "probs"))
+@query("fit_temperature", judged("SELECT axis, CAST(0.6 AS DOUBLE) AS t, count(DISTINCT item_id) AS n FROM probs GROUP BY axis", "probs", None, SPREAD))
 def fit_temperature(spark: SparkSession, sf: str) -> DataFrame:
     """Temperatures recovered from references that are an exact transform of the answers."""
-    choice = adapters.long_answers(_items(spark, sf)).filter(F.col("type") == "choice")
-    pairs = choice.select("item_id", "axis", "type", F.col("probs").alias("p"), temper(F.col("probs"), F.lit(0.6)).alias("q"))
+    vectors = adapters.long_answers(_spread(spark, sf)).filter(F.col("type") != "noul")
+    pairs = vectors.select("item_id", "axis", "type", F.col("probs").alias("p"), temper(F.col("probs"), F.lit(0.6)).alias("q"))
     params = cal.fit_temperature(pairs)
     return spark.createDataFrame([(p["axis"], round(p["t"], 4), p["n"]) for p in params], "axis string, t double, n bigint")
 
 
-@query("temper", judged("SELECT item_id, axis, label, round(pt, 6) AS p FROM tempered", "probs", None, {"tempered": _TEMPER.format("probs")}))
+@query("temper", judged("SELECT item_id, axis, label, round(pt, 6) AS p FROM tempered", "probs", None, {**SPREAD, "tempered": _TEMPER.format("probs")}))
 def temper_long(spark: SparkSession, sf: str) -> DataFrame:
-    rows = adapters.long_answers(_items(spark, sf)).filter(F.col("type") == "choice").select(
+    rows = adapters.long_answers(_spread(spark, sf)).filter(F.col("type") != "noul").select(
         "item_id", "axis", F.explode_outer(F.arrays_zip("labels", "probs")).alias("z")).select(
         "item_id", "axis", F.col("z.labels").alias("label"), F.col("z.probs").alias("p"))
     return cal.temper_rows(rows, F.lit(0.6)).select("item_id", "axis", "label", r6("p_tempered").alias("p"))
 
 
-@query("brier", judged("SELECT axis, round(avg(e), 6) AS brier FROM (SELECT axis, item_id, sum((p - q) * (p - q)) AS e FROM pairs GROUP BY ALL) GROUP BY axis", "probs", None, {"pairs": _PAIRS}))
+@query("brier", judged("SELECT axis, round(avg(e), 6) AS brier FROM (SELECT axis, item_id, sum((p - q) * (p - q)) AS e FROM pairs GROUP BY ALL) GROUP BY axis", "probs", None, {**SPREAD, "pairs": _PAIRS}))
 def brier(spark: SparkSession, sf: str) -> DataFrame:
     return cal.brier(_aligned(spark, sf)).select("axis", r6("brier").alias("brier"))
 
 
-@query("ece", judged("SELECT axis, round(sum(abs(sp - sq)) / sum(n), 6) AS ece FROM (SELECT axis, least(floor(p * 10), 9) AS bin, count(*) AS n, sum(p) AS sp, sum(q) AS sq FROM pairs GROUP BY ALL) GROUP BY axis", "probs", None, {"pairs": _PAIRS}))
+@query("ece", judged("SELECT axis, round(sum(abs(sp - sq)) / sum(n), 6) AS ece FROM (SELECT axis, least(floor(p * 10), 9) AS bin, count(*) AS n, sum(p) AS sp, sum(q) AS sq FROM pairs GROUP BY ALL) GROUP BY axis", "probs", None, {**SPREAD, "pairs": _PAIRS}))
 def ece(spark: SparkSession, sf: str) -> DataFrame:
     return cal.ece(_aligned(spark, sf)).select("axis", r6("ece").alias("ece"))
 

@@ -15,8 +15,8 @@ def _axes(axes: list[Axis]) -> str:
     return f"SELECT * FROM {values(rows, 'k, axis, type, n_labels, requires, use, cut, gate, gate_over, grp, direction')}"
 
 
-def _labels(axes: list[Axis]) -> str:
-    rows = [(a.id, i, c[0]) for a in axes if a.primitive == "choice" for i, c in enumerate(a.criteria)]
+def _labels(axes: list[Axis], kinds: tuple[str, ...] = ("choice",)) -> str:
+    rows = [(a.id, i, c[0]) for a in axes if a.primitive in kinds for i, c in enumerate(a.criteria)]
     return f"SELECT * FROM {values(rows, 'axis, pos, label')}"
 
 
@@ -71,6 +71,9 @@ def ctes(axes: list[Axis] | None = None, expected: str = "judge-1") -> dict[str,
     }
 
 
+# Labels of every axis answered by a distribution.
+SPREAD = {"labels": _labels(AXES, ("choice", "score"))}
+
 # The same items with the broken shapes of the adapter, and what becomes of them.
 BROKEN = {
     "broken": """SELECT event_id AS item_id, CASE WHEN event_id % 223 = 6 THEN 'L9' WHEN event_id % 227 <> 7 THEN 'L' || (event_id % 3) END AS level,

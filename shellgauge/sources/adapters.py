@@ -161,6 +161,21 @@ def answer_items(spark: SparkSession, sf_dir: str, axes: list) -> DataFrame:
         F.transform(spec, answer).alias("answers"))
 
 
+def score_distributions(items: DataFrame, axes: list) -> DataFrame:
+    """The same items with a distribution over its levels for every score answer."""
+    order, n = literal({a.id: a.ord for a in axes}, "map<string,int>"), F.col("item_id")
+
+    def spread(w: Column) -> Column:
+        k = F.element_at(order, w["axis"])
+        weights = F.transform(w["legend"], lambda _, i: ((n * (2 * k + 3) + 7 * k + 1 + 13 * i) % 101 + 1).cast("double"))
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+        scale = F.when(n % 89 == 0, F.lit(1.2)).otherwise(F.lit(1.0))
+        return F.struct(w["axis"], w["type"], w["noul"], w["score"], w["choice"], w["legend"], w["legend"].alias("labels"),
+                        F.transform(weights, lambda x: x / total * scale).alias("probs"))
+
+    return items.withColumn("answers", F.transform("answers", lambda w: F.when(w["type"] == "score", spread(w)).otherwise(w)))
+
+
 def broken_records(items: DataFrame) -> DataFrame:
     """The same items, some of them as a broken log holds them: no answers, no or an unknown level, no model."""
     n = F.col("item_id")
