@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shellgauge.catalogs.axes import LEVELS, Axis
+from shellgauge.catalogs.axes import LEVELS, Axis, with_gate
 from shellgauge.catalogs.profiles import TIER_ORDER, JudgeProfile
 from shellgauge.functions.numeric import array_total, is_finite, temper
 from shellgauge.functions.text import let, literal
@@ -28,6 +28,8 @@ NAMED_LABELS = [
     ("b3_blast_radius", "system_wide", "b3_system_wide"),
     ("b3_blast_radius", "remote_infrastructure", "b3_remote_infrastructure"),
 ]
+# Fixed value: the axis whose gate a profile sets.
+GATED_AXIS = "a6_destination_class"
 # Axes each tier reads.
 TIER_AXES = {
     "T1": ["a5_outbound_data", "a1_reads_credentials", "a7_personal_data", "a6_destination_class"],
@@ -293,6 +295,7 @@ def evaluate(items: DataFrame, axes: list[Axis], profile: JudgeProfile | None =
     ``rubric_hash`` and ``pinned_rubric`` names the one fitted.
     """
     p = profile or JudgeProfile()
+    axes = with_gate(axes, GATED_AXIS, p.thresholds["unknown_f5_gate"])
     out = items.withColumn("answers", present(F.col("answers")))
     out = out.withColumn("__missing", missing_axes(axes, F.col("answers"), F.col("level")))
     n = F.size("__missing")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shellgauge.catalogs.axes import Axis
 from shellgauge.catalogs.profiles import Profile
 from shellgauge.functions.text import literal
 from shellgauge.operators import policy
@@ -95,33 +96,42 @@ def why_reasons(old: dict[str, Column], new: dict[str, Column]) -> Column:
     ))
 
 
-def replay(log: DataFrame, profile: Profile, mode: str = "balanced", offline: bool = True) -> DataFrame:
-    """Logged shell calls re-scored under a profile, old and new side by side.
+def replay(log: DataFrame, profile: Profile, axes: list[Axis], mode: str = "balanced", offline: bool = True) -> DataFrame:
+    """Logged calls under a profile, old and new side by side.
 
+    Shell calls are scored again; calls that cannot be scored go to the judge,
+    unless the profile skips their tool. A judge's logged answers are evaluated
+    again, so thresholds, tier order, verdicts and gates of the profile count.
     Old columns stay on the row, so the comparison needs no join. Input:
-    ``tool_use_id, ts, file, line, command, old_decision, old_note, old_mode, old_verdict,
-    old_score, old_skip, old_rules, old_judged, old_tier`` plus the columns of
-    ``reuse_eligibility`` and ``judge_verdict, judge_tier`` (from the logged answers).
+    ``tool_use_id, tool_name, ts, file, line, command, is_shell, old_decision,
+    old_note, old_mode, old_verdict, old_score, old_skip, old_rules, old_judged,
+    old_tier`` plus the columns of ``reuse_eligibility`` and ``answers, level,
+    model`` as logged.
     """
+    from shellgauge.operators.answers import evaluate
     from shellgauge.plans.analyze import decide, layer_evidence, layer_scores
 
-    scored = decide(layer_scores(layer_evidence(log, profile)), profile, mode)
+    judged_again = evaluate(log, axes, profile.judge)
+    scored = decide(layer_scores(layer_evidence(judged_again.withColumn("command", F.coalesce("command", F.lit(""))), profile)), profile, mode)
     sourced = judge_source(scored, offline)
-    reached = F.col("would_adjudicate")
+    shell = F.col("is_shell")
+    skipped = F.col("tool_name").isin(*profile.judge.skip_tools) if profile.judge.skip_tools else F.lit(False)
+    reached = F.when(shell, F.col("would_adjudicate")).otherwise(~skipped)
     reused = F.col("judge_source") == "answers reused"
-    new_final = policy.final_decision(
-        F.col("provisional")[mode], F.col("skip_predicate"),
-        F.when(reused, F.col("judge_verdict")).otherwise(F.lit("needs_judge")))
+    answer = F.when(reused, F.col("verdict")).otherwise(F.lit("needs_judge"))
+    static = policy.final_decision(F.col("provisional")[mode], F.col("skip_predicate"), answer)
     out = sourced.withColumns({
-        "old": F.col("old_decision"), "new": new_final,
-        "new_tier": F.when(reached & reused, F.col("judge_tier")),
-        "judge_source": F.when(reached, F.col("judge_source")),
+        "old": F.col("old_decision"), "new": F.when(shell, static).when(skipped, F.lit("none")).otherwise(answer),
+        "new_tier": F.when(reached & reused, F.col("tier")),
+        "judge_source": F.when(reached, F.col("judge_source")), "reached": reached,
+        "aggregate": F.when(shell, F.col("aggregate")), "skip_predicate": F.when(shell, F.col("skip_predicate")),
+        "rule_ids": F.when(shell, F.col("rule_ids")).otherwise(F.array().cast("array<string>")),
     })
-    old = {"is_shell": F.lit(True), "mode": F.col("old_mode"), "verdict": F.col("old_verdict"),
+    old = {"is_shell": shell, "mode": F.col("old_mode"), "verdict": F.col("old_verdict"),
            "score": F.col("old_score"), "skip": F.col("old_skip"), "rules": F.col("old_rules"),
            "judged": F.col("old_judged"), "tier": F.col("old_tier"), "note": F.col("old_note")}
     new = {"mode": F.col("mode"), "verdict": F.col("provisional")[mode], "score": F.col("aggregate"),
-           "skip": F.col("skip_predicate"), "rules": F.col("rule_ids"), "judged": reached,
+           "skip": F.col("skip_predicate"), "rules": F.col("rule_ids"), "judged": F.col("reached"),
            "tier": F.col("new_tier"), "source": F.col("judge_source")}
     return out.withColumn("changed", F.col("old") != F.col("new")).withColumn("why", why_reasons(old, new))
 

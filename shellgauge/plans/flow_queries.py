@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace as dc_replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shellgauge.catalogs.axes import with_gate
 from shellgauge.catalogs.profiles import DEFAULT, PAPER, WEIGHTS
 from shellgauge.catalogs.tags import REGISTRY
 from shellgauge.functions.numeric import platt
@@ -386,7 +388,8 @@ _REUSE = f"""CASE WHEN state IS NULL THEN 'no logged state'
     WHEN coalesce(backend_host, 'judge.invalid') <> '{_HOST}' OR coalesce(expected_model, 'judge-1') <> '{_MODEL}'
       THEN 'backend ' || coalesce(backend_host, 'judge.invalid') || '/' || coalesce(expected_model, 'judge-1') || '→{_HOST}/{_MODEL}'
     WHEN contains(overrides, 'judge.context.') THEN 'context limits may differ' END"""
-_SOURCE = "CASE WHEN state IS NOT NULL AND reuse_error IS NULL THEN 'answers reused' WHEN state IS NULL THEN 'needs judge (offline; no logged state)' ELSE 'needs judge (offline; ' || reuse_error || ')' END"
+_TRUNCATED = "(tool_name = 'Write' AND strlen(json_extract_string(tool_input, '$.content')) > 300)"
+_SOURCE = f"CASE WHEN state IS NOT NULL AND reuse_error IS NULL THEN 'answers reused' WHEN state IS NULL AND {_TRUNCATED} THEN 'input truncated' WHEN state IS NULL THEN 'needs judge (offline; no logged state)' ELSE 'needs judge (offline; ' || reuse_error || ')' END"
 
 
 def _replayable(spark: SparkSession, sf: str) -> DataFrame:
@@ -397,7 +400,10 @@ def _replayable(spark: SparkSession, sf: str) -> DataFrame:
         "has_answers": F.when(n % 37 != 4, F.col("has_answers")), "judge_rubric_hash": F.when(n % 41 != 6, F.col("judge_rubric_hash")),
     })
     ready = replay.reuse_eligibility(judged, RUBRIC, _HOST, _MODEL)
-    return ready.withColumns({"input_truncated": F.lit(False), "transcript_exists": F.lit(False)})
+    return ready.withColumns({
+        "input_truncated": F.coalesce(pj.is_truncated(pj.truncate_object(F.col("tool_input"), 300)), F.lit(False)),
+        "transcript_exists": F.coalesce(F.col("level_reason") == "transcript", F.lit(False)),
+    })
 
 
 @query("reuse_eligibility", js.log(f"SELECT tool_use_id, {_REUSE} AS reuse_error FROM log WHERE judged"))
@@ -411,35 +417,50 @@ def judge_source(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("judge_source").agg(F.count("*").alias("n"))
 
 
-def _shell_log(spark: SparkSession, sf: str) -> DataFrame:
+# The profile calls are replayed under: published values, with a lower bar to deny and a tool left alone.
+CANDIDATE = dc_replace(PAPER, name="candidate", judge=dc_replace(
+    PAPER.judge, thresholds={**PAPER.judge.thresholds, "f5_deny": 0.7, "unknown_f5_gate": 0.5}, skip_tools=["Read"]))
+
+
+def _logged_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every logged call with its logged answers; those of a failed call are absent."""
     o = pj.old_decision(F.col("final"), F.col("tool_name"), F.col("unscored"), F.lit(True))
-    shell = _replayable(spark, sf).filter((F.col("tool_name") == "Bash") & (F.trim(F.coalesce("command", F.lit(""))) != ""))
-    return shell.withColumn("o", o).select(
-        "tool_use_id", "ts", "file", "line", "command", "overrides", F.col("o.decision").alias("old_decision"), F.col("o.note").alias("old_note"),
+    answers = adapters.answer_items(spark, sf, js.AXES).select(F.col("item_id").alias("tool_use_id"), "answers")
+    log = _replayable(spark, sf).join(answers, "tool_use_id").withColumn("answers", F.when(F.col("has_answers"), F.col("answers")))
+    scorable = (F.col("tool_name") == "Bash") & (F.trim(F.coalesce("command", F.lit(""))) != "")
+    return log.withColumn("o", o).select(
+        "tool_use_id", "tool_name", "ts", "file", "line", "command", "overrides", F.col("o.decision").alias("old_decision"), F.col("o.note").alias("old_note"),
         F.col("mode").alias("old_mode"), F.col("balanced").alias("old_verdict"), F.col("aggregate").alias("old_score"),
         F.col("skip_predicate").alias("old_skip"), F.col("rule_ids").alias("old_rules"), F.col("judge_backend").isNotNull().alias("old_judged"),
-        F.col("tier").alias("old_tier"), F.col("tier").alias("judge_tier"), "judge_verdict", "state", "reuse_error", "context_same",
-        "input_truncated", "transcript_exists")
+        F.col("tier").alias("old_tier"), "state", "reuse_error", "context_same", "input_truncated", "transcript_exists",
+        scorable.alias("is_shell"), "answers", "level", "model")
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    return replay.replay(_shell_log(spark, sf), PAPER)
+    return replay.replay(_logged_calls(spark, sf), CANDIDATE, js.AXES)
 
 
 def _replay_sql(select: str) -> str:
-    """Logged shell calls next to the published profile's decisions on the same command."""
-    log_part = js.log("", rl=f"SELECT l.*, {_REUSE} AS reuse_error, CASE WHEN final = 'unadjudicated' THEN 'ask' ELSE coalesce(final, 'none') END AS old FROM log l WHERE shell AND trim(coalesce(command, '')) <> ''")
+    """Logged calls next to the candidate's decisions: static for commands, answers judged again for the rest."""
+    log_part = js.log("", rl=f"""SELECT l.*, {_REUSE} AS reuse_error, CASE WHEN final = 'unadjudicated' THEN 'ask' ELSE coalesce(final, 'none') END AS old,
+        shell AND trim(coalesce(command, '')) <> '' AS scorable FROM log l""")
     body = log_part.split("WITH commands AS (", 1)[1]
     static = sql.query("", "decided").rstrip()
     # The static side reads the logged commands only.
     head, tail = static.split("commands AS MATERIALIZED (", 1)
     rest = tail[tail.index("),\nwalk AS"):]
     logged = "WITH RECURSIVE commands0 AS (" + body.replace("FROM commands c JOIN", "FROM commands0 c JOIN").rstrip()
-    chain = logged + ",\ncommands AS MATERIALIZED (SELECT tool_use_id AS cmd_id, session_id, ts, command FROM rl" + rest
-    merged = f""",\nresults AS (SELECT r.*, d.raw, d.balanced AS new_verdict, d.skip AS new_skip, d.rule_ids AS new_rules,
-        d.final = 'unadjudicated' AS reached, {_SOURCE} AS judge_source,
-        CASE WHEN d.final <> 'unadjudicated' THEN d.final WHEN reuse_error IS NULL THEN judge_verdict ELSE 'needs_judge' END AS new
-        FROM rl r JOIN decided d ON d.cmd_id = r.tool_use_id)\n"""
+    gated = js.ctes(with_gate(js.AXES, "a6_destination_class", 0.5))
+    answered = ",\n".join(f"{n} AS ({gated[n].replace('f5 > 0.9', 'f5 > 0.7')})" for n in js.CHAIN[: js.CHAIN.index("missing") + 1])
+    chain = logged + ",\n" + answered + ",\ncommands AS MATERIALIZED (SELECT tool_use_id AS cmd_id, session_id, ts, command FROM rl WHERE scorable" + rest
+    merged = f""",\nresults AS (SELECT *, CASE WHEN scorable AND d_final <> 'unadjudicated' THEN d_final WHEN NOT reached THEN 'none'
+          WHEN judge_source = 'answers reused' THEN again ELSE 'needs_judge' END AS new,
+        CASE WHEN reached AND judge_source = 'answers reused' THEN again_tier END AS new_tier
+      FROM (SELECT r.*, d.raw, d.balanced AS new_verdict, d.skip AS new_skip, coalesce(d.rule_ids, '') AS new_rules, d.final AS d_final,
+          CASE WHEN scorable THEN d.final = 'unadjudicated' ELSE tool_name <> 'Read' END AS reached, {_SOURCE} AS judge_source,
+          CASE WHEN m.n > 0 THEN 'ask' WHEN t.tier IN ('T1', 'T2') THEN 'deny' WHEN t.tier = 'T6' THEN 'allow' ELSE 'ask' END AS again,
+          CASE WHEN m.n IS NULL THEN t.tier END AS again_tier
+        FROM rl r LEFT JOIN decided d ON d.cmd_id = r.tool_use_id JOIN tiers t ON t.item_id = r.tool_use_id LEFT JOIN missing m ON m.item_id = r.tool_use_id))\n"""
     return chain + merged + select
 
 
@@ -460,15 +481,18 @@ def changed_calls(spark: SparkSession, sf: str) -> DataFrame:
     return replay.changed_calls(changed).drop("changed")
 
 
-_WHY = """concat_ws('; ', CASE WHEN mode <> 'balanced' THEN 'mode ' || mode || '→balanced' END,
-    CASE WHEN balanced <> new_verdict THEN 'static ' || balanced || '→' || new_verdict END,
-    CASE WHEN score0 <> round(raw, 4) THEN 'score ' || score0 || '→' || round(raw, 4) END,
-    CASE WHEN skip_predicate IS DISTINCT FROM new_skip THEN 'skip ' || coalesce(skip_predicate, 'none') || '→' || coalesce(new_skip, 'none') END,
-    CASE WHEN len(added) + len(removed) > 0 THEN 'rules' || array_to_string(list_transform(added, lambda x: ' +' || x), '') || array_to_string(list_transform(removed, lambda x: ' -' || x), '') END,
-    CASE WHEN NOT judged AND reached THEN 'newly reaches the judge' WHEN judged AND NOT reached THEN 'no longer reaches the judge' END,
-    CASE WHEN judged AND reached AND reuse_error IS NOT NULL AND NOT starts_with(judge_source, 'needs judge') THEN 'tier' END,
+_WHY = """concat_ws('; ', CASE WHEN scorable AND mode <> 'balanced' THEN 'mode ' || mode || '→balanced' END,
+    CASE WHEN scorable AND balanced <> new_verdict THEN 'static ' || balanced || '→' || new_verdict END,
+    CASE WHEN scorable AND score0 <> round(raw, 4) THEN 'score ' || score0 || '→' || round(raw, 4) END,
+    CASE WHEN scorable AND skip_predicate IS DISTINCT FROM new_skip THEN 'skip ' || coalesce(skip_predicate, 'none') || '→' || coalesce(new_skip, 'none') END,
+    CASE WHEN scorable AND len(added) + len(removed) > 0 THEN 'rules' || array_to_string(list_transform(added, lambda x: ' +' || x), '') || array_to_string(list_transform(removed, lambda x: ' -' || x), '') END,
+    CASE WHEN NOT judged AND reached THEN CASE WHEN scorable THEN 'newly reaches the judge' ELSE 'now judged (cannot be scored)' END
+      WHEN judged AND NOT reached THEN CASE WHEN scorable THEN 'no longer reaches the judge' ELSE 'skip_tools: not judged' END END,
+    CASE WHEN judged AND reached AND tier IS DISTINCT FROM new_tier AND NOT starts_with(judge_source, 'needs judge') AND judge_source <> 'input truncated'
+      THEN 'tier ' || coalesce(tier, 'error') || '→' || coalesce(new_tier, 'error') END,
     CASE WHEN reached THEN judge_source END,
-    CASE WHEN final = 'unadjudicated' THEN 'old: stub-era ''unadjudicated'', counted as ask' WHEN final IS NULL THEN 'old: no final in the record (older version)' END)"""
+    CASE WHEN final = 'unadjudicated' THEN 'old: stub-era ''unadjudicated'', counted as ask' WHEN final IS NULL AND NOT shell AND NOT unscored THEN 'old: no decision logged (pass-through)'
+      WHEN final IS NULL THEN 'old: no final in the record (older version)' END)"""
 
 
 @query("why_reasons", _replay_sql(f"""SELECT tool_use_id, {_WHY} AS why FROM (SELECT *, list_sort(list_filter(n, lambda x: NOT list_contains(o, x))) AS added, list_sort(list_filter(o, lambda x: NOT list_contains(n, x))) AS removed
@@ -485,12 +509,12 @@ def rule_set_diff(spark: SparkSession, sf: str) -> DataFrame:
         "tool_use_id", F.array_join("d.added", ",").alias("added"), F.array_join("d.removed", ",").alias("removed"))
 
 
-@query("replay_summary", _replay_sql("""SELECT count(*) + (SELECT count(*) FROM log WHERE NOT shell OR trim(coalesce(command, '')) = '') AS lines, count(*) AS replayed, CAST(count_if(old <> new) AS BIGINT) AS changed,
+@query("replay_summary", _replay_sql("""SELECT count(*) AS lines, count(*) AS replayed, CAST(count_if(old <> new) AS BIGINT) AS changed,
     CAST(count_if(reached AND starts_with(judge_source, 'needs judge')) AS BIGINT) AS needs_judge FROM results"""))
 def replay_summary(spark: SparkSession, sf: str) -> DataFrame:
     results = checkpoint(_results(spark, sf).select("tool_use_id", "old", "new", "changed", "judge_source"))
-    skipped = _log(spark, sf).filter((F.col("tool_name") != "Bash") | (F.trim(F.coalesce("command", F.lit(""))) == "")).select(
-        F.coalesce("unscored_reason", F.lit("no command")).alias("reason"))
+    # every logged call is replayed; only records that are no calls are skipped
+    skipped = _log(spark, sf).filter(F.col("tool_name").isNull()).select(F.lit("no tool call").alias("reason"))
     out = replay.replay_summary(results, skipped)
     total = F.aggregate(F.map_values("needs_judge"), F.lit(0).cast("bigint"), lambda a, n: a + n)
     return out.select("lines", "replayed", "changed", total.alias("needs_judge"))
