@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Compared fields.
 FIELDS = "decision provisional scores aggregate fired_rules skip_reason final".split()
 
 
+def differing(a: Column, b: Column, fields: list[str]) -> Column:
+    """Names of the fields in which two structs of a row differ."""
+    return F.array_compact(F.array(*[F.when(~a[n].eqNullSafe(b[n]), F.lit(n)) for n in fields]))
+
+
+def parity_rows(both: DataFrame, ours: str, golden: str, fields: list[str] | None = None) -> DataFrame:
+    """The same audit where both results stand on one row, as two structs: no join."""
+    out = both.withColumn("diff", differing(F.col(ours), F.col(golden), fields or FIELDS))
+    return out.withColumn("identical", F.size("diff") == 0)
+
+
 def parity_diff(ours: DataFrame, golden: DataFrame, key: str = "cmd", fields: list[str] | None = None) -> DataFrame:
     """Names of the fields that differ, per command; commands on one side only count too."""
     names = fields or FIELDS
     left = ours.select(key, F.struct(*names).alias("a"), *([c for c in ("tags",) if c in ours.columns]))
     right = golden.select(key, F.struct(*names).alias("b"))
     both = left.join(right, key, "full_outer")
-    diff = F.array_compact(F.array(*[
-        F.when(~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")), F.lit(n)) for n in names]))
-    return both.withColumn("diff", diff).withColumn("identical", F.size("diff") == 0).drop("a", "b")
+    return both.withColumn("diff", differing(F.col("a"), F.col("b"), names)).withColumn("identical", F.size("diff") == 0).drop("a", "b")
 
 
 def parity_allowlist(diffs: DataFrame, allowlist: DataFrame, registry: DataFrame, key: str = "cmd") -> DataFrame:

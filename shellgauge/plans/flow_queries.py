@@ -632,10 +632,9 @@ _FIELDS = ["strict", "balanced", "auto", "aggregate", "skip_predicate", "final"]
 
 
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Default against published decisions, both stored from one pass over the commands."""
+    """Default against published decisions, both on the row of their command, stored from one pass."""
     both = checkpoint(plan.under_profiles(adapters.commands(spark, sf), [DEFAULT, PAPER], "balanced", "command", HOME).select("cmd_id", "default", "paper"))
-    ours = both.select("cmd_id", "default.*").drop("rule_ids")
-    return parity.parity_diff(ours, both.select("cmd_id", "paper.*").drop("rule_ids", "tags"), "cmd_id", _FIELDS)
+    return parity.parity_rows(both, "default", "paper", _FIELDS).select("cmd_id", "default.tags", "diff", "identical")
 
 
 def _audit_sql(select: str) -> str:

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shellgauge.functions.text import is_blank
 from shellgauge.operators.answers import ANSWER_TYPE
-from shellgauge.operators.context import human_prompts, positions, tool_uses
+from shellgauge.operators.context import human_prompts, tool_uses
+from shellgauge.session import small
+
+# Splits whose first rows are broadcast; beyond, they are joined by shuffle.
+MAX_SPLITS = 200_000
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file, line, value``: text lines with their 1-based number in their file.
 
-    Lines are ranked inside the split they were read from, and splits are
-    offset by their sizes, so one huge file is numbered by many tasks.
+    Rows of a split carry consecutive ids, so a line's number in its split is its
+    distance from the split's first id. Only one row per split is aggregated and
+    joined back, with the lines of the splits before it; the text is not moved.
     """
     raw = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"))
     placed = raw.withColumn("__row", F.monotonically_increasing_id())
-    return positions(placed, ["file"], ["__row"], F.col("__block"), "line").select("file", "line", "value")
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("file", "__block").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    line = F.col("__row") - F.col("__first") + F.col("__before") + 1
+    return placed.join(small(splits, MAX_SPLITS), ["file", "__block"]).select("file", line.alias("line"), "value")
 
 
 def classify_log_line(value: Column, parsed: Column) -> Column:
