@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from shellgauge.functions.numeric import any_true
 from shellgauge.functions.text import any_of, clip, let, literal, starts_with_any, strip
@@ -138,8 +139,11 @@ def fitted_history(calls: DataFrame, session: str, pos: str, text: str, budget:
     """
     reach = budget // (TURN_COST + 2) + 1
     halo = with_halo(calls, [session], pos, chunk, reach)
-    back = Window.partitionBy(session, "__chunk").orderBy(pos).rowsBetween(-reach, -1)
-    prior = F.reverse(F.collect_list(text).over(back))
+    spent, back = _within_budget(session, pos, text, TURN_COST, budget, -1)
+    # rows that cost the budget at most; without any, the newest stays alone
+    newest = F.lag(text).over(Window.partitionBy(session, "__chunk").orderBy(pos))
+    fitting = F.reverse(F.collect_list(text).over(back))
+    prior = F.when(F.size(fitting) > 0, fitting).otherwise(F.array_compact(F.array(newest)))
 
     def keep(acc: Column, t: Column) -> Column:
         cost = F.length(t) + TURN_COST
@@ -152,13 +156,24 @@ def fitted_history(calls: DataFrame, session: str, pos: str, text: str, budget:
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"),
                      F.lit(False).alias("full"))
     return (
-        halo.withColumn("__prior", prior).filter(~F.col("__halo"))
+        halo.withColumn("__spent", spent).withColumn("__prior", prior).filter(~F.col("__halo"))
         .withColumn("prior_actions", F.aggregate("__prior", start, keep, lambda a: F.reverse(a["kept"])))
         .withColumn("actions_total", (F.col(pos) - 1).cast("bigint"))
-        .drop("__prior", "__chunk", "__halo")
+        .drop("__prior", "__spent", "__chunk", "__halo")
     )
 
 
+def _within_budget(session: str, pos: str, text: str, cost: int, budget: int, last: int) -> tuple[Column, WindowSpec]:
+    """``__spent``, the cost of all earlier rows of a chunk, and the frame of rows at most a budget back.
+
+    The frame is a range of costs, so a row collects what may fit and no more.
+    """
+    chunk = Window.partitionBy(session, "__chunk")
+    each = F.coalesce(F.length(text), F.lit(0)) + cost
+    spent = F.coalesce(F.sum(each).over(chunk.orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    return spent, chunk.orderBy("__spent").rangeBetween(-budget, last)
+
+
 def join_user_request(prompts: DataFrame, session: str, pos: str, text: str,
                       budget: int = FIELD_CHARS, chunk: int = 10_000) -> DataFrame:
     """Per prompt: the user request as of that prompt, under the budget.
@@ -168,7 +183,7 @@ def join_user_request(prompts: DataFrame, session: str, pos: str, text: str,
     """
     reach = budget // 3 + 1
     halo = with_halo(prompts, [session], pos, chunk, reach)
-    back = Window.partitionBy(session, "__chunk").orderBy(pos).rowsBetween(-reach, 0)
+    spent, back = _within_budget(session, pos, text, 2, budget, 0)
     newest_first = F.reverse(F.collect_list(text).over(back))
 
     def keep(acc: Column, t: Column) -> Column:
@@ -184,11 +199,11 @@ def join_user_request(prompts: DataFrame, session: str, pos: str, text: str,
                      F.lit(False).alias("full"))
     kept = F.aggregate(newest_first, start, keep, lambda a: F.reverse(a["kept"]))
     return (
-        halo.withColumn("__kept", kept).filter(~F.col("__halo"))
+        halo.withColumn("__spent", spent).withColumn("__kept", kept).filter(~F.col("__halo"))
         .withColumns({
             "user_request": F.array_join("__kept", "\n\n"),
             "prompts_kept": F.size("__kept").cast("bigint"), "prompts_total": F.col(pos).cast("bigint"),
-        }).drop("__kept", "__chunk", "__halo")
+        }).drop("__kept", "__spent", "__chunk", "__halo")
     )
 
 
