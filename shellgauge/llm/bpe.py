@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shellgauge.llm.common import sha256_hex, text_or_empty
+from shellgauge.llm.common import in_small_batches, sha256_hex, text_or_empty
 
 #: A vocabulary file larger than this is refused, since every worker holds it.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Chunks a worker remembers, in each of two generations.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 150_000
 #: Words of more characters than this take their merges from a heap.
 SCAN_CHARS = 64
 #: Chunks of more characters than this are not remembered.
@@ -214,7 +214,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
             flat = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], [key, "ids"])
 
-    source = df.select(F.col(key), text_or_empty(text).alias("__text"))
+    source = in_small_batches(df).select(F.col(key), text_or_empty(text).alias("__text"))
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
@@ -237,7 +237,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
             parts = pa.ListArray.from_arrays(pa.array(ends), tokens.take(lists.flatten()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pc.binary_join(parts, " ")], [key, "ids", "decoded"])
 
-    source = df.select(F.col(key), F.col(ids).cast("array<int>").alias("ids"))
+    source = in_small_batches(df).select(F.col(key), F.col(ids).cast("array<int>").alias("ids"))
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 
 

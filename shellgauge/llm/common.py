@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The ASCII white space between words, as the inside of a character class.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
+#: Rows that are sent to Python at once, at most.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends at most ``BATCH_ROWS`` of them to Python at once.
+
+    A batch of texts is held on both sides of the pipe, so its size sets the
+    memory of a task. A session that asks for less keeps its own setting.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     """The text; a missing one reads as empty."""
     return F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit(""))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shellgauge.llm.common import text_or_empty
+from shellgauge.llm.common import in_small_batches, text_or_empty
 from shellgauge.session import scratch, small
 
 WINDOW = 8
@@ -45,7 +45,7 @@ ENOUGH, SHARE = 6, 0.5
 #: Bits of the bitmap, as a power of two.
 BITMAP = 24
 #: Tokens that are worked on at once, chunks a worker remembers, and dropped rows that are broadcast.
-TOKENS, CACHE_CHUNKS, MAX_DROPPED = 1 << 18, 400_000, 200_000
+TOKENS, CACHE_CHUNKS, MAX_DROPPED = 1 << 18, 200_000, 200_000
 
 #: Units of measure and money.
 UNITS = set(
@@ -70,6 +70,7 @@ class Tokens(dict):
         self.kind: list[int] = []
         self.value: list[int] = []
         self.ends: list[bool] = []
+        self.known = (np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool))
 
     def __missing__(self, chunk: str) -> bytes:
         found = TOKEN.findall(chunk)
@@ -86,6 +87,13 @@ class Tokens(dict):
         got = self[chunk] = np.arange(start, len(self.kind), dtype=np.int32).tobytes()
         return got
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds, values and sentence ends as arrays, of which only the new part is converted."""
+        n = len(self.known[0])
+        if n < len(self.kind):
+            self.known = tuple(np.concatenate([old, np.array(new[n:], dtype=old.dtype)]) for old, new in zip(self.known, (self.kind, self.value, self.ends)))
+        return self.known
+
     def trim(self) -> None:
         if len(self) > CACHE_CHUNKS:
             self.__init__()
@@ -102,8 +110,8 @@ def templates(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     packed = [b"".join(map(tokens.__getitem__, t.split())) for t in texts]
     ends = np.cumsum([len(p) // 4 for p in packed])
     at = np.frombuffer(b"".join(packed), dtype=np.int32)
-    kind, value = np.array(tokens.kind, dtype=np.uint8)[at], np.array(tokens.value, dtype=np.uint64)[at]
-    starts = np.concatenate([[True], np.array(tokens.ends, dtype=bool)[at][:-1]]) if len(at) else np.zeros(0, dtype=bool)
+    kind, value, sentence_ends = (t[at] for t in tokens.tables())
+    starts = np.concatenate([[True], sentence_ends[:-1]]) if len(at) else np.zeros(0, dtype=bool)
     starts[ends[:-1][ends[:-1] < len(at)]] = True
     literal = (kind == LITERAL) | ((kind == CAPITAL) & starts)
     codes = np.where(literal, spread(value), _PLACE[kind])
@@ -130,7 +138,7 @@ def windows_of(df: DataFrame, key: str, text: str, sizes: list[int], bitmap: np.
     Without a bitmap (items) a text gives windows of eight tokens, or one of all
     its tokens if it has fewer.
     """
-    source = df.select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
+    source = in_small_batches(df).select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
     key_type = source.schema[0].dataType.simpleString()
     tokens = Tokens()

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellgauge.llm.common import BLANKS, text_or_empty, words
+from shellgauge.llm.common import BLANKS, in_small_batches, text_or_empty, words
 from shellgauge.session import checkpoint, scratch, small
 
 WINDOW, SIMILARITY = 5, 0.8
@@ -62,7 +62,7 @@ COUNTED = 128
 #: Edges a task of the components takes, about.
 TASK_EDGES = 500_000
 #: Words whose hash a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 WORD = re.compile(rf"[^{BLANKS}]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,7 +159,7 @@ def text_id(text: Column) -> Column:
 
 def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``tid``, ``n`` windows, ``sequence`` of word hashes and ``sketches`` of every row."""
-    source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
+    source = in_small_batches(docs).select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
     hashes = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

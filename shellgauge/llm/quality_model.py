@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shellgauge.llm.common import BLANKS, fold, text_or_empty
+from shellgauge.llm.common import BLANKS, fold, in_small_batches, text_or_empty
 from shellgauge.session import scratch
 
 #: Random cosines, width of the kernel in standard deviations, and weight of the ridge for each row.
@@ -86,7 +86,7 @@ def measure(text: str) -> list[float]:
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``x``, the statistics of every row's whole text."""
-    source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
+    source = in_small_batches(docs).select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

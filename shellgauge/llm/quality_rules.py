@@ -38,7 +38,7 @@ THRESHOLDS = 32
 LEARNING_TASKS = 8
 MAX_RULES, MAX_CONDITIONS = 8, 3
 #: A rule must be this precise on the pruning third, and cover so many bad documents over all.
-LEAST_PRECISION, LEAST_COVER = 0.9, 5
+LEAST_PRECISION, LEAST_COVER = 0.9, 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
