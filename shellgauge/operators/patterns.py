@@ -23,6 +23,7 @@ with warnings.catch_warnings():
     from re import _parser as _sre  # type: ignore[attr-defined]
 
 FLAGS = "(?iU)"
+_BANK = frozenset(r[5] for r in RULES)
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,14 @@ def folded(text: Column) -> Column:
 
 
 def engine_pattern(pattern: str) -> str:
-    """The pattern as run: a closing repeat never gives back, so long texts cannot exhaust the stack."""
+    """The pattern as run.
+
+    In the bank's own patterns a closing repeat never gives back, so long texts
+    cannot exhaust the stack; their groups match in one way only, so nothing is
+    lost. Other patterns run as they are.
+    """
+    if pattern not in _BANK:
+        return FLAGS + pattern
     return FLAGS + re.sub(r"(\)\{\d+,\})$", r"\1+", pattern)
 
 
