@@ -22,7 +22,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shellgauge.llm.common import in_small_batches, sha256_hex, text_or_empty
+from shellgauge.llm.common import in_small_batches, sha256_hex, text_or_empty, worker_keeps
 
 #: A vocabulary file larger than this is refused, since every worker holds it.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -182,8 +182,7 @@ class Cache(dict):
         return got
 
 
-@lru_cache(maxsize=2)
-def _worker(content: bytes) -> tuple[Vocabulary, Cache]:
+def _loaded(content: bytes) -> tuple[Vocabulary, Cache]:
     vocabulary = Vocabulary(content)
     return vocabulary, Cache(vocabulary)
 
@@ -198,8 +197,9 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def _shared(spark: SparkSession, path: str) -> Callable[[], tuple[Vocabulary, Cache]]:
-    sent = spark.sparkContext.broadcast(read_vocabulary(path))
-    return lambda: _worker(sent.value)
+    content = read_vocabulary(path)
+    owner, sent = ("bpe", len(content), crc32(content)), spark.sparkContext.broadcast(content)
+    return lambda: worker_keeps(owner, lambda: _loaded(sent.value))
 
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

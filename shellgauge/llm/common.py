@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The ASCII white space between words, as the inside of a character class.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -17,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What this Python worker keeps between tasks, under its owner.
+_kept: dict[tuple, object] = {}
+
+
+def worker_keeps(owner: tuple, make: Callable[[], T]) -> T:
+    """An object a worker keeps between tasks; keeping one lets go of all others, so caches never add up."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """The same rows; from now on the session sends at most ``BATCH_ROWS`` of them to Python at once.
 

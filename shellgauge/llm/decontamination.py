@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shellgauge.llm.common import in_small_batches, text_or_empty
+from shellgauge.llm.common import in_small_batches, text_or_empty, worker_keeps
 from shellgauge.session import scratch, small
 
 WINDOW = 8
@@ -141,9 +141,8 @@ def windows_of(df: DataFrame, key: str, text: str, sizes: list[int], bitmap: np.
     source = in_small_batches(df).select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
     key_type = source.schema[0].dataType.simpleString()
-    tokens = Tokens()
 
-    def found(texts: list[str]) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    def found(tokens: Tokens, texts: list[str]) -> Iterator[tuple[int, int, int, int, list[int]]]:
         """Text number, position, size, hash and slots of the windows that pass."""
         codes, slots, ends = templates(tokens, texts)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -164,6 +163,7 @@ def windows_of(df: DataFrame, key: str, text: str, sizes: list[int], bitmap: np.
                 yield k, p - int(starts[k]), size, int(h[p].view(np.int64)), slots[p : p + size].view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = worker_keeps(("decontamination",), Tokens)
         row = TaskContext.get().partitionId() << 40
         schema = pa.schema([("row", pa.int64()), ("key", source_type), ("text_md5", pa.string()), ("pos", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))])
         for batch in batches:
@@ -174,7 +174,7 @@ def windows_of(df: DataFrame, key: str, text: str, sizes: list[int], bitmap: np.
                 while b < len(texts) and (b == a or chars + len(texts[b]) <= 6 * TOKENS):
                     chars += len(texts[b])
                     b += 1
-                hits = list(found(texts[a:b]))
+                hits = list(found(tokens, texts[a:b]))
                 if hits:
                     digests = {k: hashlib.md5(texts[a + k].encode()).hexdigest() for k in {x[0] for x in hits}}
                     of = pa.array([a + x[0] for x in hits])

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellgauge.llm.common import BLANKS, in_small_batches, text_or_empty, words
+from shellgauge.llm.common import BLANKS, in_small_batches, text_or_empty, words, worker_keeps
 from shellgauge.session import checkpoint, scratch, small
 
 WINDOW, SIMILARITY = 5, 0.8
@@ -160,9 +160,9 @@ def text_id(text: Column) -> Column:
 def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``tid``, ``n`` windows, ``sequence`` of word hashes and ``sketches`` of every row."""
     source = in_small_batches(docs).select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
-    hashes = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_keeps(("near_dup",), WordHashes)
         for batch in batches:
             tids, sizes, sequences, found = [], [], [], []
             for t in batch.column(1).to_pylist():
