@@ -37,7 +37,7 @@ from shellgauge.llm.common import in_small_batches, sha256_hex, text_or_empty, w
 #: A vocabulary file larger than this is refused, since every worker holds it.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Chunks a worker remembers, in each of two generations.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 200_000
 #: Words of more characters than this take their merges from a heap.
 SCAN_CHARS = 64
 #: Chunks of more characters than this are not remembered.
@@ -72,6 +72,8 @@ class Vocabulary:
         self.ids = {own(token): i for token, i in model["vocab"].items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(own(a), own(b)): r for r, (a, b) in enumerate(pairs)}
+        # ranks of two single characters, the last of a word with its mark, by their joint text
+        self.letter_pairs = {a + b: r for (a, b), r in self.ranks.items() if len(a) == 1 and a != END and len(b.removesuffix(END)) == 1}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, i in [*model["vocab"].items(), *self.special.items()]:
@@ -88,10 +90,10 @@ class Vocabulary:
         Beyond Latin letters the classes and compositions depend on the Unicode
         version, so there the tokenizers library normalises and splits.
         """
+        if chunk.isascii() and chunk.isprintable():
+            return self.word.findall(chunk.lower())
         if max(chunk) < LATIN_END:
             chunk = unicodedata.normalize("NFC", chunk).lower()
-            if chunk.isascii() and chunk.isprintable():
-                return self.word.findall(chunk)
             byte = self.bytes
             return ["".join([byte[b] for b in word.encode()]) for word in self.word.findall(chunk)]
         chunk = self.library.normalizer.normalize_str(chunk)
@@ -107,8 +109,11 @@ class Vocabulary:
 
     def scan(self, word: str, bounds: list[int]) -> list[int]:
         rank = self.ranks.get
-        # ranks[k] belongs to the inner boundary bounds[k + 1]
-        ranks = [rank((word[a:b], word[b:c]), NO_RANK) for a, b, c in zip(bounds, bounds[1:], bounds[2:])]
+        # ranks[k] belongs to the inner boundary bounds[k + 1]; at first every part is one character
+        pair, last = self.letter_pairs.get, len(bounds) - 3
+        ranks = [pair(word[k : k + 2], NO_RANK) for k in range(last)]
+        if last >= 0:
+            ranks.append(pair(word[last:], NO_RANK))
         while ranks and (least := min(ranks)) < NO_RANK:
             k = ranks.index(least)
             del ranks[k], bounds[k + 1]
