@@ -3,12 +3,15 @@
 Texts become templates: words are lowered, and numbers, units and names (words with one capital, inside a sentence) become typed
 placeholders that remember their value.
 Windows of eight tokens of a document meet windows of benchmark items in an
-equi-join on their template's hash. The matches of one document and one item
-that stand at the same distance are one reading of the item, and its slots must
-agree: each value of the item stands for one value of the document, and no two
-for the same. A document is contaminated by an item when enough of the item's
-windows are found in readings that agree, so a question with other numbers,
-names or units is caught, and a text that only shares its placeholders is not.
+equi-join on their template's hash. Slots are judged window by window: no two
+values of the item may stand for the same value of the document in one window.
+The matches of one document and one item that stand at the same distance are one
+reading of the item, and names must also agree over all of it: windows with a
+name of the document that stands for two names of the item do not count. A value
+of the item that is repeated may take different values. A document is
+contaminated by an item when enough of the item's windows count, so a question
+with other numbers, names or units is caught, and windows without slots always
+count.
 
 Document windows are tested against a bitmap of the items' hashes, of fixed
 size, before they leave the task; what passes is joined exactly. Item windows
@@ -30,10 +33,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from shellgauge.functions.text import let
 from shellgauge.llm.common import in_small_batches, text_or_empty, worker_keeps
 from shellgauge.session import scratch, small
 
@@ -106,7 +110,10 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 
 def templates(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and slot values of all texts' tokens, one after another, and where each text ends."""
+    """Codes and slot values of all texts' tokens, one after another, and where each text ends.
+
+    The lowest bit of a slot value is set for names.
+    """
     packed = [b"".join(map(tokens.__getitem__, t.split())) for t in texts]
     ends = np.cumsum([len(p) // 4 for p in packed])
     at = np.frombuffer(b"".join(packed), dtype=np.int32)
@@ -115,7 +122,8 @@ def templates(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     starts[ends[:-1][ends[:-1] < len(at)]] = True
     literal = (kind == LITERAL) | ((kind == CAPITAL) & starts)
     codes = np.where(literal, spread(value), _PLACE[kind])
-    return codes, np.where(literal, np.uint64(0), value), ends
+    marked = (value & ~np.uint64(1)) | (kind == CAPITAL)
+    return codes, np.where(literal, np.uint64(0), marked), ends
 
 
 def hashed(codes: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +208,23 @@ def bitmap_of(items: DataFrame) -> np.ndarray:
     return out
 
 
+def merged(pairs: Column) -> Column:
+    """Document values that stand for two values of the item, of distinct pairs."""
+    values = F.transform(pairs, lambda p: p["d"])
+    twice = F.filter(pairs, lambda p: F.exists(pairs, lambda o: (o["d"] == p["d"]) & (o["i"] != p["i"])))
+    alone = F.size(F.array_distinct(values)) == F.size(pairs)
+    return F.when(alone, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(twice, lambda p: p["d"])))
+
+
+def agreeing(found: Column) -> Column:
+    """The windows of a reading, as structs of ``item_pos`` and distinct ``slots``, that count."""
+    name = lambda p: p["i"].bitwiseAND(F.lit(1)) == 1
+    names = F.array_distinct(F.flatten(F.transform(found, lambda w: F.filter(w["slots"], name))))
+    return let(let(names, merged), lambda confused: F.filter(
+        found, lambda w: (F.size(merged(w["slots"])) == 0) & ~F.exists(w["slots"], lambda p: name(p) & F.array_contains(confused, p["d"]))
+    ))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -217,16 +242,15 @@ def contaminated(
     hits_at = scratch(spark, "hits")
     windows_of(docs, key, text, sizes, bitmap_of(items)).write.parquet(hits_at)
     matched = spark.read.parquet(hits_at).join(small(known), "hash")
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: (p["i"] != 0) | (p["d"] != 0))
+    pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: (p["i"] != 0) | (p["d"] != 0)))
     readings = (
         matched.groupBy("row", "key", "text_md5", "item_row", "item", "windows", (F.col("pos") - F.col("item_pos")).alias("distance"))
-        .agg(F.count("*").alias("matched"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+        .agg(F.collect_list(F.struct("item_pos", pairs.alias("slots"))).alias("found"))
     )
-    one_to_one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side]))) == F.size("slots")
-    agreed = readings.filter(one_to_one("i") & one_to_one("d"))
+    counted = readings.withColumn("matched", F.size(agreeing(F.col("found"))))
     needed = F.least(F.lit(ENOUGH), F.greatest(F.lit(1), F.ceil(F.col("windows") * SHARE)))
     return (
-        agreed.groupBy("row", "key", "text_md5", "item_row", "item", "windows").agg(F.sum("matched").alias("matched"))
+        counted.groupBy("row", "key", "text_md5", "item_row", "item", "windows").agg(F.sum("matched").alias("matched"))
         .filter(F.col("matched") >= needed)
         .select(F.col("key").alias(key), "text_md5", F.col("item").alias(item), "matched", "windows")
     )

@@ -59,3 +59,27 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, 1, QUESTION)], "doc_id long, item_id long, text string")
     assert q.contaminated(none, one).collect() == [] and q.contaminated(one, none).collect() == []
     assert q.drop_contaminated(one, none).count() == 1 and q.drop_contaminated(none, one).count() == 0
+
+
+PASSAGE = " ".join(f"{a}{b}" for a in "qwrtpsdfgh" for b in ("alo", "emi", "oru", "ubi", "ine", "ova")).split()
+
+
+def test_changed_values(spark):
+    passage = [*PASSAGE[:10], "12", *PASSAGE[11:40], "12", *PASSAGE[41:]]
+    shared = "a farmer has 4 friends who each bring 4 more baskets of pears to the market in town on a sunny morning in june this year"
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, shared), (3, "we know that 3 red boxes and 5 blue boxes were moved to the old house near the long river that day")], "item_id long, text string")
+    rows = [
+        (1, " ".join([*passage[:40], "13", *passage[41:]])),
+        (2, shared.replace("4 friends", "7 friends").replace("4 more", "9 more")),
+        (3, "we know that 4 red boxes and 4 blue boxes were moved to the old house near the long river that day"),
+        (4, "a farmer has 4 cats"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["windows"]) for r in q.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)}
+    assert got[1, 1] == (53, 53) and got[2, 2][0] == got[2, 2][1]
+
+
+def test_new_name_near_the_end(spark):
+    items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, QUESTION.replace("does Alice", "does Carol"))], "doc_id long, text string")
+    assert [r["matched"] for r in q.contaminated(docs, items).collect()] == [16]
