@@ -9,9 +9,9 @@ The matches of one document and one item that stand at the same distance are one
 reading of the item, and names must also agree over all of it: windows with a
 name of the document that stands for two names of the item do not count. A value
 of the item that is repeated may take different values. A document is
-contaminated by an item when enough of the item's windows count, so a question
-with other numbers, names or units is caught, and windows without slots always
-count.
+contaminated by an item when enough of the item's windows count, each once, so a
+question with other numbers, names or units is caught, and windows without slots
+always count.
 
 Document windows are tested against a bitmap of the items' hashes, of fixed
 size, before they leave the task; what passes is joined exactly. Item windows
@@ -247,10 +247,10 @@ def contaminated(
         matched.groupBy("row", "key", "text_md5", "item_row", "item", "windows", (F.col("pos") - F.col("item_pos")).alias("distance"))
         .agg(F.collect_list(F.struct("item_pos", pairs.alias("slots"))).alias("found"))
     )
-    counted = readings.withColumn("matched", F.size(agreeing(F.col("found"))))
+    counted = readings.withColumn("item_pos", F.explode(F.transform(agreeing(F.col("found")), lambda w: w["item_pos"])))
     needed = F.least(F.lit(ENOUGH), F.greatest(F.lit(1), F.ceil(F.col("windows") * SHARE)))
     return (
-        counted.groupBy("row", "key", "text_md5", "item_row", "item", "windows").agg(F.sum("matched").alias("matched"))
+        counted.groupBy("row", "key", "text_md5", "item_row", "item", "windows").agg(F.count_distinct("item_pos").alias("matched"))
         .filter(F.col("matched") >= needed)
         .select(F.col("key").alias(key), "text_md5", F.col("item").alias(item), "matched", "windows")
     )

@@ -83,3 +83,10 @@ def test_new_name_near_the_end(spark):
     items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
     docs = spark.createDataFrame([(1, QUESTION.replace("does Alice", "does Carol"))], "doc_id long, text string")
     assert [r["matched"] for r in q.contaminated(docs, items).collect()] == [16]
+
+
+def test_repeated_window_counts_once(spark):
+    items = spark.createDataFrame([(1, " ".join(PASSAGE[:29]))], "item_id long, text string")
+    line = " ".join(PASSAGE[4:12])
+    docs = spark.createDataFrame([(1, "\n".join(f"{w} {line} {w}" for w in "abcdef")), (2, " ".join(PASSAGE[4:17]))], "doc_id long, text string")
+    assert [(r["doc_id"], r["matched"]) for r in q.contaminated(docs, items).collect()] == [(2, 6)]
