@@ -13,6 +13,11 @@ contaminated by an item when enough of the item's windows count, each once, so a
 question with other numbers, names or units is caught, and windows without slots
 always count.
 
+A window is read in up to three ways, of which only those that differ are kept:
+with its names and units as placeholders, the same where the end of a line ends a
+sentence too, and with all words in lower case as they are. The last finds copies
+whose capitals or lines have changed.
+
 Document windows are tested against a bitmap of the items' hashes, of fixed
 size, before they leave the task; what passes is joined exactly. Item windows
 are broadcast after a check of their size and joined by shuffle beyond it.
@@ -28,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,32 +115,41 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def templates(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and slot values of all texts' tokens, one after another, and where each text ends.
+def templates(tokens: Tokens, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' tokens, one after another: their codes in each way of reading, slot values, all values, and where each text ends.
 
-    The lowest bit of a slot value is set for names.
+    Slots are those of the first way. The lowest bit is set in slot values of names, and nowhere else.
     """
-    packed = [b"".join(map(tokens.__getitem__, t.split())) for t in texts]
-    ends = np.cumsum([len(p) // 4 for p in packed])
-    at = np.frombuffer(b"".join(packed), dtype=np.int32)
+    lines = [[b"".join(map(tokens.__getitem__, line.split())) for line in t.splitlines()] for t in texts]
+    ends = np.cumsum([sum(map(len, parts)) // 4 for parts in lines])
+    line_ends = np.cumsum([len(p) // 4 for parts in lines for p in parts], dtype=np.int64)
+    at = np.frombuffer(b"".join(chain.from_iterable(lines)), dtype=np.int32)
     kind, value, sentence_ends = (t[at] for t in tokens.tables())
     starts = np.concatenate([[True], sentence_ends[:-1]]) if len(at) else np.zeros(0, dtype=bool)
     starts[ends[:-1][ends[:-1] < len(at)]] = True
-    literal = (kind == LITERAL) | ((kind == CAPITAL) & starts)
-    codes = np.where(literal, spread(value), _PLACE[kind])
-    marked = (value & ~np.uint64(1)) | (kind == CAPITAL)
-    return codes, np.where(literal, np.uint64(0), marked), ends
-
-
-def hashed(codes: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of a size, and which of them hold enough plain words."""
+    line_starts = starts.copy()
+    line_starts[line_ends[line_ends < len(at)]] = True
+    capital, plain = kind == CAPITAL, kind == LITERAL
+    literal = plain | (capital & starts)
+    words = spread(value)
+    codes = [np.where(kept, words, _PLACE[kind]) for kept in (literal, plain | (capital & line_starts), kind != NUMBER)]
+    values = value & ~np.uint64(1)
+    return codes, np.where(literal, np.uint64(0), values | capital), values, ends
+
+
+def hashed(codes: np.ndarray, at: np.ndarray | None, size: int) -> np.ndarray:
+    """Hashes of the windows of a size that start at the given places, or of all."""
     n = len(codes) - size + 1
-    h = np.full(n, size, dtype=np.uint64)
-    plain = np.zeros(n, dtype=np.int32)
+    h = np.full(n if at is None else len(at), size, dtype=np.uint64)
     for j in range(size):
-        h = h * _PRIME + codes[j : j + n]
-        plain += slots[j : j + n] == 0
-    return spread(h), plain >= LEAST_WORDS
+        h = h * _PRIME + (codes[j : j + n] if at is None else codes[at + j])
+    return spread(h)
+
+
+def held(marks: np.ndarray, size: int) -> np.ndarray:
+    """How many marked tokens each window of a size holds."""
+    total = np.concatenate([[0], np.cumsum(marks)])
+    return total[size:] - total[:-size]
 
 
 HIT = "row long, key {key}, text_md5 string, pos int, size int, hash long, slots array<long>"
@@ -144,7 +159,8 @@ def windows_of(df: DataFrame, key: str, text: str, sizes: list[int], bitmap: np.
     """Windows of the texts, those the bitmap passes where one is given.
 
     Without a bitmap (items) a text gives windows of eight tokens, or one of all
-    its tokens if it has fewer.
+    its tokens if it has fewer, that hold enough plain words, and their slots.
+    With one (documents) the slots hold the values of all tokens.
     """
     source = in_small_batches(df).select(F.col(key).alias("key"), text_or_empty(text).alias("t"))
     sent = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
@@ -152,23 +168,28 @@ def windows_of(df: DataFrame, key: str, text: str, sizes: list[int], bitmap: np.
 
     def found(tokens: Tokens, texts: list[str]) -> Iterator[tuple[int, int, int, int, list[int]]]:
         """Text number, position, size, hash and slots of the windows that pass."""
-        codes, slots, ends = templates(tokens, texts)
+        codes, slots, values, ends = templates(tokens, texts)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         for size in sizes:
-            if len(codes) < size:
+            if len(slots) < size:
                 continue
-            h, good = hashed(codes, slots, size)
-            if sent is not None:
-                bit = h & np.uint64((1 << BITMAP) - 1)
-                good &= (sent.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            at = np.flatnonzero(good)
-            of = np.searchsorted(ends, at, side="right")
-            inside = at + size <= ends[of]
-            if sent is None:
-                length = (ends - starts)[of]
-                inside &= (length == size) | (size == WINDOW)
-            for p, k in zip(at[inside].tolist(), of[inside].tolist()):
-                yield k, p - int(starts[k]), size, int(h[p].view(np.int64)), slots[p : p + size].view(np.int64).tolist()
+            for own in codes:
+                places = None if own is codes[0] else np.flatnonzero(held(own != codes[0], size))
+                h = hashed(own, places, size)
+                places = np.arange(len(h)) if places is None else places
+                if sent is None:
+                    good = held(slots == 0, size)[places] >= LEAST_WORDS
+                else:
+                    bit = h & np.uint64((1 << BITMAP) - 1)
+                    good = (sent.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                at, h = places[good], h[good]
+                of = np.searchsorted(ends, at, side="right")
+                inside = at + size <= ends[of]
+                if sent is None:
+                    inside &= ((ends - starts)[of] == size) | (size == WINDOW)
+                kept = slots if sent is None else values
+                for p, k, x in zip(at[inside].tolist(), of[inside].tolist(), h[inside].view(np.int64).tolist()):
+                    yield k, p - int(starts[k]), size, x, kept[p : p + size].view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_keeps(("decontamination",), Tokens)
@@ -235,14 +256,14 @@ def contaminated(
     every.withColumnRenamed("row", "item_row").write.parquet(at)
     items = spark.read.parquet(at)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    counts = items.groupBy("item_row").agg(F.count("*").alias("windows"))
+    counts = items.groupBy("item_row").agg(F.count_distinct("pos").alias("windows"))
     known = items.join(counts, "item_row").select(
         "item_row", F.col("key").alias("item"), "windows", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")
     )
     hits_at = scratch(spark, "hits")
     windows_of(docs, key, text, sizes, bitmap_of(items)).write.parquet(hits_at)
     matched = spark.read.parquet(hits_at).join(small(known), "hash")
-    pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: (p["i"] != 0) | (p["d"] != 0)))
+    pairs = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: p["i"] != 0))
     readings = (
         matched.groupBy("row", "key", "text_md5", "item_row", "item", "windows", (F.col("pos") - F.col("item_pos")).alias("distance"))
         .agg(F.collect_list(F.struct("item_pos", pairs.alias("slots"))).alias("found"))

@@ -90,3 +90,14 @@ def test_repeated_window_counts_once(spark):
     line = " ".join(PASSAGE[4:12])
     docs = spark.createDataFrame([(1, "\n".join(f"{w} {line} {w}" for w in "abcdef")), (2, " ".join(PASSAGE[4:17]))], "doc_id long, text string")
     assert [(r["doc_id"], r["matched"]) for r in q.contaminated(docs, items).collect()] == [(2, 6)]
+
+
+def test_other_capitals_and_line_ends(spark):
+    short = "What is the capital city of France"
+    items = spark.createDataFrame([(1, QUESTION), (2, short)], "item_id long, text string")
+    rows = [
+        (1, QUESTION.lower()), (2, QUESTION.upper()), (3, f"a heading\n{short}\nParis"), (4, f"a heading\n{short.replace('France', 'Spain')}\nMadrid"),
+        (5, QUESTION.replace(" ", "\n")), (6, "what is the capital city\nof"), (7, QUESTION.replace("apples", "pears")),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["windows"]) for r in q.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1): (16, 16), (2, 1): (16, 16), (3, 2): (1, 1), (4, 2): (1, 1), (5, 1): (16, 16)}
