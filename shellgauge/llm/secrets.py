@@ -6,11 +6,13 @@ classes it uses, and three tests ask whether it can be ordinary text written in
 that alphabet: chi-squared distance from uniform use of the alphabet, runs of
 character classes, and serial correlation of the codes, which must not be
 regular. The first two are scaled by the length, so short strings need to stand
-out more; their p-values are controlled for false discoveries (Benjamini and
-Hochberg) within classes of length, from a histogram over the whole corpus.
+out more. What ordinary strings look like depends on the encoding, so each has its
+own letter agreement and rate of class changes. The p-values are controlled for
+false discoveries (Benjamini and Hochberg) within classes of length of each
+encoding, from a histogram over the whole corpus.
 
 All of it is Spark expressions in the row of the text. The only shuffle is the
-histogram, which is bounded by length classes times steps of p.
+histogram, which is bounded by encodings times length classes times steps of p.
 
 Null texts read as empty and hold no spans. Spans may overlap between kinds;
 method spans that overlap base spans are left out. Repeated rows each give a
@@ -42,10 +44,17 @@ LEAST_CANDIDATE = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST_CANDIDATE},}}={{0,2}}"
 #: Share of false discoveries that is accepted.
 RATE = 0.01
-#: Least -10 log10 p of any accepted candidate: a corpus of few candidates must not accept identifiers.
+#: Least -10 log10 p of an accepted candidate of letters of both cases, as identifiers and paths are: a corpus of
+#: few candidates must not accept them. Long runs of capitals and digits, or small letters and digits, are rare in
+#: ordinary text, and the false-discovery rate alone decides on them.
 WEAKEST = 40
-#: Ordinary text, against which a candidate must stand out: chance that two letters agree, and that the class changes.
-AGREE, CHANGE = 0.065, 0.2
+#: Symbols of the encodings that are judged apart, by number; all others (52 to 64 symbols) come last.
+ENCODINGS = [16, 32, 36]
+MIXED = len(ENCODINGS)
+#: Ordinary strings of each encoding, against which a candidate must stand out: the chance that two symbols agree, and
+#: that the class changes. Of the 16 symbols, half are taken to be letters as they occur in words (a-f agree with
+#: 0.26) and half digits; words and numbers in one case run on for some eight symbols, names of both cases for five.
+AGREE, CHANGE = [0.09, 0.065, 0.065, 0.065], [0.2, 0.12, 0.12, 0.2]
 #: Serial correlation beyond this many standard errors is regular, not random.
 REGULAR = 3.5
 #: First length of each length class.
@@ -129,6 +138,18 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def encoding_of(k: Column) -> Column:
+    """The number of the encoding with ``k`` symbols."""
+    found = F.lit(MIXED)
+    for i, symbols in enumerate(ENCODINGS):
+        found = F.when(k == symbols, i).otherwise(found)
+    return found
+
+
+def of_encoding(values: list[float], k: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in values]), encoding_of(k))
+
+
 def chi_squared_z(s: Column, n: Column, k: Column) -> Column:
     """How far below ordinary text, in its standard deviations, the distance from uniform lies."""
     symbols = F.array_distinct(F.split(s, ""))
@@ -136,15 +157,15 @@ def chi_squared_z(s: Column, n: Column, k: Column) -> Column:
         F.array_remove(symbols, ""), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0))
     )
     chi = k * squares / n - n
-    excess = n * F.greatest(k * AGREE - 1, F.lit(0.05))
+    excess = n * (k * of_encoding(AGREE, k) - 1)
     return (k - 1 + excess - chi) / F.sqrt(2 * (k - 1) + 4 * excess)
 
 
-def runs_z(s: Column, n: Column) -> Column:
+def runs_z(s: Column, n: Column, change: Column) -> Column:
     """How far the changes of character class exceed those of ordinary text."""
     runs = F.length(F.regexp_replace(s, r"[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]+", "."))
     steps = n - 1
-    return (runs - 1 - steps * CHANGE) / F.sqrt(steps * (CHANGE * (1 - CHANGE)))
+    return (runs - 1 - steps * change) / F.sqrt(steps * (change * (1 - change)))
 
 
 def serial_z(s: Column, n: Column) -> Column:
@@ -160,18 +181,18 @@ def serial_z(s: Column, n: Column) -> Column:
     return let(codes, correlation) * F.sqrt(n)
 
 
-def p_steps(s: Column) -> Column:
-    """-10 log10 of the battery's p-value for a candidate, in whole steps; 0 where there is no evidence."""
+def judge(s: Column) -> Column:
+    """Struct of a candidate's encoding and -10 log10 of the battery's p-value, in whole steps; 0 where there is no evidence."""
 
-    def battery(body: Column) -> Column:
+    def battery(body: Column, k: Column) -> Column:
         n = F.length(body).cast("double")
-        k = alphabet_size(body).cast("double")
-        combined = (chi_squared_z(body, n, k) + runs_z(body, n)) / sqrt(2)
+        combined = (chi_squared_z(body, n, k) + runs_z(body, n, of_encoding(CHANGE, k))) / sqrt(2)
         p = F.greatest(upper_tail(combined), F.lit(1e-300))
         steps = F.least(F.floor(-10 * F.log10(p)), F.lit(STEPS))
-        return F.when(n < LEAST_CANDIDATE, 0).when(k.isNull() | (F.abs(serial_z(body, n)) > REGULAR), 0).otherwise(F.greatest(steps, F.lit(0))).cast("int")
+        known = F.when(n < LEAST_CANDIDATE, 0).when(k.isNull() | (F.abs(serial_z(body, n)) > REGULAR), 0).otherwise(F.greatest(steps, F.lit(0)))
+        return F.struct(encoding_of(k).alias("encoding"), known.cast("int").alias("steps"))
 
-    return let(F.rtrim(s, F.lit("=")), battery)
+    return let(F.rtrim(s, F.lit("=")), lambda body: let(alphabet_size(body).cast("double"), lambda k: battery(body, k)))
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -185,10 +206,10 @@ def candidates(text: Column, base: Column) -> Column:
         return F.transform(F.filter(found, lambda m: ~overlaps(m)), lambda m: F.struct(
             m["start"].alias("start"), m["stop"].alias("stop"),
             sum(((m["stop"] - m["start"] >= c).cast("int") for c in LENGTH_CLASSES[1:]), F.lit(0)).alias("size"),
-            p_steps(F.substring(text, m["start"] + 1, m["stop"] - m["start"])).alias("steps"),
+            judge(F.substring(text, m["start"] + 1, m["stop"] - m["start"])).alias("judged"),
         ))
 
-    none = F.array().cast("array<struct<start:int,stop:int,size:int,steps:int>>")
+    none = F.array().cast("array<struct<start:int,stop:int,size:int,judged:struct<encoding:int,steps:int>>>")
     likely = text.rlike(rf"[A-Za-z0-9+/_-]{{{LEAST_CANDIDATE}}}")
     return F.when(likely, judged(located(text, CANDIDATE))).otherwise(none)
 
@@ -198,30 +219,39 @@ def scan(text: Column) -> Column:
     return let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), candidates(t, b).alias("found"))))
 
 
-def thresholds(texts: DataFrame) -> list[int]:
-    """Least steps of p accepted in each length class, from a column ``t`` of whole texts.
+def all_thresholds(texts: DataFrame) -> list[list[int]]:
+    """Least steps of p accepted in each encoding and length class, from a column ``t`` of whole texts.
 
     Benjamini and Hochberg: the largest p such that p times the candidates is at
-    most the rate times the candidates accepted; never weaker than ``WEAKEST``.
+    most the rate times the candidates accepted; in mixed encodings never weaker
+    than ``WEAKEST``.
     """
     found = texts.select(F.explode(scan(F.col("t"))["found"]).alias("c"))
-    counts = found.groupBy(F.col("c.size").alias("size"), F.col("c.steps").alias("steps")).count().collect()
+    kinds = [F.col("c.judged.encoding").alias("encoding"), F.col("c.size").alias("size"), F.col("c.judged.steps").alias("steps")]
+    counts = found.groupBy(*kinds).count().collect()
     out = []
-    for size in range(len(LENGTH_CLASSES)):
-        own = sorted(((r["steps"], r["count"]) for r in counts if r["size"] == size), reverse=True)
-        total, taken, least = sum(n for _, n in own), 0, STEPS + 1
-        for steps, n in own:
-            taken += n
-            if steps >= WEAKEST and 10 ** (-steps / 10) * total <= RATE * taken:
-                least = steps
-        out.append(least)
+    for encoding in range(MIXED + 1):
+        out.append([])
+        for size in range(len(LENGTH_CLASSES)):
+            own = sorted(((r["steps"], r["count"]) for r in counts if (r["encoding"], r["size"]) == (encoding, size)), reverse=True)
+            total, taken, least = sum(n for _, n in own), 0, STEPS + 1
+            for steps, n in own:
+                taken += n
+                if steps >= (WEAKEST if encoding == MIXED else 1) and 10 ** (-steps / 10) * total <= RATE * taken:
+                    least = steps
+            out[-1].append(least)
     return out
 
 
-def all_spans(scanned: Column, least: list[int]) -> Column:
+def thresholds(texts: DataFrame, encoding: int = MIXED) -> list[int]:
+    """Least steps of p accepted in each length class of one encoding."""
+    return all_thresholds(texts)[encoding]
+
+
+def all_spans(scanned: Column, least: list[list[int]]) -> Column:
     """Base spans and accepted candidates by start, then kind."""
-    limits = F.array(*[F.lit(x) for x in least])
-    accepted = F.filter(scanned["found"], lambda c: c["steps"] >= F.get(limits, c["size"]))
+    limits = F.array(*[F.array(*[F.lit(x) for x in of_one]) for of_one in least])
+    accepted = F.filter(scanned["found"], lambda c: c["judged"]["steps"] >= F.get(F.get(limits, c["judged"]["encoding"]), c["size"]))
     random = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.lit(3).alias("kind")))
     return by_place(F.concat(base_of(scanned), random.cast(f"array<{SPAN}>")))
 
@@ -244,14 +274,14 @@ def listed(spans: Column) -> Column:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``base`` and ``spans`` (arrays of start, kind, stop) of every row."""
     whole = docs.select(F.col(key), text_or_empty(text).alias("t"))
-    least = thresholds(whole.select("t"))
+    least = all_thresholds(whole.select("t"))
     scanned = whole.select(key, scan(F.col("t")).alias("s"))
     return scanned.select(key, by_place(base_of(F.col("s"))).alias("base"), all_spans(F.col("s"), least).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The rows with every span replaced; the character count follows the text. Other columns stay."""
-    least = thresholds(docs.select(text_or_empty(text).alias("t")))
+    least = all_thresholds(docs.select(text_or_empty(text).alias("t")))
 
     def replaced(t: Column, spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -85,3 +85,36 @@ def test_native_plan_and_empty(spark):
     assert found.collect() == []
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+UPPER_HEX, BASE32 = "0123456789ABCDEF", string.ascii_uppercase + "234567"
+BASE36 = string.ascii_lowercase + string.digits
+ENCODED = [(UPPER_HEX, 32), (UPPER_HEX, 40), (BASE32, 32), (BASE32, 52), (BASE36, 32), (BASE36, 24)]
+WORDS = "chapter section invoice order customer version release backup archive report summary account number street".split()
+
+
+def test_keys_of_one_case(spark):
+    dice = random.Random(11)
+    texts = ["".join(dice.choice(symbols) for _ in range(n)) for symbols, n in ENCODED for _ in range(200)]
+    df = spark.createDataFrame([(i, f"key {t} end") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in q.find(df).collect()}
+    shares = [sum(bool(found[200 * e + i]) for i in range(200)) / 200 for e in range(len(ENCODED))]
+    assert min(shares) >= 0.85, shares
+    # a few keys among many texts, or one alone, do not depend on the others
+    assert sum(bool(q.find(df.filter(F.col("doc_id") == 200 * e)).first()["spans"]) for e in range(len(ENCODED))) >= 5
+
+
+def test_identifiers_of_one_case_are_not_keys(spark):
+    dice = random.Random(12)
+
+    def identifier():
+        out = ""
+        while len(out) < 24:
+            out += dice.choice(WORDS) + str(dice.randint(2, 2030))
+        return out
+
+    names = [identifier() for _ in range(300)] + [identifier().upper() for _ in range(300)]
+    names += [f"{dice.randint(10**12, 10**13)}{c}{dice.randint(10**8, 10**9)}" for c in "ABCDEF" for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    wrong = [names[r["doc_id"]] for r in q.find(df).collect() if r["spans"]]
+    assert len(wrong) <= 0.01 * len(names), wrong
