@@ -9,11 +9,11 @@ depth. A part that holds fewer than the least count is abandoned: nothing in it
 be a candidate. All parts of a bucket are cut at once, one pivot each, so a bucket
 takes as many passes as its longest chain of pivots.
 
-Equal suffixes of one task are counted before they are routed. They are routed by
-group and leading word; those of a word that begins more than its share of rows go by
-two words, and where two words begin too many, by three. Parts that were
-split so are never abandoned above the depth they are split at, and their counts
-are added up after.
+Single words are counted first. Equal suffixes of one task are counted before they
+are routed, and go as compressed blocks of one bucket each. They are routed by group
+and leading word; those of a hot word by two words, and where the second is hot too,
+by three. What is split so is never abandoned above the depth it is split at, and its
+counts are added up after.
 
 Counts of the parts of a phrase come from the same table. The most frequent phrases
 are parts of many others, so they are sent to all tasks (they are few: a share of
@@ -33,10 +33,13 @@ their names. A text of any length is read in whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +56,8 @@ TOP = 2000
 UNKNOWN = "und"
 #: Words that a task holds before it hands on their counted suffixes.
 HELD = 1 << 20
-#: Suffix rows of a bucket, about; a word (or two) that begins more rows than this is split, and how many are, at most.
-BUCKET_ROWS, SPLIT_ROWS, MOST_SPLIT = 100_000, 50_000, 500_000
+#: Words of a bucket, about; a word that occurs more often than this is hot, and how many are, at most.
+BUCKET_ROWS, SPLIT_ROWS, MOST_SPLIT = 500_000, 200_000, 4_000_000
 #: A phrase that occurs as often as this part of all words is looked up without a shuffle; so are three times as many, at most.
 HEAD_PART = 10_000
 #: Parts of a group that rank their own phrases before the group does.
@@ -100,22 +103,96 @@ def distinct_triples(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return pair >> 32, pair & mask, distinct & mask, n
 
 
-def suffixes(docs: DataFrame, text: str = "text", group: str = "lang") -> DataFrame:
-    """``g``, words ``w1`` to ``w3`` (empty behind the end of a piece) and ``n``, how often a task met them."""
+def source(docs: DataFrame, text: str, group: str) -> DataFrame:
+    """``g``, never NULL, and ``t``."""
+    return in_small_batches(docs).select(F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN)).alias("g"), text_or_empty(text).alias("t"))
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``g``, ``phrase`` (one word) and ``f`` over all texts; a task counts up to ``HELD`` different words before it hands them on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for g, own in counts.items():
+                own.pop(BREAK, None)
+                words = pa.array(list(own), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(own), pa.string()), words, pa.array(list(own.values()), pa.int64())], ["g", "phrase", "f"])
+
+        for batch in batches:
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts.setdefault(g, Counter()).update(words_and_breaks(t))
+            if sum(map(len, counts.values())) > HELD:
+                yield from counted()
+                counts.clear()
+        yield from counted()
+
+    return texts.mapInArrow(run, "g string, phrase string, f long").groupBy("g", "phrase").agg(F.sum("f").alias("f"))
+
+
+def word_hash(g: str, word: bytes) -> int:
+    """What Spark's ``xxhash64`` gives for the group, a break and the word, without a sign."""
+    return xxhash.xxh64_intdigest(g.encode() + BREAK + word, 42)
+
+
+def packed(words: list[bytes], triples: list[np.ndarray], n: np.ndarray, split: np.ndarray) -> bytes:
+    """Suffixes of one bucket as compressed bytes: their own words once, and the numbers of these, sorted."""
+    own, of = np.unique(np.concatenate(triples), return_inverse=True)
+    text = BREAK.join(map(words.__getitem__, own.tolist()))
+    numbers = of.reshape(3, -1).astype(np.int32)
+    head = np.array([len(text), len(n)], dtype=np.int64)
+    return zstandard.compress(head.tobytes() + text + numbers.tobytes() + n.astype(np.int64).tobytes() + split.astype(np.int8).tobytes(), 3)
+
+
+def unpacked(blob: bytes, numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of three words, numbered by ``numbers``, their counts and their splits."""
+    raw = zstandard.decompress(blob)
+    size, rows = np.frombuffer(raw, np.int64, 2).tolist()
+    own = np.array([numbers[w] if w else 0 for w in raw[16 : 16 + size].split(BREAK)], dtype=np.int64)
+    at = 16 + size
+    keys = np.frombuffer(raw, np.int32, 3 * rows, at).reshape(3, -1)
+    n = np.frombuffer(raw, np.int64, rows, at + 12 * rows)
+    return own[keys].T, n, np.frombuffer(raw, np.int8, rows, at + 20 * rows).astype(np.int64)
+
+
+def routed(texts: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """``bucket``, ``g`` and ``suffixes``: those of two words or more that a task met, by leading words.
+
+    A suffix goes by its first word; by two, where the first is hot; by three, where the second is hot too.
+    No bucket key then has more suffixes than a word that is not hot, but one whole phrase of three.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
         numbers, size = Numbers(), 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            names = pa.array([b"", *list(numbers)[1:]], pa.binary()).cast(pa.string())
+        def by_bucket() -> Iterator[pa.RecordBatch]:
+            words = [b"", *list(numbers)[1:]]
             for g, sequence in held.items():
-                *parts, n = distinct_triples(np.array(sequence, dtype=np.int64))
-                for at in range(0, len(n), 1 << 16):
-                    part = slice(at, at + (1 << 16))
+                *triples, n = distinct_triples(np.array(sequence, dtype=np.int64))
+                used = triples[1] > 0
+                one, two, three = (x[used] for x in triples)
+                n = n[used]
+                hashes = np.array([word_hash(g, w) for w in words], dtype=np.uint64)
+                is_hot = np.isin(hashes, sent.value)
+                first, second = is_hot[one], is_hot[one] & is_hot[two]
+                route = hashes[one] + np.where(first, hashes[two], 0) * np.uint64(0x9E3779B97F4A7C15)
+                route ^= np.where(second, hashes[three], 0) * np.uint64(0xC2B2AE3D27D4EB4F)
+                bucket = ((route * np.uint64(0x9E3779B185EBCA87)) >> np.uint64(24)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets))), len(order))
+                split = first.astype(np.int8) + second
+                rows: list[tuple[int, bytes]] = []
+                for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    part = order[low:high]
+                    rows.append((int(bucket[part[0]]), packed(words, [x[part] for x in (one, two, three)], n[part], split[part])))
+                for at in range(0, len(rows), 1000):
+                    some = rows[at : at + 1000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([g] * len(n[part]), pa.string()), *[names.take(pa.array(p[part])) for p in parts], pa.array(n[part])],
-                        ["g", "w1", "w2", "w3", "n"],
+                        [pa.array([b for b, _ in some], pa.int64()), pa.array([g] * len(some), pa.string()), pa.array([x for _, x in some], pa.binary())],
+                        ["bucket", "g", "suffixes"],
                     )
 
         for batch in batches:
@@ -124,12 +201,11 @@ def suffixes(docs: DataFrame, text: str = "text", group: str = "lang") -> DataFr
                 held.setdefault(g, []).extend(map(numbers.__getitem__, found))
                 size += len(found)
                 if size > HELD:
-                    yield from counted()
+                    yield from by_bucket()
                     held, numbers, size = {}, Numbers(), 0
-        yield from counted()
+        yield from by_bucket()
 
-    source = in_small_batches(docs).select(F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN)).alias("g"), text_or_empty(text).alias("t"))
-    return source.mapInArrow(run, "g string, w1 string, w2 string, w3 string, n long")
+    return texts.mapInArrow(run, "bucket long, g string, suffixes binary")
 
 
 def count_prefixes(keys: np.ndarray, n: np.ndarray, split: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,39 +248,43 @@ def count_prefixes(keys: np.ndarray, n: np.ndarray, split: np.ndarray, least: in
     return row, length, count
 
 
-def frequent(suffix_rows: DataFrame) -> DataFrame:
-    """``g``, ``phrase``, ``k`` (its words) and ``f``, the count of every phrase that occurs ``LEAST`` times or more."""
-    total = suffix_rows.count()
-    # so many rows have at most MOST_SPLIT words (or pairs of words): both tables can be broadcast
-    share = max(SPLIT_ROWS, total // MOST_SPLIT)
-    one = suffix_rows.groupBy("g", "w1").count().filter(F.col("count") > share).select("g", "w1", F.lit(1).alias("s1"))
-    two = suffix_rows.join(F.broadcast(one), ["g", "w1"], "left_semi").groupBy("g", "w1", "w2").count()
-    two = two.filter(F.col("count") > share).select("g", "w1", "w2", F.lit(1).alias("s2"))
-    marked = suffix_rows.join(F.broadcast(one), ["g", "w1"], "left").join(F.broadcast(two), ["g", "w1", "w2"], "left")
-    route = F.xxhash64("g", "w1", F.when(F.col("s1") == 1, F.col("w2")), F.when(F.col("s2") == 1, F.col("w3")))
-    # the group is the first key of all rows, and split everywhere
-    split = 1 + F.coalesce("s1", F.lit(0)) + F.coalesce("s2", F.lit(0))
-    bucket = F.pmod(route, F.lit(max(1, total // BUCKET_ROWS)))
-    routed = marked.select(bucket.alias("bucket"), "g", "w1", "w2", "w3", "n", split.alias("split"))
+def count_phrases(suffixes: DataFrame) -> DataFrame:
+    """``g``, ``phrase`` and ``f``, the count of every phrase of two words or more that occurs ``LEAST`` times or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).combine_chunks() for c in ("w1", "w2", "w3")]
-        named = pa.concat_arrays([pa.array([""]), *columns]).dictionary_encode()
-        keys = named.indices.to_numpy()[1:].astype(np.int64).reshape(3, -1).T
-        group = table.column("g").combine_chunks().dictionary_encode()
-        whole = np.column_stack([group.indices.to_numpy().astype(np.int64) + 1, keys])
-        row, length, count = count_prefixes(whole, table.column("n").to_numpy(), table.column("split").to_numpy())
-        own = length > 1
-        row, k, count = row[own], length[own] - 1, count[own]
-        words = named.dictionary.to_pylist()
-        phrases = [" ".join([words[i] for i in of[:m]]) for of, m in zip(keys[row].tolist(), k.tolist())]
+        numbers, groups = Numbers(), {}
+        blocks, counts, splits = [], [], []
+        for g, blob in zip(table.column("g").to_pylist(), table.column("suffixes").to_pylist()):
+            words, n, split = unpacked(blob, numbers)
+            # the group is the first key of all rows, and split everywhere
+            group = np.full((len(n), 1), groups.setdefault(g, len(groups) + 1))
+            blocks.append(np.hstack([group, words]))
+            counts.append(n)
+            splits.append(split + 1)
+        keys = np.concatenate(blocks)
+        row, length, count = count_prefixes(keys, np.concatenate(counts), np.concatenate(splits))
+        wanted = length > 2
+        row, k, count = row[wanted], length[wanted], count[wanted]
+        names, of_group = [w.decode() for w in numbers], list(groups)
+        found = [(of_group[x[0] - 1], " ".join([names[i] for i in x[1:m]])) for x, m in zip(keys[row].tolist(), k.tolist())]
         return pa.table(
-            [group.dictionary.take(group.indices.take(pa.array(row))), pa.array(phrases, pa.string()), pa.array(k, pa.int32()), pa.array(count, pa.int64())],
-            names=["g", "phrase", "k", "f"],
+            [pa.array([g for g, _ in found], pa.string()), pa.array([p for _, p in found], pa.string()), pa.array(count, pa.int64())],
+            names=["g", "phrase", "f"],
         )
 
-    counted = routed.groupBy("bucket").applyInArrow(run, "g string, phrase string, k int, f long")
-    return counted.groupBy("g", "phrase", "k").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
+    counted = suffixes.groupBy("bucket").applyInArrow(run, "g string, phrase string, f long")
+    return counted.groupBy("g", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
+
+
+def frequent(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``g``, ``phrase`` and ``f`` of all phrases that occur ``LEAST`` times or more; ``words`` counts all single ones."""
+    total = words.agg(F.sum("f")).first()[0] or 0
+    # more than MOST_SPLIT words cannot be so frequent
+    share = max(SPLIT_ROWS, total // MOST_SPLIT)
+    key = F.xxhash64(F.concat_ws("\n", "g", "phrase")).alias("h")
+    hot = words.filter(F.col("f") > share).select(key).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    suffixes = routed(texts, max(1, total // BUCKET_ROWS), np.sort(hot))
+    return words.filter(F.col("f") >= LEAST).unionByName(count_phrases(suffixes))
 
 
 def with_count(rows: DataFrame, part: str, phrases: DataFrame, head: DataFrame, name: str) -> DataFrame:
@@ -227,7 +307,7 @@ def score_of(a: Column, left: Column, right: Column) -> Column:
 def scored(phrases: DataFrame, words: int) -> DataFrame:
     """``g``, ``phrase``, ``a``, ``l``, ``r`` and ``score`` of the candidates that no longer one drops; ``words`` are all there are."""
     head = phrases.filter(F.col("f") * HEAD_PART > words)
-    candidates = phrases.filter("k > 1").select("g", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
+    candidates = phrases.select("g", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w")).withColumn("k", F.size("w")).filter("k > 1")
     side = lambda first, size: F.array_join(F.slice("w", first, size), " ")
     cut = F.col("cut")
     cuts = candidates.select("g", "phrase", "a", "k", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
@@ -244,14 +324,13 @@ def scored(phrases: DataFrame, words: int) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", group: str = "lang", top: int = TOP) -> DataFrame:
     """The ``top`` phrases of each group: the group, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` (words of the group) and ``score``."""
     spark = docs.sparkSession
-    suffixes_at, phrases_at = scratch(spark, "suffixes"), scratch(spark, "phrases")
-    suffixes(docs, text, group).write.parquet(suffixes_at)
-    suffix_rows = spark.read.parquet(suffixes_at)
-    frequent(suffix_rows).write.parquet(phrases_at)
-    # every word begins one suffix
-    sizes = suffix_rows.groupBy("g").agg(F.sum("n").alias("n"))
-    words = sizes.agg(F.sum("n")).first()[0] or 0
-    found = scored(spark.read.parquet(phrases_at), words)
+    words_at, phrases_at = scratch(spark, "words"), scratch(spark, "phrases")
+    texts = source(docs, text, group)
+    count_words(texts).write.parquet(words_at)
+    words = spark.read.parquet(words_at)
+    frequent(texts, words).write.parquet(phrases_at)
+    sizes = words.groupBy("g").agg(F.sum("f").alias("n"))
+    found = scored(spark.read.parquet(phrases_at), words.agg(F.sum("f")).first()[0] or 0)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = Window.partitionBy("g", F.pmod(F.xxhash64("phrase"), F.lit(RANKS))).orderBy(*order)
     best = found.withColumn("__n", F.row_number().over(part)).filter(F.col("__n") <= top).drop("__n")

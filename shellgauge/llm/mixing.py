@@ -45,7 +45,7 @@ MOST_REPEATS = 3
 #: Words of a block.
 BLOCK_WORDS = 1024
 #: Rows of a bucket of the shuffled order, about, and cells that one task makes slots of at once.
-BUCKET_ROWS, CELLS = 10_000, 50_000
+BUCKET_ROWS, CELLS = 1_000, 50_000
 
 
 def measured(docs: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:

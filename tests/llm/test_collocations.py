@@ -64,6 +64,22 @@ def test_prefix_counts(triples, least, split):
     assert dict(got) == want and len(got) == len(want)
 
 
+def test_hash_equals_the_engine(spark):
+    rows = spark.createDataFrame([("en", "naïve"), ("", "x"), ("und", "a" * 50)], "g string, w string")
+    got = rows.selectExpr("g", "w", "xxhash64(concat_ws('\n', g, w)) AS h").collect()
+    assert all(collocations.word_hash(r["g"], r["w"].encode()) == r["h"] % (1 << 64) for r in got)
+
+
+def test_blocks_of_suffixes():
+    words = [b"", b"a", b"bb", "é".encode()]
+    triples = [np.array(x) for x in ([1, 1, 3], [2, 3, 1], [0, 2, 1])]
+    numbers = collocations.Numbers()
+    keys, n, split = collocations.unpacked(collocations.packed(words, triples, np.array([5, 1, 9]), np.array([0, 2, 1])), numbers)
+    names = [b"", *list(numbers)[1:]]
+    assert [[names[i] for i in row] for row in keys.tolist()] == [[words[i] for i in row] for row in np.array(triples).T.tolist()]
+    assert n.tolist() == [5, 1, 9] and split.tolist() == [0, 2, 1]
+
+
 def test_many_words_in_a_task():
     x = np.array([1 << 22, 3, 0, 1 << 22, 3, 7, 0, 5])
     one, two, three, n = collocations.distinct_triples(x)
@@ -84,7 +100,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("split", "held", "buckets", "head"), [(50_000, 1 << 20, 100_000, 10_000), (3, 200, 50, 30), (0, 1, 1, 1)])
+@pytest.mark.parametrize(("split", "held", "buckets", "head"), [(200_000, 1 << 20, 500_000, 10_000), (30, 200, 50, 30), (0, 1, 1, 1)])
 def test_equal_to_plain_counts(spark, monkeypatch, split, held, buckets, head):
     for name, value in (("SPLIT_ROWS", split), ("HELD", held), ("BUCKET_ROWS", buckets), ("HEAD_PART", head)):
         monkeypatch.setattr(collocations, name, value)
