@@ -25,13 +25,17 @@ rows. Other columns are ignored, whatever their names. Long texts are encoded wh
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +47,15 @@ from shellgauge.session import scratch
 STRIDE = 32
 #: Characters that are encoded at once, but for longer texts.
 CHARACTERS = 1 << 18
+#: Parts of texts whose ids a Python worker keeps, and their characters.
+KEPT_PARTS, KEPT_CHARACTERS = 200_000, 1 << 22
+#: Where texts are cut into parts: at a space that has other than white space in front. Most have no other spaces.
+BOUNDARY, OTHER_SPACE = re.compile(r"(?<=\S) "), re.compile(r"\A |\s ")
+#: Fixed value: the pattern of words of a byte-level vocabulary.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Parts that all engines cut into the same words, whatever their Unicode tables: printable, of long known letters, and short.
+PLAIN = re.compile("[\n!-~¡-ɏ]{1,200}")
+NONE = np.zeros(0, dtype=np.int64)
 #: Pairs whose counts every task holds, at most, and pairs that a task counts before it hands them on.
 HEAD, FLUSH = 200_000, 300_000
 #: The mark that pieces have for a space, and the form of pieces that are one byte.
@@ -59,6 +72,26 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def quick_encoder(vocabulary: dict, to_byte: dict[str, int]) -> tiktoken.Encoding | None:
+    """An encoder that merges by rank, where the vocabulary says the same by its merges: ids in their order, plain words.
+
+    A merge's two sides are what its text comes to on its own just before it, and whatever stands around it has not
+    touched it by then, so there is no other pair with the same text: merging by text or by pair is the same.
+    """
+    model, before = vocabulary["model"], vocabulary["pre_tokenizer"] or {}
+    single = sorted(i for t, i in model["vocab"].items() if len(t) == 1)
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    same = (
+        vocabulary["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        and not any(model.get(name) for name in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        and single == list(range(256)) and all(model["vocab"].get(t) == 256 + k for k, t in enumerate(merged))
+    )
+    if not same:
+        return None
+    known = [t for t, i in model["vocab"].items() if i < 256 + len(merged)]
+    return tiktoken.Encoding("alignment", pat_str=WORDS, mergeable_ranks={bytes(map(to_byte.get, t)): model["vocab"][t] for t in known}, special_tokens={})
+
+
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """The place of each offset of ``short`` in ``long``: the first that is not below it. Both ascend."""
     heads = short[::STRIDE].tolist()
@@ -138,6 +171,12 @@ class Encoders:
         self.bytes_b = [single.get(p) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
+        # where no piece holds a space behind another character, nothing is merged across the start of a space, and A never
+        # joins a space to what is before it: the parts of a text between such places can be encoded on their own
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.quick = quick_encoder(json.loads(byte_vocabulary), to_byte)
+        self.kept: dict[str, tuple[bytes, bytes] | None] = {}
+        self.kept_size = 0
         # the ids as text, each before every separator that can follow it
         self.shown = [f"{i}{s}" for ids, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for s in marks for i in range(len(ids))]
 
@@ -148,20 +187,56 @@ class Encoders:
             stop, size = start + 1, len(texts[start])
             while stop < len(texts) and (size := size + len(texts[stop])) <= CHARACTERS:
                 stop += 1
-            part = texts[start:stop]
-            all_a = self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)
-            all_b = self.b.encode(part, num_threads=1)
-            for t, encoded, ids in zip(part, all_a, all_b):
-                yield self.groups(t, encoded.ids, ids)
+            parts = [self.parts(t) for t in texts[start:stop]]
+            self.learn(set().union(*parts))
+            for t, own in zip(texts[start:stop], parts):
+                yield self.groups(*self.encode(t, own)) if t else self.groups(NONE, NONE)
             start = stop
 
-    def groups(self, text: str, a: list[int], b: list[int]) -> Aligned:
-        none = np.zeros(0, dtype=np.int64)
-        whole = b" " + text.encode("utf-8")
-        if not text or b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            return Aligned(none, none, none, none)
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        return Aligned(ids_a, ids_b, *common_ends(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])))
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text that can be encoded on their own, each without the space in front; none where that is not known."""
+        if not self.apart or not text:
+            return []
+        return BOUNDARY.split(text) if OTHER_SPACE.search(text) else text.split(" ")
+
+    def learn(self, parts: set[str]) -> None:
+        """Keep the ids of these parts of texts, or that a part is not spelled out by its tokens."""
+        if len(self.kept) + len(parts) > KEPT_PARTS or self.kept_size > KEPT_CHARACTERS:
+            self.kept, self.kept_size = {}, 0
+        new = [p for p in parts if p not in self.kept]
+        self.kept_size += sum(map(len, new))
+        self.kept.update(zip(new, self.encode_whole(new)))
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """A's ids; short plain texts by an equal encoder that needs less time for each."""
+        if self.quick is None:
+            return [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        plain, quick = PLAIN.fullmatch, self.quick.encode_ordinary
+        ids = [quick(" " + t) if plain(t) else None for t in texts]
+        others = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(others, self.a.encode_batch_fast([" " + texts[i] for i in others], add_special_tokens=False)):
+            ids[i] = x.ids
+        return ids
+
+    def encode_whole(self, texts: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """The ids of both sides as packed integers; None where tokens do not spell a text out."""
+        for t, a, b in zip(texts, self.encode_a(texts), self.b.encode(texts, num_threads=1)):
+            whole = b" " + t.encode("utf-8")
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+            yield (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
+
+    def encode(self, text: str, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text, from those of its parts; as a whole where it has no parts, or one is not spelled out."""
+        found = list(map(self.kept.__getitem__, parts))
+        if not found or None in found:
+            found = list(self.encode_whole([text]))
+            if found == [None]:
+                return NONE, NONE
+        a, b = (np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in zip(*found))
+        return a, b
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> Aligned:
+        return Aligned(a, b, *common_ends(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])))
 
     def show(self, x: Aligned) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of every group."""

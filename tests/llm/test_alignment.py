@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against a plain version."""
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -21,10 +22,15 @@ TEXTS = [
 ]
 
 
-def brute(texts):
+@functools.cache
+def libraries():
     t = Tokenizer.from_file(A)
     t.encode_special_tokens = True
-    p = sentencepiece.SentencePieceProcessor(model_file=B)
+    return t, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def brute(texts):
+    t, p = libraries()
     to_byte = {c: b for c, b in alignment.byte_of_character().items()}
     per = []
     for text in texts:
@@ -62,6 +68,24 @@ def test_bytes_of_characters():
     assert sorted(table.values()) == list(range(256)) and set(table) == set(ByteLevel.alphabet())
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    with open(A, encoding="utf-8") as a, open(B, "rb") as b:
+        return alignment.Encoders(a.read(), b.read())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text("ab'sétlé 1²½\n\t \u00a0\x1c\x85\u2028ß", max_size=30), st.text("aehinorst' ", max_size=40)), max_size=5))
+def test_parts_encode_as_the_whole(encoders, texts):
+    """Ids are the two libraries' own, though texts are encoded in parts and by another engine."""
+    t, _ = libraries()
+    assert encoders.quick is not None and encoders.apart
+    for text, x in zip(texts, encoders.align(texts)):
+        if len(x.a):
+            assert x.a.tolist() == t.encode(" " + text, add_special_tokens=False).ids and x.b.tolist() == encoders.b.encode(text)
+    assert [len(x.a) for x in encoders.align(texts)] == [m[0] for m in brute(texts)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(1, 4000), min_size=1, max_size=500), st.sets(st.integers(1, 4000), min_size=1, max_size=500))
 def test_common_ends(a, b):
