@@ -14,7 +14,10 @@ Only keys and digests are shuffled to find the stored copies, combined before
 they move, so a payload shared by a third of all rows is one counter per task.
 Payload bytes move once, by key, and never by digest.
 
-Null payloads read as empty. A row without a key refers to the largest key of
+Headers are exact: a URI that a header line cannot hold is percent-encoded and read
+back as it was, as are keys, so no value can end its line or start another field.
+
+Null payloads read as empty. A null URI gives no field. A row without a key refers to the largest key of
 its group and is a response where there is none. Rows that repeat the largest
 key are responses all. Empty tables make empty archives. Other columns are
 ignored.
@@ -31,6 +34,8 @@ from shellgauge.llm.common import text_or_empty
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 WARC_DATE = "1970-01-01T00:00:00Z"
+#: Controls, and what some readers take for the end of a line: the inside of a character class.
+NOT_IN_A_LINE = r"\x00-\x1F\x7F-\x9F\u2028\u2029"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -51,12 +56,32 @@ def header_block(fields: list[tuple[str, Column]]) -> Column:
 
 
 def header_value(block: Column, name: str) -> Column:
-    """The value of a header field; NULL where the block has none."""
-    return F.nullif(F.regexp_extract(block, rf"(?m)^{name}: ([^\r\n]*)$", 1), F.lit(""))
+    """The value of a header field; NULL where the block has none, or an empty one. Only CRLF ends a line."""
+    return F.nullif(F.regexp_extract(block, rf"(?md)^{name}: ([^\r\n]*)\r$", 1), F.lit(""))
 
 
 def record_uri(key: Column) -> Column:
-    return F.concat(F.lit("<urn:record:"), key.cast("string"), F.lit(">"))
+    return F.concat(F.lit("<urn:record:"), F.url_encode(key.cast("string")), F.lit(">"))
+
+
+def record_key(uri: Column) -> Column:
+    return F.url_decode(F.nullif(F.regexp_extract(uri, r"<urn:record:(.*)>", 1), F.lit("")))
+
+
+def uri_fields(uri: Column) -> list[tuple[str, Column]]:
+    """The fields of a target URI. One that a header line cannot hold is written in percent-encoding, and a field says so."""
+    held = uri.rlike(rf"\A[^{NOT_IN_A_LINE}]+\z")
+    return [
+        ("WARC-Target-URI", F.when(held, uri).otherwise(F.url_encode(uri))),
+        ("X-Target-URI-Encoding", F.when(~held, F.lit("percent"))),
+    ]
+
+
+def target_uri(block: Column) -> Column:
+    """The target URI as it was before writing; NULL where the record has none."""
+    value = header_value(block, "WARC-Target-URI")
+    encoded = header_value(block, "X-Target-URI-Encoding").isNotNull()
+    return F.when(encoded, F.url_decode(F.coalesce(value, F.lit("")))).otherwise(value)
 
 
 def write_archive(df: DataFrame, at: str, key: str = "page_id", payload: str = "html", uri: str = "url", least_bytes: int = 0) -> None:
@@ -79,7 +104,7 @@ def write_archive(df: DataFrame, at: str, key: str = "page_id", payload: str = "
         ("WARC-Type", kind),
         ("WARC-Record-ID", record_uri(F.col("key"))),
         ("WARC-Date", F.lit(WARC_DATE)),
-        ("WARC-Target-URI", F.regexp_replace("uri", r"[\r\n]", " ")),
+        *uri_fields(F.col("uri")),
         ("WARC-Payload-Digest", digest),
         ("WARC-Refers-To", F.when(~response, record_uri(F.col("largest")))),
         ("WARC-Profile", F.when(~response, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
@@ -109,11 +134,12 @@ def _checked_payloads(spark: SparkSession, at: str) -> DataFrame:
 def read_headers(spark: SparkSession, at: str, key_type: str = "long") -> DataFrame:
     """Every record's fields, read from its header block, with what the stored payload measures."""
     block = F.col("header")
-    number = lambda name: F.regexp_extract(header_value(block, name), r"<urn:record:(.*)>", 1)
+    number = lambda name: record_key(header_value(block, name))
     fields = spark.read.parquet(f"{at}/headers").select(
-        F.nullif(number("WARC-Record-ID"), F.lit("")).cast(key_type).alias("key"),
+        number("WARC-Record-ID").cast(key_type).alias("key"),
+        target_uri(block).alias("uri"),
         header_value(block, "WARC-Type").alias("record_type"),
-        F.nullif(number("WARC-Refers-To"), F.lit("")).cast(key_type).alias("refers_to"),
+        number("WARC-Refers-To").cast(key_type).alias("refers_to"),
         F.regexp_extract(header_value(block, "WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"),
         "sha256",
     )

@@ -55,6 +55,25 @@ def test_least_bytes(spark):
     }
 
 
+def test_urls_cannot_speak_for_the_record(spark):
+    """Line ends of any kind, and whole fields, in URLs and keys."""
+    urls = [
+        f"http://b/{end}{field}" for end in ("\u0085", "\u2028", "\u2029", "\r\n", "\n", "\r", "\x0b", "\x00")
+        for field in ("WARC-Refers-To: <urn:record:77>", "WARC-Payload-Digest: sha1:ABC", "WARC-Type: revisit")
+    ] + ["", None, "http://a/%0A+%2B?q=a b", "é\u2028 +%", "X-Target-URI-Encoding: percent"]
+    rows = [(i, u, "same" if i % 2 else f"own {i}") for i, u in enumerate(urls)]
+    got = {r["key"]: r for r in warc.read_headers(spark, archive(spark, rows)).collect()}
+    top = max(i for i, _, h in rows if h == "same")
+    for i, u, h in rows:
+        assert got[i]["uri"] == u and got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", top) if h == "same" and i != top else ("response", None))
+    at = scratch(spark, "warc-test")
+    keys = ["a\r\nWARC-Type: revisit", "b>\u2028", "c d"]
+    warc.write_archive(spark.createDataFrame([(k, "u", "x") for k in keys], "page_id string, url string, html string"), at)
+    back = {r["key"]: (r["record_type"], r["refers_to"]) for r in warc.read_headers(spark, at, "string").collect()}
+    assert back == {k: ("response", None) if k == max(keys) else ("revisit", max(keys)) for k in keys}
+
+
 def test_tampered_payload_fails(spark):
     at = archive(spark, ROWS)
     bad = scratch(spark, "warc-test")
