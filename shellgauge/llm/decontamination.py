@@ -7,7 +7,8 @@ equi-join on their template's hash. Slots are judged window by window: no two
 values of the item may stand for the same value of the document in one window.
 The matches of one document and one item that stand at the same distance are one
 reading of the item, and names must also agree over all of it: windows with a
-name of the document that stands for two names of the item do not count. A value
+name of the document that stands for two names of the item do not count. A window
+whose values all equal the item's always counts, whatever stands around it. A value
 of the item that is repeated may take different values. A document is
 contaminated by an item when enough of the item's windows count, each once, so a
 question with other numbers, names or units is caught, and windows without slots
@@ -241,8 +242,10 @@ def agreeing(found: Column) -> Column:
     """The windows of a reading, as structs of ``item_pos`` and distinct ``slots``, that count."""
     name = lambda p: p["i"].bitwiseAND(F.lit(1)) == 1
     names = F.array_distinct(F.flatten(F.transform(found, lambda w: F.filter(w["slots"], name))))
+    unchanged = lambda w: F.forall(w["slots"], lambda p: p["i"].bitwiseAND(F.lit(~1)) == p["d"])
     return let(let(names, merged), lambda confused: F.filter(
-        found, lambda w: (F.size(merged(w["slots"])) == 0) & ~F.exists(w["slots"], lambda p: name(p) & F.array_contains(confused, p["d"]))
+        found,
+        lambda w: unchanged(w) | ((F.size(merged(w["slots"])) == 0) & ~F.exists(w["slots"], lambda p: name(p) & F.array_contains(confused, p["d"]))),
     ))
 
 

@@ -49,9 +49,10 @@ def test_templates_and_slots(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit(1)).withColumn("row", F.lit("x"))
     got = Counter((r["doc_id"], r["item_id"]) for r in q.contaminated(df, items).collect())
     assert got[(1, 1)] == 2 and got[(None, 1)] == 2 and got[(6, 2)] == 1
-    assert (2, 1) not in got and not {3, 4, 5, 7, 9} & {d for d, _ in got}
+    # 11 of the 16 windows of the second are the question's own, whatever its last name
+    assert got[(2, 1)] == 2 and not {3, 4, 5, 7, 9} & {d for d, _ in got}
     kept = q.drop_contaminated(df, items)
-    assert kept.columns == df.columns and {1, None, 6}.isdisjoint({r["doc_id"] for r in kept.collect()})
+    assert kept.columns == df.columns and {1, 2, None, 6}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
 def test_empty(spark):
@@ -85,6 +86,13 @@ def test_new_name_near_the_end(spark):
     assert [r["matched"] for r in q.contaminated(docs, items).collect()] == [16]
 
 
+def test_names_that_conflict_in_every_window(spark):
+    item = "we asked whether Alice saw Bob before Alice told Bob that Alice or Bob would let Alice and Bob go home with Alice then"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("Alice", "Carol").replace("Bob", "Carol")), (2, item.replace("Alice", "Carol")), (3, item)]
+    assert {r["doc_id"] for r in q.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()} == {2, 3}
+
+
 def test_repeated_window_counts_once(spark):
     items = spark.createDataFrame([(1, " ".join(PASSAGE[:29]))], "item_id long, text string")
     line = " ".join(PASSAGE[4:12])
