@@ -4,8 +4,10 @@ Statistics of a text are Spark expressions, evaluated in the row; the 5-word
 windows of a text are hashed and compared inside its row, so nothing is
 shuffled. A list is learned from labelled documents: a rule is grown one
 threshold condition at a time by information gain on two thirds of them, pruned
-to the best prefix on the other third, and kept while it is precise there; the
-documents it covers are set aside and the next rule is learned. The list is an
+to the best prefix on the other third, and kept while it is precise there, covers a
+share of the bad documents, and a test says that this is not chance, so a list can
+form as soon as the pruning third holds a few bad documents (three or four where one
+in five is bad); the documents it covers are set aside and the next rule is learned. The list is an
 ordered conditional expression over the statistics.
 
 Learning uses at most ``MAX_LABELLED`` labelled documents, taken by the hash of
@@ -21,7 +23,7 @@ of them is bad. Without labels the list is empty and only the base rule rejects.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from math import log2
+from math import exp, lgamma, log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,9 @@ THRESHOLDS = 32
 #: Tasks over the sample.
 LEARNING_TASKS = 8
 MAX_RULES, MAX_CONDITIONS = 8, 3
-#: A rule must be this precise on the pruning third, and cover so many bad documents over all.
-LEAST_PRECISION, LEAST_COVER = 0.9, 20
+#: A rule must be this precise on the pruning third, cover this share of the bad documents over all, and not hit so many
+#: bad ones of the pruning third by chance: with this probability at most, were it blind to the label.
+LEAST_PRECISION, LEAST_COVER, BY_CHANCE = 0.9, 0.02, 0.01
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -197,8 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     binned = rows.select("bad", "grow", "x", F.array(*below).alias("bins")).coalesce(LEARNING_TASKS).persist()
     left = binned
     rules: list[Rule] = []
+    all_bad = binned.filter("bad").count()
     while len(rules) < MAX_RULES:
-        rule = prune(left, grow(left, grid))
+        rule = prune(left, grow(left, grid), all_bad)
         if not rule:
             break
         rules.append(rule)
@@ -257,11 +261,19 @@ def grow(left: DataFrame, grid: list[list[float]]) -> Rule:
     return rule
 
 
-def prune(left: DataFrame, rule: Rule) -> Rule:
-    """The prefix that separates best on the pruning third; none unless it is precise."""
+def chance(hits: int, covered: int, share: float) -> float:
+    """The probability of that many hits or more among the covered, each of which is one with probability ``share``."""
+    if not 0 < share < 1:
+        return 1.0
+    log_term = lambda k: lgamma(covered + 1) - lgamma(k + 1) - lgamma(covered - k + 1) + k * log(share) + (covered - k) * log(1 - share)
+    return min(1.0, sum(exp(log_term(k)) for k in range(hits, covered + 1)))
+
+
+def prune(left: DataFrame, rule: Rule, all_bad: int) -> Rule:
+    """The prefix that separates best on the pruning third; none unless it is precise, and not by chance."""
     if not rule:
         return []
-    hits = []
+    hits = [F.count_if(~F.col("grow") & F.col("bad")).alias("bad"), F.count_if(~F.col("grow")).alias("rows")]
     for k in range(1, len(rule) + 1):
         covers = all_hold([c.holds_binned() for c in rule[:k]])
         for name, rows in ((f"p{k}", ~F.col("grow") & F.col("bad")), (f"n{k}", ~F.col("grow") & ~F.col("bad")), (f"all{k}", F.col("bad"))):
@@ -270,7 +282,9 @@ def prune(left: DataFrame, rule: Rule) -> Rule:
     best, worth = [], None
     for k in range(1, len(rule) + 1):
         p, n, total = seen[f"p{k}"], seen[f"n{k}"], seen[f"all{k}"]
-        if total < LEAST_COVER or (p + 1) / (p + n + 1) < LEAST_PRECISION:
+        if total < LEAST_COVER * all_bad or (p + 1) / (p + n + 1) < LEAST_PRECISION:
+            continue
+        if chance(p, p + n, seen["bad"] / max(seen["rows"], 1)) > BY_CHANCE:
             continue
         value = (p - n) / (p + n + 1)
         if worth is None or value > worth:
