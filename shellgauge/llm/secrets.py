@@ -22,6 +22,7 @@ ends exclusive. An empty table has no thresholds and no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -64,36 +65,58 @@ STEPS = 400
 REPLACEMENT = "[SECRET]"
 
 
+def running_sums(values: Column) -> Column:
+    """For each value, the sum of all up to it.
+
+    An array that grows by one is copied every time, so it is made in pieces of about the square root of its length.
+    """
+
+    def piece(own: Column, before: Column) -> Column:
+        empty = F.struct(before.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out"))
+        return F.aggregate(own, empty, step, lambda a: a["out"])
+
+    def pieces(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        total = lambda i: F.aggregate(F.slice(v, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(v) - 1, size), lambda i: piece(F.slice(v, i + 1, size), total(i))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(pieces(v)))
+
+
+MATCH = "array<struct<start:int,stop:int,part:int,own:string>>"
+
+
 def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches, leftmost and apart: start, stop and the length of one group."""
+    """All matches, leftmost and apart: start, stop, the length of one group, and the match itself."""
     regex = F.lit(pattern)
 
     def place(pieces: Column, found: Column, groups: Column) -> Column:
-        sizes = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda k: F.struct(
-            F.length(F.get(pieces, k)).alias("gap"), F.length(F.get(found, k)).alias("own"), F.length(F.get(groups, k)).alias("part"),
-        ))
-        entry = "array<struct<start:int,stop:int,part:int>>"
-        return F.aggregate(
-            sizes, F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("spans")),
-            lambda a, m: F.struct(
-                (a["at"] + m["gap"] + m["own"]).alias("at"),
-                F.array_append(a["spans"], F.struct(
-                    (a["at"] + m["gap"]).alias("start"), (a["at"] + m["gap"] + m["own"]).alias("stop"), m["part"].alias("part"),
-                )).alias("spans"),
-            ),
-            lambda a: a["spans"],
-        )
-
-    none = F.array().cast("array<struct<start:int,stop:int,part:int>>")
+        sizes = F.transform(found, lambda m, k: F.length(F.get(pieces, k)) + F.length(m))
+        return let(running_sums(sizes), lambda stops: F.transform(found, lambda m, k: F.struct(
+            (F.get(stops, k) - F.length(m)).alias("start"), F.get(stops, k).alias("stop"), F.length(F.get(groups, k)).alias("part"), m.alias("own"),
+        )).cast(MATCH))
+
     return let(
         F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda found: F.when(F.size(found) == 0, none).otherwise(let(
+        lambda found: F.when(F.size(found) == 0, F.array().cast(MATCH)).otherwise(let(
             F.split(text, pattern, -1),
-            lambda pieces: let(F.regexp_extract_all(text, regex, F.lit(group)), lambda groups: place(pieces, found, groups)),
+            lambda pieces: let(F.regexp_extract_all(text, regex, F.lit(group)), lambda groups: place(pieces, found, groups)) if group else place(pieces, found, found),
         )),
     )
 
 
+def overlaps(m: Column, spans: Column) -> Column:
+    """Whether a match shares a character with one of ``spans``, which are apart and in order.
+
+    Only the last span that starts before the match's end can; it is found by halving.
+    """
+    n = F.size(spans)
+    jumps = F.transform(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    started = F.aggregate(jumps, F.lit(0), lambda at, j: at + F.when((at + j <= n) & (F.get(spans, at + j - 1)["start"] < m["stop"]), j).otherwise(0))
+    return (n > 0) & (F.coalesce(F.get(spans, started - 1)["stop"], F.lit(0)) > m["start"])
+
+
 def spans_of_kind(text: Column, likely: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
     """Spans of one kind whose group is long enough; ``likely`` must hold for every text that has one."""
     found = F.filter(located(text, pattern, group), lambda m: m["part"] >= least)
@@ -199,14 +222,11 @@ def candidates(text: Column, base: Column) -> Column:
     """Runs of key characters apart from the base spans: start, stop, length class and steps of p."""
 
     def judged(found: Column) -> Column:
-        def overlaps(m: Column) -> Column:
-            every = F.concat(base["assign"], base["access"], base["hex"])
-            return F.exists(every, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-
-        return F.transform(F.filter(found, lambda m: ~overlaps(m)), lambda m: F.struct(
+        free = F.filter(found, lambda m: ~(overlaps(m, base["assign"]) | overlaps(m, base["access"]) | overlaps(m, base["hex"])))
+        return F.transform(free, lambda m: F.struct(
             m["start"].alias("start"), m["stop"].alias("stop"),
             sum(((m["stop"] - m["start"] >= c).cast("int") for c in LENGTH_CLASSES[1:]), F.lit(0)).alias("size"),
-            judge(F.substring(text, m["start"] + 1, m["stop"] - m["start"])).alias("judged"),
+            judge(m["own"]).alias("judged"),
         ))
 
     none = F.array().cast("array<struct<start:int,stop:int,size:int,judged:struct<encoding:int,steps:int>>>")

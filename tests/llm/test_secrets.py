@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -118,3 +119,34 @@ def test_identifiers_of_one_case_are_not_keys(spark):
     df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
     wrong = [names[r["doc_id"]] for r in q.find(df).collect() if r["spans"]]
     assert len(wrong) <= 0.01 * len(names), wrong
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(k, [rng.randint(-50, 50) for _ in range(k)]) for k in (0, 1, 2, 3, 4, 5, 9, 10, 17, 100)]
+    got = spark.createDataFrame(rows, "k int, v array<int>").select("v", q.running_sums(F.col("v")).alias("s")).collect()
+    assert all(list(r.s) == [sum(r.v[: i + 1]) for i in range(len(r.v))] for r in got)
+
+
+def test_very_many_matches_in_a_text(spark):
+    """Time grows with the matches, not with their square."""
+    rng = random.Random(3)
+    word = lambda alphabet: "".join(rng.choices(alphabet, k=24))
+    keys = [word("0123456789abcdef") if k % 2 else word("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for k in range(16_000)]
+    text = " ".join(keys)
+    start = time.perf_counter()
+    found = q.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.perf_counter() - start < 40
+    hexes = [s for s in found["base"] if s["kind"] == 2]
+    assert [text[s["start"] : s["stop"]] for s in hexes] == keys[1::2]
+    for s in found["spans"]:
+        assert (s["stop"] - s["start"], s["start"] % 25) == (24, 0)
+
+
+def test_candidates_beside_base_spans(spark):
+    """A candidate that touches a base span stays, one that shares a character with it does not."""
+    odd = "Zq7XvK2mP9wLrT4sYb8N"
+    texts = [f"{odd} {'0a' * 12}", f"{odd}={'0a' * 12}", f"{odd}{'0a' * 12}", f"{'0a' * 12}{odd}", f"password={odd}{odd}", f"x {odd}= {odd}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", q.scan(F.col("text")).alias("s"))
+    got = {r.i: [(c.start, c.stop) for c in r.s.found] for r in df.collect()}
+    assert got == {0: [(0, 20)], 1: [(0, 21)], 2: [], 3: [], 4: [], 5: [(2, 23), (24, 44)]}
