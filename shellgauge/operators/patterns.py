@@ -8,7 +8,6 @@ their regex on most texts.
 from __future__ import annotations
 
 import re
-import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,10 +17,6 @@ from shellgauge.catalogs.rules import RULES, TIER_WEIGHT
 from shellgauge.functions.text import let, literal
 from shellgauge.session import keep
 
-with warnings.catch_warnings():
-    warnings.simplefilter("ignore", DeprecationWarning)
-    from re import _parser as _sre  # type: ignore[attr-defined]
-
 FLAGS = "(?iU)"
 _BANK = frozenset(r[5] for r in RULES)
 
@@ -52,16 +47,55 @@ def rule_bank(overrides: dict[str, dict] | None = None) -> list[Rule]:
     return out
 
 
-def required_literal(pattern: str) -> str:
-    """Longest ASCII run that every match of a pattern contains, lower case."""
-    best, run = "", ""
-    for op, arg in _sre.parse(pattern, re.IGNORECASE):
-        if str(op) == "LITERAL" and arg < 128:
-            run += chr(arg).lower()
-            best = max(best, run, key=len)
+#: Pieces of a pattern: escapes of several characters, other escapes, classes, repeats, and any other character.
+_PIECE = re.compile(
+    r"(?s)(?P<long>\\(?:x[0-9A-Fa-f]{2}|x\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|[pP](?:\{[^}]*\}|.)|[kN][<{][^>}]*[>}]|c.|0[0-7]{1,3}|[0-9]+))"
+    r"|\\(?P<escape>.)|(?P<class>\[\^?\]?(?:\\.|\[:[^]]*:\]|[^]\\])*\])|(?P<repeat>(?:[*+?]|\{(?P<least>\d+)(?:,\d*)?\})[?+]?)|(?P<other>.)"
+)
+
+
+def required_runs(pattern: str) -> list[str]:
+    """ASCII runs, lower case, that every match of a pattern contains; what lies in groups is not looked at."""
+    runs, run, depth, last = [], "", 0, False
+    if re.search(r"\\Q|\(\?[a-z]*x", pattern):
+        return []
+
+    def end(start: str = "") -> None:
+        nonlocal run, last
+        runs.append(run)
+        run, last = start, False
+
+    for m in _PIECE.finditer(pattern):
+        other, escape = m["other"], m["escape"]
+        if other in ("(", ")"):
+            end()
+            depth += 1 if other == "(" else -1
+        elif depth:
+            continue
+        elif other == "|":
+            return []
+        elif m["repeat"]:
+            # a character that may be missing is taken back; one that comes again also begins the next run
+            kept = run[-1:] if last else ""
+            again = m["repeat"][0] == "+" or (m["least"] is not None and int(m["least"]) > 0)
+            if last and not again:
+                run, kept = run[:-1], ""
+            end(kept)
+        elif (escape is not None and not escape.isalnum()) or (other is not None and other not in ".^$"):
+            char = other or escape
+            if ord(char) < 128:
+                run, last = run + char.lower(), True
+            else:
+                end()
         else:
-            run = ""
-    return best
+            end()
+    end()
+    return [r for r in runs if r]
+
+
+def required_literal(pattern: str) -> str:
+    """The longest of the runs that every match of a pattern contains."""
+    return max(required_runs(pattern), key=len, default="")
 
 
 def folded(text: Column) -> Column:

@@ -9,12 +9,12 @@ from shellgauge.catalogs.lexicon import HEADS_BY_CLASS
 from shellgauge.catalogs.profiles import PAPER
 from shellgauge.catalogs.rules import RULES, TIER_WEIGHT
 from shellgauge.functions.text import basename, build_once, split_words
-from shellgauge.operators import canon, paths, patterns, policy, semantic, structure
+from shellgauge.operators import canon, paths, patterns, policy, rule_index, semantic, structure
 from shellgauge.operators.context import decode_payloads
 from shellgauge.plans import analyze as plan
 from shellgauge.plans import static_sql as sql
-from shellgauge.session import keep
-from shellgauge.sources import adapters
+from shellgauge.session import keep, scratch
+from shellgauge.sources import adapters, logs
 from shellgauge.sources.adapters import HOME
 
 Q: dict = {}
@@ -314,6 +314,42 @@ def rule_match_documents(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("lang", "source").agg(F.count("*").alias("documents"), F.sum("n").alias("fires"))
 
 
+# Three words of a reference passage in a row, as a rule each; the bank is stored as a file and read back.
+_THREE = "[ \\t\\r\\n]+"
+_PASSAGE_WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
+
+
+def stored_bank(spark: SparkSession, sf: str) -> str:
+    """A rule file of the published rules and of rules made from reference passages; gives its path."""
+    passages = adapters.table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1)).alias("k")
+    threes = keep(passages, F.size("w") >= 3).select("item_id", "w", at).select(
+        F.format_string("PW-%d-%d", "item_id", "k").alias("rule_id"),
+        F.transform(F.slice("w", F.col("k") * 3 + 1, F.lit(3)), lambda w: F.regexp_replace(w, r"([\\.\[\]{}()*+?^$|])", r"\\$1")).alias("words"))
+    made = threes.select("rule_id", F.lit("made from a passage").alias("description"), F.lit("P1").alias("failure_family"), F.array().cast("array<string>").alias("mitre_techniques"),
+                         F.lit(0.5).alias("confidence"), F.lit("manual").alias("provenance_tier"), F.array_join("words", _THREE).alias("pattern_regex"))
+    own = spark.createDataFrame([(r[0], "published", r[1], list(r[4]), r[2], r[3], r[5]) for r in _DOC_RULES], made.schema)
+    bank = own.unionByName(made)
+    folder = scratch(spark, "rule-bank")
+    rule = F.struct(*bank.columns)
+    whole = bank.agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+    meta = F.struct(F.lit("1").alias("version"), F.lit("2020-01-01").alias("date"), F.size("rules").alias("total_rules"))
+    whole.select(meta.alias("_meta"), "rules").coalesce(1).write.json(folder)
+    return folder
+
+
+@query("scan_rule_bank", f"""WITH pieces AS (SELECT item_id, {_PASSAGE_WORDS} AS w FROM benchmark),
+    made AS (SELECT 'PW-' || item_id || '-' || k AS rule_id, lower(array_to_string(w[3 * k + 1:3 * k + 3], ' ')) AS words FROM (SELECT item_id, w, unnest(range(len(w) // 3)) AS k FROM pieces)),
+    texts AS (SELECT doc_id, lower(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS t, text FROM documents),
+    own AS (SELECT doc_id, unnest([{', '.join(f"CASE WHEN {sql.has('text', '(?i)' + r[5])} THEN {sql.q(r[0])} END" for r in _DOC_RULES)}]) AS rule_id FROM texts)
+    SELECT doc_id, rule_id FROM texts JOIN made ON contains(t, words) UNION ALL SELECT doc_id, rule_id FROM own WHERE rule_id IS NOT NULL""")
+def scan_rule_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents matched with a stored bank through its index of grams."""
+    rules = logs.scan_rule_bank(spark, stored_bank(spark, sf)).select("ord", "rule_id", "pattern_regex")
+    docs = adapters.table(spark, sf, "documents").select("doc_id", "text")
+    return rule_index.match_bank(docs, rules, "doc_id").join(rules.select(F.col("ord").cast("long").alias("ord"), "rule_id"), "ord").select("doc_id", "rule_id")
+
+
 OVERRIDES = {"SE-P-003": {"confidence": 0.75}, "SE-P-031": {"enabled": False}, "SE-P-103": {"confidence": 0.5}}
 
 
