@@ -182,6 +182,40 @@ def judge_by_text(spark: SparkSession, sf: str) -> DataFrame:
     return text_judge(warn, judge, prompt="command").select("cmd_id", F.col("judge_decision").alias("final"), "judge_error")
 
 
+_RUNS = "VALUES (1, 'r1', 'judged'), (2, 'r1', 'cache'), (3, 'r2', 'judged')"
+
+
+@query("scan_answer_cache", static_sql.query(f"""SELECT run, cmd_id, CASE WHEN cmd_id % 4 = 0 THEN 'unadjudicated' WHEN length(command) % 3 = 0 THEN 'allow' ELSE 'deny' END AS final,
+    CASE WHEN cmd_id % 4 = 0 THEN 'none' ELSE source END AS judge_source,
+    CASE WHEN source = 'judged' THEN (SELECT count(DISTINCT command) FROM decided WHERE final = 'unadjudicated' AND cmd_id % 4 <> 0) ELSE 0 END AS states_judged
+    FROM decided, ({_RUNS}) AS runs(run, rubric, source) WHERE final = 'unadjudicated'""", "decided"))
+def scan_answer_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """All unresolved commands judged three times through one store: anew, again, and under another rubric.
+
+    A profile column names the judge of each row. The second run finds every state and judges none.
+    """
+    import pandas as pd
+
+    from shellgauge.plans import memo
+    from shellgauge.session import scratch
+
+    def judge(commands: pd.Series) -> pd.Series:
+        return commands.map(lambda c: "SAFE" if len(c) % 3 == 0 else "DANGEROUS: it may harm")
+
+    warn_at, calls_at = scratch(spark, "warn"), scratch(spark, "calls")
+    keep(_decided(spark, sf), F.col("would_adjudicate")).select(
+        "cmd_id", "command", F.when(F.col("cmd_id") % 4 == 0, "stub").otherwise("text").alias("backend")).write.parquet(warn_at)
+    warn, store, out = spark.read.parquet(warn_at), memo.AnswerStore(spark, scratch(spark, "answers")), None
+    for run, rubric in ((1, "r1"), (2, "r1"), (3, "r2")):
+        through = lambda rows, rubric=rubric: memo.judge_through(rows, judge, store, "judge-1", rubric, "command")
+        memo.judge_by_backend(warn, {"text": through}).write.parquet(f"{calls_at}-{run}")
+        done = spark.read.parquet(f"{calls_at}-{run}")
+        judged = done.agg(F.count_distinct(F.when(F.col("judge_source") == "judged", memo.state_hash(F.col("command")))).alias("states_judged"))
+        rows = done.select(F.lit(run).alias("run"), "cmd_id", F.col("judge_decision").alias("final"), "judge_source").join(F.broadcast(judged))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _SIDES = "SELECT item_id // 2 AS pair, CASE WHEN item_id % 2 = 0 THEN 'approve' ELSE 'deny' END AS side, axis, reading FROM readings WHERE reading IS NOT NULL"
 
 

@@ -27,26 +27,34 @@ def stub(warn: DataFrame) -> DataFrame:
 def text_judge(warn: DataFrame, judge: Judge, prompt: str = "judge_prompt", key: str = "cmd_id") -> DataFrame:
     """Ask a text judge about every row; a call that fails is denied, not the others of its batch.
 
-    A batch is asked at once; when that fails, its rows are asked one by one, so
-    the error stays with the row that causes it. Only the prompt travels to
-    Python, and replies come back on their rows: repeated keys stay apart.
+    A batch is asked at once; when that fails, each half is, down to single rows, so
+    the error stays with the row that causes it. Equal prompts of a batch are asked
+    once. Only the prompt travels to Python, and replies come back on their rows:
+    repeated keys stay apart.
     """
-    def one(text: str) -> tuple[str | None, str | None]:
+    def replies(prompts: pd.Series) -> pd.DataFrame:
         try:
-            return judge(pd.Series([text])).iloc[0], None
+            return pd.DataFrame({"reply": list(judge(prompts)), "judge_error": None}, index=prompts.index)
         except Exception as e:  # noqa: BLE001
-            return None, f"judge failed: {e}"
+            if len(prompts) == 1:
+                return pd.DataFrame({"reply": [None], "judge_error": [f"judge failed: {e}"]}, index=prompts.index)
+            half = len(prompts) // 2
+            return pd.concat([replies(prompts.iloc[:half]), replies(prompts.iloc[half:])])
 
     @F.pandas_udf("struct<reply:string,judge_error:string>")
     def ask(prompts: pd.Series) -> pd.DataFrame:
-        try:
-            return pd.DataFrame({"reply": judge(prompts), "judge_error": None})
-        except Exception:  # noqa: BLE001
-            return pd.DataFrame([one(p) for p in prompts], columns=["reply", "judge_error"])
+        if not len(prompts):
+            return pd.DataFrame({"reply": [], "judge_error": []})
+        number, distinct = pd.factorize(prompts, use_na_sentinel=False)
+        return replies(pd.Series(distinct)).iloc[number].reset_index(drop=True)
 
     asked = warn.withColumn("__asked", ask.asNondeterministic()(F.col(prompt)))
-    replies = asked.withColumns({"reply": F.col("__asked.reply"), "judge_error": F.col("__asked.judge_error")}).drop("__asked")
-    return replies.withColumns({
+    return decided_by_text(asked.withColumns({"reply": F.col("__asked.reply"), "judge_error": F.col("__asked.judge_error")}).drop("__asked"))
+
+
+def decided_by_text(replied: DataFrame) -> DataFrame:
+    """Rows with ``reply`` and ``judge_error``, and what they come to."""
+    return replied.withColumns({
         "judge_decision": F.when(F.col("judge_error").isNotNull(), F.lit(FAILURE_DECISION["text"])).otherwise(
             judge_text_decision(F.coalesce("reply", F.lit("")))),
         "judge_tags": F.array_compact(F.array(F.when(
