@@ -25,7 +25,7 @@ from shellgauge.plans.static_queries import _decided, big, r6
 from shellgauge.session import checkpoint, keep, scratch
 from shellgauge.sources import adapters, logs, sinks
 from shellgauge.sources.adapters import HOME
-from shellgauge.streaming import jobs
+from shellgauge.streaming import jobs, session_state
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -877,15 +877,45 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).agg(F.count("*").alias("n"))
 
 
-@query("stream_session_context", f"SELECT 's' || user_id AS session_id, count(*) AS calls, CAST(sum(rn - 1) AS BIGINT) AS prior FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1")
+_BUDGET, _IDLE_MS, _STRETCHES = 200, 86_400_000, 4
+
+
+@query("stream_session_context", sql.query(f"""SELECT a.cmd_id, a.k - 1 AS actions_total, count(b.cmd_id) AS kept, md5(coalesce(string_agg(b.text, chr(10) ORDER BY b.k), '')) AS prior
+    FROM ordered a LEFT JOIN ordered b ON b.session_id = a.session_id AND b.part = a.part AND b.k < a.k AND (b.k = a.k - 1 OR (a.upto - length(a.text) - 8) - (b.upto - length(b.text) - 8) <= {_BUDGET})
+    GROUP BY a.cmd_id, a.k""", "commands").replace("SELECT a.cmd_id", f""",
+    timed AS (SELECT cmd_id, session_id, epoch_ms(ts) AS ms, 'Bash(' || command || ')' AS text FROM commands),
+    gaps AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms, cmd_id::VARCHAR) > {_IDLE_MS} THEN 1 ELSE 0 END AS gap FROM timed),
+    parts AS (SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY ms, cmd_id::VARCHAR) AS part FROM gaps),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY session_id, part ORDER BY ms, cmd_id::VARCHAR) AS k,
+        sum(length(text) + 8) OVER (PARTITION BY session_id, part ORDER BY ms, cmd_id::VARCHAR) AS upto FROM parts)
+    SELECT a.cmd_id""", 1))
 def stream_session_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls per session and how many came before each, kept in state."""
-    out = scratch(spark, "context")
-    calls = _good(spark, _call_files(spark, sf, False)).withColumn("call_text", F.concat("tool_name", F.lit("("), "tool_input", F.lit(")")))
-    history = jobs.stream_session_context(calls.withWatermark("ts", "1 hour").select("session_id", "tool_use_id", "ts", "call_text"))
-    history.writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", scratch(spark, "stream")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("session_id").agg(F.count("*").alias("calls"), F.sum("actions_total").alias("prior"))
+    """What each call is shown of its session, in event order, though calls arrive up to 50 minutes late and in several runs."""
+    calls_at, out, state = scratch(spark, "calls"), scratch(spark, "context"), scratch(spark, "stream")
+    calls = adapters.commands(spark, sf).select(
+        F.col("cmd_id").cast("string").alias("tool_use_id"), "session_id", "ts", F.concat(F.lit("Bash("), "command", F.lit(")")).alias("call_text"))
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("tool_use_id"), F.lit(3000))
+    arrived = calls.withColumn("arrival", arrival)
+    first, last = arrived.agg(F.min("arrival"), F.max("arrival")).first()
+    # a call of a session of its own, after all others, lets the watermark pass them
+    closing = calls.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).filter("ts is not null").select(
+        F.lit("closing").alias("tool_use_id"), F.lit("").alias("session_id"), "ts", F.lit("").alias("call_text"))
+    stretch = F.least(F.floor((F.col("arrival") - (first or 0)) * _STRETCHES / max((last or 0) - (first or 0), 1)), F.lit(_STRETCHES - 1))
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    default = spark.conf.get(kind)
+    session_state.use_state_store(spark)
+    try:
+        for k in range(_STRETCHES + 1):
+            part = arrived.filter(stretch == k).drop("arrival") if k < _STRETCHES else closing
+            part.withColumn("ts", F.col("ts").cast("timestamp")).select("session_id", "tool_use_id", "ts", "call_text").write.mode("append").parquet(calls_at)
+            stream = spark.readStream.schema("session_id string, tool_use_id string, ts timestamp, call_text string").parquet(calls_at)
+            history = session_state.stream_session_context(stream, "1 hour", _BUDGET, 8, _IDLE_MS)
+            history.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(kind, default)
+    return spark.read.schema(session_state.OUT).parquet(out).select(
+        F.col("tool_use_id").cast("bigint").alias("cmd_id"), "actions_total", F.size("prior_actions").cast("bigint").alias("kept"),
+        F.md5(F.array_join("prior_actions", "\n").cast("binary")).alias("prior"))
 
 
 @query("stream_outcome_counts", _stream_sql("""SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, final, verdict, count(*) AS n FROM (SELECT c.ts, CASE WHEN c.reason IS NULL THEN d.balanced ELSE 'WARN' END AS verdict,
