@@ -1,6 +1,6 @@
 """Matching a bank of rules that comes as a table, through an inverted index of q-grams.
 
-Every match of a rule contains the grams (three characters, folded) of the plain
+Every match of a rule contains the grams (a few characters, folded) of the plain
 runs of its pattern. The rule is posted under that of its grams which the fewest texts
 hold. Texts meet postings in an equi-join on their distinct grams, so a text is
 only compared with rules whose rarest gram it holds, and a pair of them arises once; the
@@ -25,14 +25,22 @@ from shellgauge.functions.text import let
 from shellgauge.operators.patterns import FLAGS, folded, required_runs
 from shellgauge.session import MAX_BROADCAST_ROWS
 
-GRAM = 3
+#: Lengths of grams: a rule is posted under long ones where it has a run for them, as few texts hold them.
+LONG, GRAM = 6, 3
 #: Rules without a gram that are made one expression, and how many there may be: each is tested on every text.
 LOOSE_AT_ONCE, MAX_LOOSE = 100, 5_000
 
 
-def grams_of(text: Column) -> Column:
-    """The distinct grams of a text."""
-    return F.array_distinct(F.regexp_extract_all(folded(text), F.lit(rf"(?s)(?=([\x00-\x7F]{{{GRAM}}}))"), F.lit(1)))
+def grams_of(text: Column, sizes: list[int]) -> Column:
+    """The distinct grams of a text, of these lengths."""
+    return let(folded(text), lambda t: F.concat(
+        F.array().cast("array<string>"),
+        *[F.array_distinct(F.regexp_extract_all(t, F.lit(rf"(?s)(?=([\x00-\x7F]{{{n}}}))"), F.lit(1))) for n in sizes]))
+
+
+def sizes_of(grams: DataFrame) -> list[int]:
+    """The lengths that occur: no more than there are kinds of grams."""
+    return sorted(r["n"] for r in grams.filter("gram is not null").select(F.length("gram").alias("n")).distinct().collect())
 
 
 def required_grams(rules: DataFrame, pattern: str = "pattern_regex") -> DataFrame:
@@ -42,7 +50,8 @@ def required_grams(rules: DataFrame, pattern: str = "pattern_regex") -> DataFram
         for batch in batches:
             out = []
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = {run[i : i + GRAM] for run in required_runs(text) for i in range(len(run) - GRAM + 1)}
+                runs = required_runs(text)
+                grams = {r[i : i + LONG] for r in runs for i in range(len(r) - LONG + 1)} or {r[i : i + GRAM] for r in runs for i in range(len(r) - GRAM + 1)}
                 out += [(number, g) for g in sorted(grams) or [None]]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([g for _, g in out], pa.string())], ["ord", "gram"])
 
@@ -53,7 +62,7 @@ def postings(required: DataFrame, texts: DataFrame, text: str = "text") -> DataF
     """``ord`` and ``gram``: each rule under its gram that the fewest texts hold; ties by gram."""
     known = required.filter("gram is not null").select("gram").distinct()
     small = known.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    held = texts.select(F.explode(grams_of(F.col(text))).alias("gram"))
+    held = texts.select(F.explode(grams_of(F.col(text), sizes_of(known))).alias("gram"))
     counted = held.join(F.broadcast(known) if small else known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rated = required.filter("gram is not null").join(counted, "gram", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("low")
@@ -76,11 +85,11 @@ def match_bank(texts: DataFrame, rules: DataFrame, key: str, text: str = "text",
     required = required_grams(rules, pattern).persist()
     whole = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     posted = postings(required, whole, "__text").join(bank, "ord")
-    if posted.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        met = whole.select("__key", "__text", F.explode(grams_of(F.col("__text"))).alias("gram")).join(F.broadcast(posted), "gram")
+    grams = F.explode(grams_of(F.col("__text"), sizes_of(required))).alias("gram")
+    if bank.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        met = whole.select("__key", "__text", grams).join(F.broadcast(posted), "gram")
     else:
-        grams = whole.select("__key", F.explode(grams_of(F.col("__text"))).alias("gram"))
-        pairs = grams.join(posted.select("gram", "ord"), "gram").drop("gram")
+        pairs = whole.select("__key", grams).join(posted.select("gram", "ord"), "gram").drop("gram")
         met = pairs.join(whole, "__key").join(bank, "ord")
     found = met.filter(matches(F.col("__text"), F.col("__pattern"))).select(F.col("__key").alias(key), "ord")
     loose = required.filter("gram is null").join(bank, "ord").select("ord", "__pattern").limit(MAX_LOOSE + 1).collect()
