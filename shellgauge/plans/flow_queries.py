@@ -21,6 +21,7 @@ from shellgauge.plans import analyze as plan
 from shellgauge.plans import judge_sql as js
 from shellgauge.plans import session_context as sc
 from shellgauge.plans import static_sql as sql
+from shellgauge.plans import stores
 from shellgauge.plans.static_queries import _decided, big, r6
 from shellgauge.session import checkpoint, keep, scratch
 from shellgauge.sources import adapters, logs, sinks
@@ -676,6 +677,29 @@ def parity_counts(spark: SparkSession, sf: str) -> DataFrame:
     return parity.parity_counts(checkpoint(_audit(spark, sf).select("diff", "identical")))
 
 
+_STORED = ["final", "aggregate", "rule_ids"]
+
+
+@query("parity_stores", """WITH both_sides AS (SELECT event_id AS n, event_id % 97 = 3 AS missing, event_id % 89 = 5 AS extra, event_id % 83 = 7 AS final, event_id % 79 = 11 AS rules FROM events),
+    counted AS (SELECT count(*) FILTER (NOT missing) AS ours, count(*) FILTER (NOT extra) AS golden FROM both_sides)
+    SELECT n AS tool_use_id, CASE WHEN missing THEN 'missing' WHEN extra THEN 'extra' ELSE concat_ws(',', CASE WHEN final THEN 'final' END, CASE WHEN rules THEN 'rule_ids' END) END AS diff,
+    ours AS rows_ours, golden AS rows_golden FROM both_sides, counted WHERE (missing OR extra OR final OR rules) AND NOT (missing AND extra)""")
+def parity_stores(spark: SparkSession, sf: str) -> DataFrame:
+    """Two stored logs, one without some calls and with changed decisions and rules, met through their checksums."""
+    n = F.col("tool_use_id")
+    log = _log(spark, sf).select(n, *_STORED)
+    ours, golden = (stores.ResultStore(spark, scratch(spark, name)) for name in ("ours", "golden"))
+    ours.write(log.filter(n % 97 != 3), "tool_use_id", _STORED)
+    changed = log.filter(n % 89 != 5).withColumns({
+        "final": F.when(n % 83 == 7, F.concat(F.lit("was "), F.coalesce("final", F.lit("nothing")))).otherwise(F.col("final")),
+        "rule_ids": F.when(n % 79 == 11, F.array_append("rule_ids", F.lit("SE-P-000"))).otherwise(F.col("rule_ids"))})
+    golden.write(changed, "tool_use_id", _STORED)
+    found = stores.compare(ours, golden, stores.rows_schema(log, "tool_use_id", _STORED), _STORED)
+    return found.select(
+        F.col("key").alias("tool_use_id"), "diff", F.lit(stores.compared_rows(ours)).cast("long").alias("rows_ours"),
+        F.lit(stores.compared_rows(golden)).cast("long").alias("rows_golden"))
+
+
 # ---- sources and sinks ----------------------------------------------------------------------
 
 def _log_lines(spark: SparkSession, sf: str) -> DataFrame:
