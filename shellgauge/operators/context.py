@@ -114,6 +114,24 @@ def _buckets_before(key: list[str]):  # noqa: ANN202
         Window.unboundedPreceding, -1)
 
 
+def as_of(line: DataFrame, key: list[str], order: list[str], bucket: Column, values: list[str]) -> DataFrame:
+    """Greatest value so far of each column in ``values``, along the time line of each group.
+
+    Rows that carry a value and rows that look one up share the line, so no row
+    meets all rows of its group: buckets are scanned apart, and each takes over
+    the greatest values of the buckets before it. ``bucket`` must grow with ``order``.
+    """
+    keyed = _bucketed(line, key, bucket)
+    tops = keyed.groupBy("__k").agg(*[F.max(v).alias(f"__top_{v}") for v in values])
+    before = tops.select("__k", *[F.max(f"__top_{v}").over(_buckets_before(key)).alias(f"__top_{v}") for v in values])
+    inside = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        keyed.join(before, "__k")
+        .withColumns({v: F.greatest(F.max(v).over(inside), F.col(f"__top_{v}")) for v in values})
+        .drop("__k", *[f"__top_{v}" for v in values])
+    )
+
+
 def with_halo(ranked: DataFrame, key: list[str], pos: str, chunk: int, reach: int) -> DataFrame:
     """Split groups into chunks of consecutive rows, each preceded by the rows it looks back to.
 
@@ -131,15 +149,17 @@ def with_halo(ranked: DataFrame, key: list[str], pos: str, chunk: int, reach: in
 
 
 def fitted_history(calls: DataFrame, session: str, pos: str, text: str, budget: int = HISTORY_CHARS,
-                   chunk: int = 10_000) -> DataFrame:
+                   chunk: int = 10_000, after: bool = False, wanted: str | None = None) -> DataFrame:
     """Per call: the newest prior call texts that fit the budget, oldest first.
 
+    With ``after``, the history as of just after the call, which then belongs to
+    it. Only rows where the column ``wanted`` is true come out, if it is named.
     Each text costs its length plus 8 and has at least 2 characters, so at most
     ``budget / 10 + 1`` prior calls can be kept: the look-back is bounded.
     """
     reach = budget // (TURN_COST + 2) + 1
     halo = with_halo(calls, [session], pos, chunk, reach)
-    spent, back = _within_budget(session, pos, text, TURN_COST, budget, -1)
+    spent, back = _within_budget(session, pos, text, TURN_COST, budget, 0 if after else -1)
     # rows that cost the budget at most; without any, the newest stays alone
     newest = F.lag(text).over(Window.partitionBy(session, "__chunk").orderBy(pos))
     fitting = F.reverse(F.collect_list(text).over(back))
@@ -156,9 +176,10 @@ def fitted_history(calls: DataFrame, session: str, pos: str, text: str, budget:
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"),
                      F.lit(False).alias("full"))
     return (
-        halo.withColumn("__spent", spent).withColumn("__prior", prior).filter(~F.col("__halo"))
+        halo.withColumn("__spent", spent).withColumn("__prior", prior)
+        .filter(~F.col("__halo") & (F.col(wanted) if wanted else F.lit(True)))
         .withColumn("prior_actions", F.aggregate("__prior", start, keep, lambda a: F.reverse(a["kept"])))
-        .withColumn("actions_total", (F.col(pos) - 1).cast("bigint"))
+        .withColumn("actions_total", (F.col(pos) - (0 if after else 1)).cast("bigint"))
         .drop("__prior", "__spent", "__chunk", "__halo")
     )
 

@@ -268,6 +268,48 @@ def state_hash(spark: SparkSession, sf: str) -> DataFrame:
     return _states(spark, sf).select("session", "seq", "state_hash")
 
 
+_AT = "seq * 1000 + session % 7 * 30"
+_LOGGED = """SELECT conv_id || '_' || turn AS call_id, CASE WHEN recorded THEN conv_id WHEN (conv_id + turn) % 5 = 0 THEN NULL WHEN (conv_id + turn) % 11 = 0 THEN conv_id + 1000000000000 ELSE conv_id END AS session,
+    CASE WHEN recorded THEN 'call_' ELSE 'late_' END || conv_id || '_' || turn AS tool_use_id,
+    CASE WHEN recorded THEN turn * 1000 + conv_id % 7 * 30 ELSE turn * 1000 + (conv_id * 170 + turn * 430) % 3000 - 1000 END AS at,
+    CASE WHEN turn % 2 = 1 THEN 'Bash' ELSE 'Read' END AS name, text, '{"file_path": "/c/' || conv_id || '", "limit": ' || turn || '}' AS fields
+    FROM (SELECT *, role = 'assistant' AND (conv_id + turn) % 2 = 0 AS recorded FROM conversations)"""
+_UNRECORDED = f"""WITH turns AS ({_TURNS}), prompts AS ({_PROMPTS}), uses AS ({_USES}), texts AS ({_TEXTS}), logged AS ({_LOGGED}),
+    call_line AS (SELECT session, {_AT} AS at, tool_use_id, seq, pos, call_text FROM texts),
+    prompt_line AS (SELECT session, {_AT} AS at, seq, prompt, row_number() OVER (PARTITION BY session ORDER BY seq) AS pos FROM prompts),
+    placed AS (SELECT l.*, s.session IS NOT NULL AS has, o.pos IS NOT NULL AS found, coalesce(o.pos - 1, c.pos, 0) AS actions_total,
+        CASE WHEN o.pos IS NOT NULL THEN (SELECT count(*) FROM prompts x WHERE x.session = l.session AND x.seq < o.seq) ELSE coalesce(p.pos, 0) END AS prompts_total
+      FROM logged l ASOF LEFT JOIN call_line c ON c.session = l.session AND l.at > c.at ASOF LEFT JOIN prompt_line p ON p.session = l.session AND l.at > p.at
+      LEFT JOIN call_line o ON o.session = l.session AND o.tool_use_id = l.tool_use_id LEFT JOIN (SELECT DISTINCT session FROM turns) s ON s.session = l.session),
+    history AS (SELECT call_id, string_agg('[' || n || '] ' || call_text, chr(10) ORDER BY pos) AS history FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY pos) AS n FROM (
+      SELECT l.call_id, c.pos, c.call_text, sum(length(c.call_text) + 8) OVER w AS used, row_number() OVER w AS rn FROM placed l JOIN call_line c ON c.session = l.session AND c.pos <= l.actions_total
+      WINDOW w AS (PARTITION BY l.call_id ORDER BY c.pos DESC)) WHERE rn = 1 OR used <= 12000) GROUP BY call_id),
+    requests AS (SELECT call_id, string_agg(prompt, chr(10) || chr(10) ORDER BY pos) AS request FROM (
+      SELECT l.call_id, p.pos, p.prompt, sum(length(p.prompt) + 2) OVER w - 2 AS used, row_number() OVER w AS rn FROM placed l JOIN prompt_line p ON p.session = l.session AND p.pos <= l.prompts_total
+      WINDOW w AS (PARTITION BY l.call_id ORDER BY p.pos DESC)) WHERE rn = 1 OR used <= 4000 GROUP BY call_id),
+    leveled AS (SELECT p.*, coalesce(history, '') AS history, coalesce(request, '') AS request, 'Read(' || fields || ')' AS call_text,
+      CASE WHEN actions_total > 0 THEN 'L2' WHEN coalesce(request, '') <> '' THEN 'L1' ELSE 'L0' END AS level,
+      CASE WHEN session IS NULL THEN 'no transcript_path' WHEN NOT has THEN 'transcript unreadable: entity not found' WHEN found THEN 'transcript'
+        ELSE 'transcript (current call not yet written; all recorded calls are prior)' END AS level_reason
+      FROM placed p LEFT JOIN history USING (call_id) LEFT JOIN requests USING (call_id))
+    SELECT call_id, found, level, level_reason, actions_total, prompts_total, CASE WHEN level = 'L2' THEN CASE WHEN request = '' THEN 'L0' ELSE 'L1' END ELSE level END AS capped_level,
+      level_reason || CASE WHEN actions_total > 0 THEN '; capped at l1_request by judge.context.max_level' ELSE '' END AS capped_reason,
+      sha256(CASE level WHEN 'L0' THEN 'l0_action' WHEN 'L1' THEN 'l1_request' ELSE 'l2_actions' END || chr(10) || {_STATE}) AS state_hash FROM leveled"""
+
+
+@query("unrecorded_context", _UNRECORDED)
+def unrecorded_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Context of every logged call as of its time, whether or not its transcript holds it, and what a cap at L1 leaves."""
+    timed = _records(spark, sf).withColumn("at", adapters.line_time(F.col("session"), F.col("seq")))
+    states = sc.logged_states(adapters.logged_calls(spark, sf), timed)
+    has, actions = F.col("has_transcript"), F.col("actions_total")
+    note = F.when(actions > 0, F.lit(f"; capped at {ctx.LEVEL_NAME['L1']} by judge.context.max_level")).otherwise(F.lit(""))
+    return states.select(
+        "call_id", F.col("found_current").alias("found"), "level", "level_reason", "actions_total", "prompts_total",
+        ctx.context_level(has, actions, F.col("user_request"), "L1").alias("capped_level"),
+        F.concat("level_reason", note).alias("capped_reason"), "state_hash")
+
+
 @query("state_dedupe", js.log("SELECT tool_use_id, row_number() OVER (PARTITION BY state ORDER BY tool_use_id) > 1 AS duplicate FROM log WHERE state IS NOT NULL"))
 def state_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     items = _log(spark, sf).filter("state is not null").select("tool_use_id", F.sha2("state", 256).alias("state_hash"))

@@ -243,6 +243,32 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- decision log --------------------------------------------------------------------------
 
+def line_time(session: Column, seq: Column) -> Column:
+    """Milliseconds at which a transcript line was written."""
+    return seq * 1000 + session % 7 * 30
+
+
+def logged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``call_id, session, tool_use_id, at, name, input``: one logged call for every turn.
+
+    Half of the recorded calls are logged under their own id; all other turns
+    give calls that no transcript holds, some of them without a session, some of
+    sessions that have no file.
+    """
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    call_id = F.concat_ws("_", conv, turn)
+    recorded = (F.col("role") == "assistant") & ((conv + turn) % 2 == 0)
+    session = F.when(recorded, conv).when((conv + turn) % 5 == 0, F.lit(None)).when(
+        (conv + turn) % 11 == 0, conv + 1_000_000_000_000).otherwise(conv)
+    return table(spark, sf_dir, "conversations").select(
+        call_id.alias("call_id"), session.alias("session"),
+        F.concat(F.when(recorded, F.lit("call_")).otherwise(F.lit("late_")), call_id).alias("tool_use_id"),
+        F.when(recorded, line_time(conv, turn)).otherwise(turn * 1000 + (conv * 170 + turn * 430) % 3000 - 1000).alias("at"),
+        F.when(turn % 2 == 1, F.lit("Bash")).otherwise(F.lit("Read")).alias("name"),
+        F.when(turn % 2 == 1, F.to_json(F.struct(text.alias("command")))).otherwise(F.to_json(F.struct(
+            turn.alias("limit"), F.concat(F.lit("/c/"), conv.cast("string")).alias("file_path")))).alias("input"))
+
+
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged decisions: one record per call, shapes of several versions."""
     e = tool_calls(spark, sf_dir).withColumnRenamed("cmd_id", "n")

@@ -85,15 +85,16 @@ def transcript_records(lines: DataFrame) -> DataFrame:
     return lines.withColumn("record", parsed).withColumn("bad", F.col("record").isNull()).drop("value")
 
 
-def transcript_prompts(records: DataFrame) -> DataFrame:
-    """``session, seq, part, prompt``: what the human typed."""
-    return records.filter(~F.col("bad")).select("session", "seq", F.posexplode(human_prompts(F.col("record"))).alias("part", "prompt"))
+def transcript_prompts(records: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``session, seq, part, prompt``: what the human typed; ``extra`` columns of the line stay."""
+    return records.filter(~F.col("bad")).select("session", "seq", *extra, F.posexplode(human_prompts(F.col("record"))).alias("part", "prompt"))
 
 
-def transcript_calls(records: DataFrame) -> DataFrame:
-    """``session, seq, part, tool_use_id, name, input``: tool calls in order."""
-    calls = records.filter(~F.col("bad")).select("session", "seq", F.posexplode(tool_uses(F.col("record"))).alias("part", "u"))
-    return calls.select("session", "seq", "part", F.col("u.id").alias("tool_use_id"), "u.name", "u.input")
+def transcript_calls(records: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``session, seq, part, tool_use_id, name, input``: tool calls in order; ``extra`` columns of the line stay."""
+    calls = records.filter(~F.col("bad")).select(
+        "session", "seq", *extra, F.posexplode(tool_uses(F.col("record"))).alias("part", "u"))
+    return calls.select("session", "seq", *extra, "part", F.col("u.id").alias("tool_use_id"), "u.name", "u.input")
 
 
 def answers_column(value: Column) -> Column:
