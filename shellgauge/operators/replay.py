@@ -257,6 +257,49 @@ def score_cells(scored: DataFrame, label: str, high_risk: list[str] | None = Non
     ).agg(F.count("*").alias("n"))
 
 
+# Provenance tiers in the order of a cell's maxima; the rule predicate reads the catalog tiers only.
+TIERS = ["mitre", "gtfobins", "manual"]
+CATALOG_TIERS = ["mitre", "gtfobins"]
+
+
+def tier_cells(scored: DataFrame, label: str, high_risk: list[str] | None = None) -> DataFrame:
+    """Score cells that keep the strongest rule of each provenance tier apart.
+
+    From the vector of maxima the pattern score and the rule predicate follow for
+    any set of tiers, so no what-if about tiers reads the commands again.
+    """
+    def strongest(tier: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(
+            F.filter("fired", lambda f: f["tier"] == tier), lambda f: f["strength"])), F.lit(0.0))
+
+    vector = F.array(*[strongest(t) for t in TIERS])
+    marked = scored.withColumn("__cell", F.struct(F.col(label).alias("label"), vector.alias("tiers")))
+    return score_cells(marked, "__cell", high_risk).select(
+        "label.*", "sem", "path", "struct", "risky_score", "spath", "n").groupBy(
+        "label", "tiers", "sem", "path", "struct", "risky_score", "spath").agg(F.sum("n").alias("n"))
+
+
+def tier_subsets() -> list[dict]:
+    """Every set of tiers, named by what it leaves out."""
+    out = []
+    for mask in range(2 ** len(TIERS)):
+        left_out = [t for i, t in enumerate(TIERS) if mask >> i & 1]
+        out.append({"left_out": "+".join(left_out) or "none", "kept": [t not in left_out for t in TIERS]})
+    return out
+
+
+def tier_ablation(cells: DataFrame, grid: list[dict], subsets: list[dict]) -> DataFrame:
+    """Decisions per set of tiers, profile of a grid and label, from ``tier_cells``."""
+    each = cells.withColumn("s", F.explode(literal(subsets, "array<struct<left_out:string,kept:array<boolean>>>")))
+    stays = F.zip_with("tiers", F.col("s.kept"), lambda top, kept: F.when(kept, top).otherwise(F.lit(0.0)))
+    catalog = [TIERS.index(t) for t in CATALOG_TIERS]
+    read = each.withColumn("__stays", stays).select(
+        F.struct("label", F.col("s.left_out").alias("left_out")).alias("label"), "sem", "path", "struct", "risky_score", "spath",
+        F.array_max("__stays").alias("pat"), F.greatest(*[F.get("__stays", F.lit(i)) for i in catalog]).alias("rule_strength"), "n")
+    swept = threshold_sweep(read, grid)
+    return swept.select("profile", "label.left_out", F.col("label.label").alias("label"), "decision", "n")
+
+
 GRID_TYPE = (
     "array<struct<profile:string,sem:double,path:double,pat:double,struct:double,low:double,high:double,"
     "theta_rule:double,theta_sem:double>>"

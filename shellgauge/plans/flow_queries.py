@@ -632,10 +632,14 @@ _GRID = [{"profile": f"low{lo}_high{hi}", **WEIGHTS, "low": lo, "high": hi, "the
 _ABLATION = replay.ablation_grid(WEIGHTS, 0.15, 0.35)
 
 
-def _cells(spark: SparkSession, sf: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     value = adapters.table(spark, sf, "events").select(F.col("event_id").alias("cmd_id"), (F.col("value") > 40).cast("int").alias("label"))
     scored = plan.layer_scores(plan.layer_evidence(adapters.commands(spark, sf), PAPER, "command", HOME))
-    return replay.score_cells(scored.select("cmd_id", "scores", "fired", "atoms", "l3").join(value, "cmd_id"), "label")
+    return scored.select("cmd_id", "scores", "fired", "atoms", "l3").join(value, "cmd_id")
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return replay.score_cells(_labelled(spark, sf), "label")
 
 
 def _grid_sql(grid: list[dict]) -> str:
@@ -660,6 +664,25 @@ def layer_ablation(spark: SparkSession, sf: str) -> DataFrame:
     return replay.threshold_sweep(_cells(spark, sf), _ABLATION)
 
 
+def _tier_sql() -> str:
+    names = ["profile", "w_sem", "w_path", "w_pat", "w_struct", "low", "high", "theta_rule", "theta_sem"]
+    rows = [(g["profile"], *[float(g[k]) for k in ("sem", "path", "pat", "struct", "low", "high", "theta_rule", "theta_sem")]) for g in _ABLATION]
+    return sql.query(f"""SELECT profile, left_out, label, CASE WHEN v = 'WARN' AND skipped THEN 'deny' WHEN v = 'WARN' THEN 'warn' ELSE lower(v) END AS decision, count(*) AS n FROM (
+      SELECT profile, left_out, label, CASE WHEN s < low THEN 'ALLOW' WHEN s < high THEN 'WARN' ELSE 'DENY' END AS v, rule_top >= theta_rule OR spath OR coalesce(risky, 0) >= theta_sem AS skipped
+      FROM (SELECT g.*, l.left_out, l.spath, l.rule_top, w_sem * sem + w_path * path + w_pat * pat_top + w_struct * struct AS s, CASE WHEN e.value > 40 THEN 1 ELSE 0 END AS label, c.risky
+        FROM (SELECT l.cmd_id, sem, path, struct, spath, o.left_out, coalesce(max(f.strength), 0.0) AS pat_top, coalesce(max(f.strength) FILTER (WHERE f.tier <> 'manual'), 0.0) AS rule_top
+          FROM layers l CROSS JOIN (VALUES ('none'), ('mitre'), ('gtfobins'), ('mitre+gtfobins'), ('manual'), ('mitre+manual'), ('gtfobins+manual'), ('mitre+gtfobins+manual')) o(left_out)
+          LEFT JOIN fired f ON f.cmd_id = l.cmd_id AND NOT contains(o.left_out, f.tier) GROUP BY ALL) l JOIN events e ON e.event_id = l.cmd_id
+        LEFT JOIN (SELECT cmd_id, max(score) AS risky FROM classes WHERE class IN ({sql.HIGH}) GROUP BY cmd_id) c USING (cmd_id)
+        CROSS JOIN {sql.values(rows, ', '.join(names)).replace('AS t(', 'AS g(')})) GROUP BY ALL""", "layers", "classes", "fired")
+
+
+@query("tier_ablation", _tier_sql())
+def tier_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """Every layer and every set of provenance tiers left out, from one pass over the commands."""
+    return replay.tier_ablation(replay.tier_cells(_labelled(spark, sf), "label"), _ABLATION, replay.tier_subsets())
+
+
 @query("logistic_combiner")
 def logistic_combiner(spark: SparkSession, sf: str) -> DataFrame:
     """Layer scores combined against the event label; the fit iterates."""

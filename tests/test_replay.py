@@ -80,3 +80,34 @@ def test_parity_audit(spark):
     registry = spark.createDataFrame(REGISTRY, "id string, title string, detection string")
     got = {r.cmd: r.problem for r in parity.parity_allowlist(diffs, allow, registry).collect()}
     assert got == {"a": "stale entry", "c": "did not fire: FIX-009", "d": "unexplained difference", "z": "orphan entry"}
+
+
+def test_tier_cells_equal_rescoring(spark):
+    """Every set of tiers read from the cells against rules dropped from each row."""
+    rows = [
+        (0, [("mitre", 0.9), ("manual", 0.5)], 0.2, 0.0, 0.0), (1, [("gtfobins", 0.8)], 0.0, 0.3, 0.0), (1, [], 0.7, 0.0, 0.1),
+        (0, [("manual", 0.6), ("manual", 0.3)], 0.1, 0.1, 0.1), (None, [("mitre", 0.4), ("gtfobins", 0.85)], 0.0, 0.0, 0.0),
+        (1, [("mitre", 0.9), ("manual", 0.5)], 0.2, 0.0, 0.0)]
+    scored = spark.createDataFrame(rows * 3, "label int, f array<struct<tier:string,strength:double>>, sem double, path double, struct double")
+    scored = scored.withColumns({
+        "fired": F.col("f"), "atoms": F.expr("array(named_struct('class', 'NONE', 'score', sem))"),
+        "l3": F.expr("cast(array() as array<struct<hits:array<struct<tier:string,secret_bearing:boolean,access:string>>>>)"),
+        "scores": F.struct("sem", "path", F.lit(0.0).alias("pat"), "struct")}).select("label", "fired", "atoms", "l3", "scores")
+    weights = {"sem": 0.3, "path": 0.3, "pat": 0.3, "struct": 0.1}
+    grid = replay.ablation_grid(weights, 0.15, 0.35)
+    got = {(r.profile, r.left_out, r.label, r.decision): r.n for r in replay.tier_ablation(
+        replay.tier_cells(scored, "label"), grid, replay.tier_subsets()).collect()}
+    want = {}
+    for g in grid:
+        for s in replay.tier_subsets():
+            out = [t for t, kept in zip(replay.TIERS, s["kept"], strict=True) if not kept]
+            for label, fired, sem, path, struct in rows * 3:
+                left = [(t, x) for t, x in fired if t not in out]
+                pat = max((x for _, x in left), default=0.0)
+                score = round(g["sem"] * sem + g["path"] * path + g["pat"] * pat + g["struct"] * struct, 9)
+                rule = max((x for t, x in left if t != "manual"), default=0.0)
+                verdict = "allow" if score < 0.15 else "deny" if score >= 0.35 or rule >= 0.8 else "warn"
+                key = (g["profile"], s["left_out"], label, verdict)
+                want[key] = want.get(key, 0) + 1
+    assert got == want and len({k[1] for k in got}) == 8
+    assert replay.tier_ablation(replay.tier_cells(scored.limit(0), "label"), grid, replay.tier_subsets()).count() == 0
