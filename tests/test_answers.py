@@ -124,3 +124,29 @@ def test_calibration_misfit_is_an_error(spark):
     assert "answer type noul but the calibration is for score" in row.error and row.verdict == "ask"
     fine = [{"axis": "f5_exceeds_approval", "type": "noul", "method": "platt", "a": 1.0, "b": 5.0}]
     assert ans.evaluate(df, AXES, params=fine).head().tier == "T2"
+
+
+def test_answers_are_made_once_per_record(spark):
+    """The optimizer moves the answers' expression to where it is read: that may not be a loop over the questions."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["completeness"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" in plan and "exists(" not in plan
+
+
+def test_missing_axes_in_rubric_order(spark):
+    from shellgauge.sources import adapters
+
+    items = adapters.answer_items(spark, "/root/testdata/sf0.001", AXES).limit(3)
+    # an answer of the wrong kind, one without an axis, one of an unknown axis, and one given twice, the usable one last
+    odd = F.concat(
+        F.transform(F.filter("answers", lambda w: w["axis"] == "a1_reads_credentials"), lambda w: w.withField("type", F.lit("score"))),
+        F.transform(F.filter("answers", lambda w: w["axis"] == "a2_secret_in_arguments"), lambda w: w.withField("axis", F.lit(None).cast("string"))),
+        F.transform(F.filter("answers", lambda w: w["axis"] == "a2_secret_in_arguments"), lambda w: w.withField("axis", F.lit("zz"))),
+        F.transform(F.filter("answers", lambda w: w["axis"] == "b1_deletes"), lambda w: w.withField("noul", F.lit(None).cast("double"))),
+        F.transform(F.filter("answers", lambda w: w["axis"] == "b1_deletes"), lambda w: w.withField("noul", F.lit(0.5))))
+    got = items.select("level", ans.missing_axes(AXES, odd, F.col("level")).alias("m")).collect()
+    assert len(got) == 3
+    for r in got:
+        assert r.m == [a.id for a in ans.axes_at(AXES, r.level) if a.id != "b1_deletes"]
