@@ -26,15 +26,15 @@ DAMPING = (0.0, 1e-2, 1.0)
 GAIN = 1e-13
 
 
-def align_pairs(reference: DataFrame, target: DataFrame) -> DataFrame:
+def align_pairs(reference: DataFrame, target: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per (item, axis) answered on both sides with the same kind.
 
     Inputs: ``item_id, answers``. Items are joined once, whole, and answers are
     matched on the row, so the shuffle carries items instead of answers.
     Vectors follow the reference's label order; a label the target lacks
-    counts 0. A noul pair is a vector of one.
+    counts 0. A noul pair is a vector of one. ``extra`` columns of the reference stay.
     """
-    both = reference.select("item_id", F.col("answers").alias("__r")).join(
+    both = reference.select("item_id", *extra, F.col("answers").alias("__r")).join(
         target.select("item_id", F.col("answers").alias("__t")), "item_id")
 
     def pair(r: Column, t: Column) -> Column:
@@ -60,8 +60,8 @@ def align_pairs(reference: DataFrame, target: DataFrame) -> DataFrame:
     once = let(names, lambda ns: F.filter("__t", lambda w, i: F.array_position(ns, w["axis"]) == i + 1))
     sides = F.struct(F.col("__r").alias("r"), F.map_from_entries(F.transform(
         once, lambda w: F.struct(w["axis"], w))).alias("t"))
-    pairs = both.select("item_id", F.explode_outer(let(sides, match)).alias("z"))
-    return pairs.filter("z is not null").select("item_id", "z.axis", "z.type", "z.p", "z.q")
+    pairs = both.select("item_id", *extra, F.explode_outer(let(sides, match)).alias("z"))
+    return pairs.filter("z is not null").select("item_id", *extra, "z.axis", "z.type", "z.p", "z.q")
 
 
 def target_models(items: DataFrame) -> DataFrame:
@@ -88,9 +88,14 @@ def holdout_split(items: DataFrame, item_id: str = "item_id", holdout: float = H
         F.lit("train"))).drop("__key", "__rank", "__total")
 
 
-def _weighted(pairs: DataFrame) -> DataFrame:
+def _weight(pairs: DataFrame) -> Column:
+    """How often a pair counts: ``w`` where equal pairs are one row, else once."""
+    return F.col("w") if "w" in pairs.columns else F.lit(1.0)
+
+
+def _weighted(pairs: DataFrame, *extra: str) -> DataFrame:
     """Equal pairs counted once: the fits read this table once per round."""
-    return checkpoint(pairs.groupBy("axis", "type", "p", "q").agg(F.count("*").cast("double").alias("w")))
+    return checkpoint(pairs.groupBy("axis", "type", "p", "q", *extra).agg(F.sum(_weight(pairs)).alias("w")))
 
 
 def _at(values: dict, axis: Column, kind: str) -> Column:
@@ -201,23 +206,29 @@ def brier(pairs: DataFrame, p: str = "p") -> DataFrame:
     """Per axis: mean over items of the squared error summed over labels."""
     err = F.aggregate(F.arrays_zip(F.col(p).alias("p"), F.col("q").alias("q")), F.lit(0.0),
                       lambda acc, z: acc + (z["p"] - z["q"]) * (z["p"] - z["q"]))
-    return pairs.groupBy("axis").agg(F.avg(err).alias("brier"))
+    return pairs.groupBy("axis").agg((F.sum(_weight(pairs) * err) / F.sum(_weight(pairs))).alias("brier"))
 
 
 def ece(pairs: DataFrame, p: str = "p") -> DataFrame:
     """Per axis: expected calibration error over 10 equal-width bins."""
-    flat = pairs.select("axis", F.explode(F.arrays_zip(F.col(p).alias("p"), F.col("q").alias("q"))).alias("z"))
-    bins = flat.select("axis", F.col("z.p").alias("p"), F.col("z.q").alias("q"),
+    flat = pairs.select("axis", _weight(pairs).alias("w"), F.explode_outer(
+        F.arrays_zip(F.col(p).alias("p"), F.col("q").alias("q"))).alias("z")).filter("z is not null")
+    bins = flat.select("axis", "w", F.col("z.p").alias("p"), F.col("z.q").alias("q"),
                        F.least(F.floor(F.col("z.p") * 10), F.lit(9)).alias("bin"))
-    per_bin = bins.groupBy("axis", "bin").agg(F.count("*").alias("n"), F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    per_bin = bins.groupBy("axis", "bin").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("p")).alias("sp"), F.sum(F.col("w") * F.col("q")).alias("sq"))
     return per_bin.groupBy("axis").agg((F.sum(F.abs(F.col("sp") - F.col("sq"))) / F.sum("n")).alias("ece"))
 
 
 def fit_report(pairs: DataFrame, min_pairs: int = MIN_PAIRS) -> tuple[list[dict], DataFrame]:
-    """Fit on the train split, measure on the test split; axes with too few pairs are skipped."""
+    """Fit on the train split, measure on the test split; axes with too few pairs are skipped.
+
+    Fits and measures read the distinct pairs of each split with their counts, stored once.
+    """
+    pairs = _weighted(pairs, "split")
     train = pairs.filter(F.col("split") == "train")
-    counts = pairs.groupBy("axis", "type").agg(
-        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    among = lambda split: F.coalesce(F.sum(F.when(F.col("split") == split, F.col("w"))), F.lit(0.0)).cast("bigint")
+    counts = pairs.groupBy("axis", "type").agg(among("train").alias("n_train"), among("test").alias("n_test"))
     enough = small(counts.filter(F.col("n_train") >= min_pairs).select("axis"))
     usable = train.join(enough, "axis", "left_semi")
     params = fit_platt(usable) + fit_temperature(usable)
