@@ -77,3 +77,30 @@ def test_a_file_is_read_and_matched(spark, tmp_path):
     texts = spark.createDataFrame([(1, "rm  -rf x"), (2, "shutdown now; rm -rf y"), (3, "ls")], "k long, text string")
     got = rule_index.match_bank(texts, logs.scan_rule_bank(spark, str(tmp_path / "bank.json")), "k").collect()
     assert sorted((r["k"], r["ord"]) for r in got) == [(1, 0), (2, 0), (2, 1)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_every_match_holds_a_needed_literal(data):
+    pattern = data.draw(st.sampled_from([r[5] for r in RULES] + [
+        r"a[ \t]+b[\r\n]+cd", r"(?:rm|dd)\s*-", r"x{2,3} +yz", r"(ab|c\s+d)+e", r"a(b|)c", r"\bfoo\b  bar", r"a(?=b)bc", r"[^ ]a\s?b",
+    ]))
+    text = data.draw(st.from_regex(re.compile(pattern, re.ASCII)))
+    key = re.sub(r"[\t\n\x0b\x0c\r ]+", " ", text.lower())
+    assert all(any(x in key for x in among) for among in patterns.needed_literals(pattern))
+
+
+def test_needed_literals():
+    assert patterns.needed_literals(r"(curl|wget)\s+-o  /tmp") == [["curl", "wget"], [" -o /tmp"]]
+    assert patterns.needed_literals(r"a|\d") == [] and patterns.needed_literals(r"\Qa.b\E") == [] and patterns.needed_literals("[a&&[b]]c") == []
+
+
+@pytest.mark.parametrize("most", [300, 0])
+def test_words_in_a_row_are_posted_under_a_gram_that_joins_them(spark, monkeypatch, most):
+    """The words of a rule are in every text, the rule in one: one pair is met, whatever lies between the words."""
+    monkeypatch.setattr(rule_index, "MAX_PLAIN", most)
+    texts = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta alpha gamma"), (3, "gamma\t\n alpha  beta"), (4, None)], "k long, text string")
+    rules = bank(spark, [r"beta[ \t\r\n]+alpha", r"alpha\s+beta", r"gam"])
+    required = rule_index.required_grams(rules, joined=True)
+    assert {r["ord"]: r["gram"] for r in rule_index.postings(required, texts).collect()} == {0: " alph", 1: " beta", 2: "gam"}
+    assert sorted((r["k"], r["ord"]) for r in rule_index.match_bank(texts, rules, "k").collect()) == [(1, 1), (1, 2), (2, 0), (2, 2), (3, 1), (3, 2)]
