@@ -44,3 +44,12 @@ def test_changed_calls_are_stored_before_they_are_sorted(spark):
                                   F.col("id").alias("line"), (F.col("id") % 2 == 0).alias("changed"))
     out = replay.changed_calls(rows)
     assert "Range" not in optimized(out) and [r.line for r in out.collect()] == list(range(0, 20, 2))
+
+
+def test_items_are_chosen_before_their_answers_are_made(spark):
+    wanted = spark.createDataFrame([(3,), (7,), (3,)], "item_id long")
+    items = adapters.answer_items(spark, SF, AXES, among=wanted)
+    lines = optimized(items).splitlines()
+    assert next(i for i, x in enumerate(lines) if "f5_exceeds_approval" in x) < next(i for i, x in enumerate(lines) if "LeftSemi" in x)
+    whole = adapters.answer_items(spark, SF, AXES).filter("item_id in (3, 7)")
+    assert sorted(map(str, items.collect())) == sorted(map(str, whole.collect()))
