@@ -25,3 +25,24 @@ def test_answers_that_cannot_be_reused_are_not_read(spark):
     got = rows.groupBy(F.col("reuse_error").isNull().alias("reusable")).agg(F.count("tier").alias("n")).collect()
     tiers = {r.reusable: r.n for r in got}
     assert tiers[False] == 0 and tiers[True] > 0
+
+
+def test_verdicts_are_joined_instead_of_answers(spark):
+    items = adapters.answer_items(spark, SF, AXES).withColumnRenamed("item_id", "cmd_id")
+    warn = spark.createDataFrame([(3, True), (7, True), (10**12, True)], "cmd_id long, would_adjudicate boolean")
+    out = judging.rubric_judge(warn, items, AXES)
+    assert "LeftSemi" not in optimized(out)
+    decisions = {r.cmd_id: r.judge_decision for r in out.collect()}
+    alone = {r.cmd_id: r.judge_decision for r in judging.rubric_judge(warn, items.filter("cmd_id in (3, 7)"), AXES).collect()}
+    assert decisions == alone and decisions[10**12] == "ask"
+
+
+def test_chosen_items_are_spread_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "ROWS_PER_TASK", 50)
+    asked = spark.range(1000).select(F.col("id").alias("item_id"))
+    # without a broadcast of this small side, as for a large one
+    items = adapters.answer_items(spark, SF, AXES, among=asked.hint("shuffle_hash")).select("item_id", F.size("answers").alias("n"))
+    tasks = adapters.tasks_for(spark.read.parquet(f"{SF}/events.parquet"))
+    items.collect()
+    assert tasks > 8 and "hashpartitioning(event_id#" in (plan := items._jdf.queryExecution().executedPlan().toString())
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan
