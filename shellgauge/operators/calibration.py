@@ -31,12 +31,18 @@ def align_pairs(reference: DataFrame, target: DataFrame, extra: tuple[str, ...]
 
     Inputs: ``item_id, answers``. Items are joined once, whole, and answers are
     matched on the row, so the shuffle carries items instead of answers.
-    Vectors follow the reference's label order; a label the target lacks
-    counts 0. A noul pair is a vector of one. ``extra`` columns of the reference stay.
+    ``extra`` columns of the reference stay.
     """
-    both = reference.select("item_id", *extra, F.col("answers").alias("__r")).join(
-        target.select("item_id", F.col("answers").alias("__t")), "item_id")
+    return align_rows(reference.select("item_id", *extra, F.col("answers").alias("reference")).join(
+        target.select("item_id", F.col("answers").alias("target")), "item_id"), extra)
+
+
+def align_rows(both: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The same where both sides stand on one row, as ``item_id, reference, target``: no join.
 
+    Vectors follow the reference's label order; a label the target lacks
+    counts 0. A noul pair is a vector of one.
+    """
     def pair(r: Column, t: Column) -> Column:
         def aligned(label: Column) -> Column:
             at = F.array_position(t["labels"], label)
@@ -56,9 +62,9 @@ def align_pairs(reference: DataFrame, target: DataFrame, extra: tuple[str, ...]
         return F.transform(sides["r"], lambda r: let(F.try_element_at(sides["t"], r["axis"]), lambda t: pair(r, t)))
 
     # A repeated axis counts once, the first time.
-    names = F.transform("__t", lambda w: w["axis"])
-    once = let(names, lambda ns: F.filter("__t", lambda w, i: F.array_position(ns, w["axis"]) == i + 1))
-    sides = F.struct(F.col("__r").alias("r"), F.map_from_entries(F.transform(
+    names = F.transform("target", lambda w: w["axis"])
+    once = let(names, lambda ns: F.filter("target", lambda w, i: F.array_position(ns, w["axis"]) == i + 1))
+    sides = F.struct(F.col("reference").alias("r"), F.map_from_entries(F.transform(
         once, lambda w: F.struct(w["axis"], w))).alias("t"))
     pairs = both.select("item_id", *extra, F.explode_outer(let(sides, match)).alias("z"))
     return pairs.filter("z is not null").select("item_id", *extra, "z.axis", "z.type", "z.p", "z.q")

@@ -46,3 +46,11 @@ def test_chosen_items_are_spread_by_rows(spark, monkeypatch):
     items.collect()
     assert tasks > 8 and "hashpartitioning(event_id#" in (plan := items._jdf.queryExecution().executedPlan().toString())
     assert f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
+def test_both_models_stand_on_one_row(spark):
+    items = adapters.answer_items(spark, SF, AXES, spread=True)
+    one = cal.align_rows(adapters.answered_twice(items))
+    assert "Join" not in optimized(jq._aligned(spark, SF))
+    two = cal.align_pairs(items, adapters.target_answers(items))
+    assert one.count() == two.count() and one.exceptAll(two).isEmpty()
