@@ -54,3 +54,14 @@ def test_both_models_stand_on_one_row(spark):
     assert "Join" not in optimized(jq._aligned(spark, SF))
     two = cal.align_pairs(items, adapters.target_answers(items))
     assert one.count() == two.count() and one.exceptAll(two).isEmpty()
+
+
+def test_equal_answers_have_one_reference(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cal, "fit_temperature", lambda pairs: seen.append(pairs) or [])
+    monkeypatch.setattr(spark, "createDataFrame", lambda *_: None)
+    jq.fit_temperature(spark, SF)
+    pairs = seen[0]
+    n = adapters.long_answers(jq._spread(spark, SF)).filter("type <> 'noul'").count()
+    assert pairs.agg(F.sum("w")).head()[0] == n
+    assert pairs.count() == pairs.select("axis", "type", "p").distinct().count() < n
