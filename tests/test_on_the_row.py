@@ -65,3 +65,18 @@ def test_equal_answers_have_one_reference(spark, monkeypatch):
     n = adapters.long_answers(jq._spread(spark, SF)).filter("type <> 'noul'").count()
     assert pairs.agg(F.sum("w")).head()[0] == n
     assert pairs.count() == pairs.select("axis", "type", "p").distinct().count() < n
+
+
+def test_split_is_taken_before_answers_are_made(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cal, "fit_report", lambda pairs: (seen.append(pairs), None))
+    monkeypatch.setattr(adapters, "ROWS_PER_TASK", 50)
+    jq.axis_fit_report(spark, SF)
+    lines = optimized(seen[0]).splitlines()
+    joins = [i for i, x in enumerate(lines) if "Join" in x]
+    assert joins and next(i for i, x in enumerate(lines) if "Repartition " in x) < min(joins)
+    tasks = adapters.tasks_for(spark.read.parquet(f"{SF}/events.parquet"))
+    assert seen[0].rdd.getNumPartitions() == tasks > 8
+    items = adapters.answer_items(spark, SF, AXES, spread=True)
+    before = cal.align_pairs(items.join(cal.holdout_split(items.select("item_id")), "item_id"), adapters.target_answers(items), ("split",))
+    assert seen[0].count() == before.count() and seen[0].exceptAll(before).isEmpty()
